@@ -365,6 +365,12 @@ CTES: dict[str, str] = {
       from rec_match where rn > 0""",
 }
 
+# the same rounds on probabilities cut to six places, where near ties are ties
+CTES["fx_smooth6"] = """
+      select series_id, event, step, floor(prob * 1e6::double + 0.4142::double) / 1e6::double as prob from fx_smooth"""
+for _name in ("rec_pick", "fx_peaks"):
+    CTES[f"{_name}6"] = CTES[_name].replace("rec_pick", "rec_pick6").replace("fx_smooth", "fx_smooth6")
+
 
 def runs_sql(source: str, col: str, eps: str) -> str:
     return f"""

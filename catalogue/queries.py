@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.fixtures import FLAT, GRID, N_MODELS, PEAKS, TOLERANCES, Fixtures, W, ap_ctes
-from catalogue.registry import query
+from catalogue.registry import cut, query
 from tidegrid.functions import rolling, scalar
 from tidegrid.operators import (
     blocks,
@@ -606,9 +606,10 @@ def smooth_scores(fx: Fixtures) -> DataFrame:
     return predictions.smooth(_long_positions(fx), predictions.KEYS, "score", "prob", PEAKS)
 
 
-@query("nms_peaks", "series_id:s event:s rank:i step:i prob:f", "select * from fx_peaks")
+@query("nms_peaks", "series_id:s event:s rank:i step:i prob:f", "select * from fx_peaks6")
 def nms_peaks(fx: Fixtures) -> DataFrame:
-    peaks = predictions.nms_peaks(smooth_scores(fx), PEAKS, "prob")
+    smoothed = smooth_scores(fx).withColumn("prob", cut(F.col("prob")))
+    peaks = predictions.nms_peaks(smoothed, PEAKS, "prob")
     return predictions.with_rank(peaks, PEAKS, "prob")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.fixtures import CTES, Fixtures, fixtures, runs_sql
@@ -26,6 +26,10 @@ def _fields(columns: str) -> list[tuple[str, str]]:
     return [tuple(c.split(":")) for c in columns.split()]
 
 
+def cut(c: Column) -> Column:
+    return F.floor(c * 1e6 + EDGE) / 1e6
+
+
 def project(df: DataFrame, columns: str) -> DataFrame:
     def cast(name: str, kind: str):
         c = F.col(name)
@@ -33,7 +37,7 @@ def project(df: DataFrame, columns: str) -> DataFrame:
             return c.cast("string").alias(name)
         if kind == "i":
             return c.cast("long").alias(name)
-        return (F.floor(c.cast("double") * 1e6 + EDGE) / 1e6).alias(name)
+        return cut(c.cast("double")).alias(name)
 
     return df.select(*[cast(n, k) for n, k in _fields(columns)])
 
