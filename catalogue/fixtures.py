@@ -24,8 +24,8 @@ GRID = GridConfig(
     steps_per_day=96,
     downsample=2,
     dense_steps=True,
-    block_rows=256,
-    bucket_block_rows=192,
+    block_rows=512,
+    bucket_block_rows=256,
 )
 FLAT = FlatSignalConfig(
     std_rows=5,
@@ -36,7 +36,7 @@ FLAT = FlatSignalConfig(
     widen_rows=9,
     noise_run=2,
 )
-PEAKS = PeakConfig(block_rows=192)
+PEAKS = PeakConfig(block_rows=256)
 TOLERANCES = {"onset": [2, 4, 8, 12], "wakeup": [2, 4, 8, 12]}
 N_MODELS = 3
 

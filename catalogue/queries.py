@@ -650,7 +650,7 @@ def _truths(fx: Fixtures) -> DataFrame:
 
 @query("match_detections", "event:s tolerance:f series_id:s step:f score:f matched:i", "select * from fx_matched")
 def match_detections(fx: Fixtures) -> DataFrame:
-    return evaluation.match_detections(fx.labels, fx.detections, TOLERANCES, block_steps=192)
+    return evaluation.match_detections(fx.labels, fx.detections, TOLERANCES, block_steps=384)
 
 
 def _ap_sql(source: str) -> str:
@@ -692,7 +692,7 @@ def pr_curve(fx: Fixtures) -> DataFrame:
     f"select sum(ap) / 2 as mean_ap from (select event, avg(ap) as ap from ({_ap_sql('fx_matched')}) group by event)",
 )
 def event_detection_ap(fx: Fixtures) -> DataFrame:
-    score, _ = evaluation.event_detection_ap(_truths(fx), fx.detections, TOLERANCES, block_steps=192)
+    score, _ = evaluation.event_detection_ap(_truths(fx), fx.detections, TOLERANCES, block_steps=384)
     return score
 
 
@@ -793,5 +793,5 @@ def oof_score(fx: Fixtures) -> DataFrame:
     )
     found = predictions.pick_peaks(raw, GRID, PEAKS)
     truths = labels.in_known_folds(_truths(fx), fx.folds)
-    score, _ = evaluation.event_detection_ap(truths, found, TOLERANCES, block_steps=192)
+    score, _ = evaluation.event_detection_ap(truths, found, TOLERANCES, block_steps=384)
     return score

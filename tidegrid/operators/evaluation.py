@@ -82,16 +82,21 @@ def greedy_match(times: np.ndarray, steps: np.ndarray, scores: np.ndarray, toler
 
 
 def match_detections(
-    truths: DataFrame, detections: DataFrame, tolerances: Tolerances = TOLERANCES, block_steps: float | None = None
+    truths: DataFrame,
+    detections: DataFrame,
+    tolerances: Tolerances = TOLERANCES,
+    block_steps: float | None = None,
+    bundle_steps: float = 6_307_200.0,
 ) -> DataFrame:
     """``event, tolerance, series_id, step, score, matched`` for every detection of a
     labelled series.
 
     Truths closer than twice the tolerance can compete for a detection; a wider gap
-    separates them for good.  So truths fall into clusters, each detection reaches at
-    most one, and the greedy step runs on bundles of clusters of ``block_steps`` length,
-    never on a whole series.  Detections that reach no truth are false positives and skip
-    the step.
+    separates them for good.  So truths fall into clusters and each detection reaches at
+    most one.  A detection that reaches none is a false positive.  In a cluster of one
+    truth the best detection wins, which is a ranking; only clusters of several truths
+    need the greedy walk, in bundles of clusters that start within ``bundle_steps``, never
+    a whole series.
     """
     widest = max(max(v) for v in tolerances.values())
     width = float(block_steps or max(17280.0, 4 * widest))
@@ -103,7 +108,9 @@ def match_detections(
     truth = truth.where(F.col("tols").isNotNull())
     labelled = truth_events(truths).select("series_id").distinct()
     found = (
-        detections.select(*keys, F.col("step").cast("double").alias("step"), F.col("score").cast("double"), tol.alias("tols"))
+        detections.select(
+            *keys, F.col("step").cast("double").alias("step"), F.col("score").cast("double"), tol.alias("tols")
+        )
         .dropna()
         .where(~F.isnan("step") & ~F.isnan("score"))
         .join(labelled, "series_id", "left_semi")
@@ -120,29 +127,53 @@ def match_detections(
             .alias("cluster"),
         ),
     )
-    per_tolerance = stage(
-        reach.select(*keys, "step", "score", F.inline(options)), "reachable-truths"
-    )
     columns = ["event", "tolerance", "series_id", "step", "score"]
-    missed = per_tolerance.where("cluster is null").select(*columns, F.lit(0).alias("matched"))
+    rows = stage(
+        reach.select(*keys, "step", "score", F.inline(options)).select(*columns, "cluster.first", "cluster.n"),
+        "reachable-truths",
+    )
+    missed = rows.where("n is null").select(*columns, F.lit(0).alias("matched"))
+    single = _best_of_cluster(rows.where("n = 1"), columns)
+    bundled = F.floor(F.col("first") / bundle_steps).cast("long").alias("bundle")
+    targets = clustered.select(
+        *keys, "step", F.inline(F.arrays_zip(F.col("tols").alias("tolerance"), F.col("clusters").alias("cluster")))
+    )
+    targets = targets.where("cluster.n > 1").select(*keys, "tolerance", "step", "cluster.first")
+    several = _greedy_bundles(
+        rows.where("n > 1").select(*columns, bundled), targets.select(*keys, "tolerance", "step", bundled), columns
+    )
+    return missed.unionByName(single).unionByName(several)
+
 
-    bundle = F.floor(F.col("cluster") / width).cast("long").alias("bundle")
-    near = per_tolerance.where("cluster is not null").select(*columns, "cluster", bundle)
-    targets = clustered.select(*keys, "step", F.inline(F.arrays_zip(F.col("tols").alias("tolerance"), F.col("clusters").alias("cluster"))))
-    targets = targets.select(*keys, "tolerance", "step", "cluster", bundle)
+def _best_of_cluster(rows: DataFrame, columns: list[str], salts: int = 16) -> DataFrame:
+    """Mark the best detection of each cluster (ties: earlier step).
 
+    Ranked per cluster and salt first; then the winners meet, at most ``salts`` of them,
+    so a cluster with very many detections is spread over tasks.
+    """
+    cluster = ["series_id", "event", "tolerance", "first"]
+    best_first = [F.col("score").desc(), F.col("step")]
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    local = F.row_number().over(Window.partitionBy(*cluster, "_salt").orderBy(*best_first))
+    salted = salted.withColumn("_lead", local == 1)
+    meet = F.when(F.col("_lead"), F.lit(-1).cast("long")).otherwise(F.col("_salt"))
+    salted = salted.withColumn("_meet", meet)
+    final = F.row_number().over(Window.partitionBy(*cluster, "_meet").orderBy(*best_first))
+    return salted.select(*columns, (F.col("_lead") & (final == 1)).cast("int").alias("matched"))
+
+
+def _greedy_bundles(near: DataFrame, targets: DataFrame, columns: list[str]) -> DataFrame:
     def kernel(dets: pd.DataFrame, gts: pd.DataFrame) -> pd.DataFrame:
         if dets.empty:
             return dets[columns].assign(matched=pd.Series(dtype="int32"))
-        times = gts["step"].to_numpy(float)
         tolerance = float(dets["tolerance"].iloc[0])
-        hit = greedy_match(times, dets["step"].to_numpy(float), dets["score"].to_numpy(float), tolerance)
+        steps, scores = dets["step"].to_numpy(float), dets["score"].to_numpy(float)
+        hit = greedy_match(gts["step"].to_numpy(float), steps, scores, tolerance)
         return dets[columns].assign(matched=hit)
 
     by = ["series_id", "event", "tolerance", "bundle"]
     schema = "event string, tolerance double, series_id string, step double, score double, matched int"
-    matched = near.groupBy(*by).cogroup(targets.groupBy(*by)).applyInPandas(kernel, schema)
-    return missed.unionByName(matched)
+    return near.groupBy(*by).cogroup(targets.groupBy(*by)).applyInPandas(kernel, schema)
 
 
 def _blocks_of(step: Column, width: float, before: float, after: float) -> Column:
@@ -153,7 +184,7 @@ def _blocks_of(step: Column, width: float, before: float, after: float) -> Colum
 
 
 def _clusters(truth: DataFrame, keys: list[str], width: float, reach: float) -> DataFrame:
-    """Truths with ``clusters``: per tolerance the step of the first truth of the cluster."""
+    """Truths with ``clusters``: per tolerance the first step and the size of the cluster."""
     copies = truth.withColumn("block", F.explode(_blocks_of(F.col("step"), width, reach, 0.0)))
     w = Window.partitionBy(*keys, "block").orderBy("step")
     own = copies.withColumn("_prev", F.lag("step").over(w)).where(F.floor(F.col("step") / width) == F.col("block"))
@@ -166,14 +197,16 @@ def _clusters(truth: DataFrame, keys: list[str], width: float, reach: float) ->
     running = Window.partitionBy(*part, "block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     cluster = F.coalesce(F.max("_start").over(running), "_before")
     named = long.join(before, [*part, "block"]).withColumn("_cluster", cluster)
+    sizes = named.groupBy(*part, "_cluster").agg(F.count(F.lit(1)).alias("_n"))
+    named = named.join(sizes, [*part, "_cluster"])
     # repeated truths at one step share their clusters; keep how many there are
     grouped = named.groupBy(*keys, "step").agg(
         F.first("tols").alias("tols"),
-        F.sort_array(F.collect_set(F.struct("_i", "_cluster"))).alias("_c"),
+        F.sort_array(F.collect_set(F.struct("_i", "_cluster", "_n"))).alias("_c"),
         F.sum(F.when(F.col("_i") == 0, 1)).alias("_copies"),
     )
     once = grouped.select(
-        *keys, "step", "tols", F.transform("_c", lambda c: c["_cluster"]).alias("clusters"), "_copies"
+        *keys, "step", "tols", F.transform("_c", lambda c: F.struct(c["_cluster"].alias("first"), c["_n"].alias("n"))).alias("clusters"), "_copies"
     )
     return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copy", "_copies")
 
