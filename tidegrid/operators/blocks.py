@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import floor_div
+from tidegrid.staging import stage
 
 
 @dataclass(frozen=True)
@@ -29,13 +30,23 @@ class Carry:
     side: str = "before"  # before | after
 
 
-def carry(table: DataFrame, keys: Sequence[str], bucket: str, specs: Sequence[Carry], span: int = 4096) -> DataFrame:
+def carry(
+    table: DataFrame,
+    keys: Sequence[str],
+    bucket: str,
+    specs: Sequence[Carry],
+    span: int = 4096,
+    staged: bool = False,
+) -> DataFrame:
     """Exclusive running aggregates over a block table, in two levels.
 
     ``table`` has one row per ``(keys, bucket)``.  Buckets are gathered in groups
-    of ``span`` so that even a key with very many blocks is spread out.
+    of ``span`` so that even a key with very many blocks is spread out.  Both levels
+    read the table, so it is staged unless the caller has done that.
     """
     keys = list(keys)
+    if not staged:
+        table = stage(table, "block-table")
     agg = {"sum": F.sum, "max": F.max, "min": F.min}
 
     def windows(part: list[str], order: str) -> dict[str, WindowSpec]:
@@ -92,6 +103,12 @@ def explode_blocks(df: DataFrame, rows: int, before: int = 0, after: int = 0, po
     return df.withColumn("block", F.explode(F.sequence(first, last)))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` for Python work.  The fixed number keeps adaptive execution
+    from merging partitions that are small in bytes but long in computation."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def is_core(rows: int, pos: str = "pos") -> Column:
     return floor_div(pos, rows) == F.col("block")
 

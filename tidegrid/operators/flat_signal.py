@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.config import FlatSignalConfig, GridConfig, centred_frame
 from tidegrid.functions.rolling import clip, nan_to_null
-from tidegrid.operators.blocks import explode_blocks, over_blocks
+from tidegrid.operators.blocks import explode_blocks, over_blocks, spread
 from tidegrid.operators.order_stats import at_offset, sliding_rank_value, sliding_std
 from tidegrid.operators.runs import with_runs
 from tidegrid.staging import stage
@@ -41,7 +41,8 @@ def noise_floor(df: DataFrame, cfg: FlatSignalConfig, block_rows: int) -> DataFr
         core = pdf["pos"] // block_rows == pdf["block"]
         return pdf.loc[core, ["series_id", "pos"]].assign(noise_floor=low[core])
 
-    out = blocks.groupBy("series_id", "block").applyInPandas(kernel, "series_id string, pos long, noise_floor double")
+    blocks = spread(blocks, "series_id", "block").groupBy("series_id", "block")
+    out = blocks.applyInPandas(kernel, "series_id string, pos long, noise_floor double")
     return out.withColumn("noise_floor", nan_to_null("noise_floor"))
 
 

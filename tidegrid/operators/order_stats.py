@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.rolling import nan_to_null
-from tidegrid.operators.blocks import Carry, carry, explode_blocks
+from tidegrid.operators.blocks import Carry, carry, explode_blocks, spread
 from tidegrid.staging import stage
 
 
@@ -69,7 +69,7 @@ def rolling_rank(
         return pdf.loc[core, [*keys, "pos"]].assign(**{out: value[core]})
 
     schema = T.StructType([narrow.schema[k] for k in [*keys, "pos"]] + [T.StructField(out, T.DoubleType())])
-    result = blocks.groupBy(*keys, "block").applyInPandas(kernel, schema)
+    result = spread(blocks, *keys, "block").groupBy(*keys, "block").applyInPandas(kernel, schema)
     return result.withColumn(out, nan_to_null(out))
 
 
@@ -112,9 +112,8 @@ def quantiles(
     rows per value range, and only the ranges that hold a wanted rank are sorted.
     """
     keys = list(keys)
-    df = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(
-        *keys, F.col(col).cast("double").alias(col)
-    )
+    df = df.select(*keys, F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull() & ~F.isnan(col))
+    df = stage(df, "quantile-input")
     sizes = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     large = sizes.where(F.col("n") > small_group)
     probs_sql = F.array(*[F.lit(float(p)) for p in probs])

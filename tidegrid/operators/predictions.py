@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegrid.config import GridConfig, PeakConfig, centred_frame
 from tidegrid.functions.rolling import rolling_mean
 from tidegrid.functions.scalar import floor_div, prediction_night
-from tidegrid.operators.blocks import Carry, carry, over_blocks, with_positions
+from tidegrid.operators.blocks import Carry, carry, over_blocks, spread, with_positions
 from tidegrid.operators.order_stats import quantiles, running_totals
 from tidegrid.operators.series_index import index_rows
 from tidegrid.staging import stage
@@ -85,23 +85,35 @@ def nms_peaks(df: DataFrame, cfg: PeakConfig, prob: str = "rolling_prob") -> Dat
     neighbours are certainly dropped, so nothing passes across it.  The first such row
     of each block is a cut: the stretches between cuts are suppressed independently,
     each in a task of its own, and the result equals that of the whole series.
+
+    Only a long plateau of equal values has no such row.  Inside it the kept rows repeat
+    every ``gap + 1`` rows, so whole periods are taken out before and get the fate of
+    their counterpart in the second period afterwards.
     """
-    gap, rows = cfg.gap_rows, cfg.block_rows
+    gap, rows, period = cfg.gap_rows, cfg.block_rows, cfg.gap_rows + 1
 
     def build(d: DataFrame, w) -> DataFrame:
         p = F.col(prob)
         left = F.max(prob).over(w.rowsBetween(-gap, -1))
         right = F.max(prob).over(w.rowsBetween(1, gap))
         best = F.coalesce(left < p, F.lit(True)) & F.coalesce(right <= p, F.lit(True))
-        return d.withColumn("_best", best)
-
-    marked = over_blocks(df, KEYS, rows, gap, gap, build, keep_block=True)
-    cuts = marked.groupBy(*KEYS, "block").agg(F.min(F.when(F.col("_best"), F.col("pos"))).alias("_cut"))
-    cuts = stage(cuts, "peak-cuts")
-    around = carry(cuts, KEYS, "block", [Carry("_prev", "max", "_cut"), Carry("_next", "min", "_cut", "after")])
-    around = around.join(cuts, [*KEYS, "block"])
+        # plateau of equal values inside the block proper
+        fresh = F.coalesce(F.lag(prob).over(w) != p, F.lit(True)) | (F.col("pos") % rows == 0)
+        d = d.withColumn("_best", best).withColumn("_fresh", F.when(fresh, F.col("pos")))
+        d = d.withColumn("_start", F.max("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        core = F.when(F.col("pos") < (F.col("block") + 1) * rows, F.col("pos"))
+        last = F.max(core).over(Window.partitionBy(*KEYS, "block", "_start"))
+        at = F.col("pos") - F.col("_start")
+        periods = F.floor((last - F.col("_start") + 1 - 3 * period) / period)
+        inner = (at >= 2 * period) & (at < (2 + periods) * period)
+        return d.withColumn("_twin", F.when(inner, F.col("_start") + period + at % period)).drop("_fresh", "_start")
+
+    marked = stage(over_blocks(df, KEYS, rows, gap, gap, build, keep_block=True), "peak-marks")
+    cuts = stage(marked.groupBy(*KEYS, "block").agg(F.min(F.when(F.col("_best"), F.col("pos"))).alias("_cut")), "cuts")
+    sides = [Carry("_prev", "max", "_cut"), Carry("_next", "min", "_cut", "after")]
+    around = carry(cuts, KEYS, "block", sides, staged=True).join(cuts, [*KEYS, "block"])
     after_cut = F.coalesce(F.col("pos") >= F.col("_cut"), F.lit(False))
-    cut_rows = marked.join(around, [*KEYS, "block"]).withColumns(
+    cut_rows = marked.where("_twin is null").join(around, [*KEYS, "block"]).withColumns(
         {
             "_from": F.when(after_cut, F.col("_cut")).otherwise(F.coalesce("_prev", F.lit(-1))),
             "_upto": F.when(after_cut, F.col("_next")).otherwise(F.coalesce("_cut", "_next")),
@@ -113,14 +125,18 @@ def nms_peaks(df: DataFrame, cfg: PeakConfig, prob: str = "rolling_prob") -> Dat
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
-        # removed rows leave holes only at the end of a stretch
         return pdf.loc[greedy_peaks(pdf[prob].to_numpy(float), gap), columns]
 
-    return open_rows.select(*columns, "_from").groupBy(*KEYS, "_from").applyInPandas(kernel, df.schema)
+    stretches = spread(open_rows.select(*columns, "_from"), *KEYS, "_from").groupBy(*KEYS, "_from")
+    kept = stage(stretches.applyInPandas(kernel, df.schema), "kept-rows")
+    fate = kept.select(*KEYS, F.col("pos").alias("_twin"))
+    copies = marked.where("_twin is not null").join(fate, [*KEYS, "_twin"], "left_semi")
+    return kept.unionByName(copies.select(*columns))
 
 
 def with_rank(peaks: DataFrame, cfg: PeakConfig, prob: str = "rolling_prob") -> DataFrame:
     """0-based ``rank`` per ``(series_id, event)`` by falling probability, ties by row."""
+    peaks = stage(peaks, "unranked-peaks")
     counts = stage(peaks.groupBy(*KEYS, prob).agg(F.count(F.lit(1)).alias("_m")), "peak-levels")
     above = running_totals(counts, KEYS, prob, ["_m"]).select(
         *KEYS, prob, (F.col("c__m") - F.col("_m")).alias("_above")
@@ -153,7 +169,7 @@ def pick_peaks(raw: DataFrame, grid: GridConfig, cfg: PeakConfig = PeakConfig(),
     smoothed = smooth(long, KEYS, "score", "rolling_prob", cfg).select(
         "series_id", "event", "pos", "step", "rolling_prob"
     )
-    peaks = stage(nms_peaks(stage(smoothed, "smoothed"), cfg), "peaks")
+    peaks = nms_peaks(smoothed, cfg)
     if ranked:
         peaks = stage(with_rank(peaks, cfg), "ranked-peaks")
     kept = above_quantile(peaks, cfg.quantile)

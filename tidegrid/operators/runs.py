@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.blocks import Carry, block_window, carry, explode_blocks, is_core
+from tidegrid.staging import stage
 
 
 def with_changes(df: DataFrame, keys: Sequence[str], col: str, eps: float, block_rows: int) -> DataFrame:
@@ -31,8 +32,9 @@ def with_changes(df: DataFrame, keys: Sequence[str], col: str, eps: float, block
 def with_runs(df: DataFrame, keys: Sequence[str], col: str, eps: float, block_rows: int) -> DataFrame:
     """Add ``run`` (id), ``run_len`` and ``run_pos`` (0-based) for ``col``.
 
-    ``df`` has ``keys`` and ``pos``.  Inside a block these follow from running counts;
-    a block table carries the counts and the nearest change on either side.
+    ``df`` has ``keys`` and ``pos`` and is read twice, so stage it if it is dear.  Inside
+    a block the answers follow from running counts; a block table carries the counts and
+    the nearest change on either side.
     """
     keys = list(keys)
     rows = with_changes(df, keys, col, eps, block_rows)
@@ -52,34 +54,25 @@ def with_runs(df: DataFrame, keys: Sequence[str], col: str, eps: float, block_ro
         F.min(at_change).alias("first_change"),
         F.max(at_change).alias("last_change"),
     )
-    base = carry(
-        per_block,
-        keys,
-        "block",
-        [
-            Carry("b_known", "sum", "n_known"),
-            Carry("b_change", "sum", "n_change"),
-            Carry("b_rows", "sum", "n_rows_b"),
-        ],
-    )
+    per_block = stage(per_block, "run-blocks")
+    totals = [Carry("b_known", "sum", "n_known"), Carry("b_change", "sum", "n_change")]
+    base = carry(per_block, keys, "block", totals, staged=True)
     shifted = per_block.join(base, [*keys, "block"]).withColumns(
         {
             "first_change": F.col("first_change") + F.col("b_known"),
             "last_change": F.col("last_change") + F.col("b_known"),
         }
     )
-    around = carry(
-        shifted,
-        keys,
-        "block",
-        [Carry("prev_change", "max", "last_change"), Carry("next_change", "min", "first_change", "after")],
-    )
+    shifted = stage(shifted, "run-blocks")
+    nearest = [Carry("prev_change", "max", "last_change"), Carry("next_change", "min", "first_change", "after")]
+    around = carry(shifted, keys, "block", nearest, staged=True)
     series = shifted.groupBy(*keys).agg(
         F.sum("n_rows_b").alias("s_rows"),
         F.sum("n_known").alias("s_known"),
         F.min("first_change").alias("s_first"),
     )
-    carried = base.join(around, [*keys, "block"]).join(series, keys)
+    own = shifted.select(*keys, "block", "b_known", "b_change")
+    carried = own.join(around, [*keys, "block"]).join(series, keys)
 
     out = rows.join(carried, [*keys, "block"])
     known, k = F.col("known") == 1, F.col("_k") + F.col("b_known")
