@@ -343,7 +343,7 @@ CTES: dict[str, str] = {
     "fx_ranked": """
       select event, tolerance, d.series_id, step, score,
              row_number() over (partition by event, tolerance, d.series_id order by score desc, step) as rn
-      from fx_det d, fx_tol where d.series_id in (select series_id from fx_labels)""",
+      from fx_det d, fx_tol where d.series_id in (select series_id from fx_labels where step is not null)""",
     # greedy matching, one detection per group and round
     "rec_match": """
       select event, tolerance, series_id, cast(0 as bigint) as rn, cast(null as double) as step,

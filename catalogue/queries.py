@@ -514,7 +514,7 @@ def _soft_sql(rows: str) -> str:
 
 @query("soft_targets", "series_id:s chunk:i invert:i slot:i onset:f wakeup:f", _soft_sql(REVERSED_SQL))
 def soft_targets(fx: Fixtures) -> DataFrame:
-    return chunks.soft_targets(chunks.with_reversed(_chunks(fx), LENGTH), LENGTH)
+    return chunks.soft_targets(chunks.with_reversed(_chunks(fx), LENGTH))
 
 
 def _exploded(arrays: DataFrame) -> DataFrame:
@@ -650,7 +650,7 @@ def _truths(fx: Fixtures) -> DataFrame:
 
 @query("match_detections", "event:s tolerance:f series_id:s step:f score:f matched:i", "select * from fx_matched")
 def match_detections(fx: Fixtures) -> DataFrame:
-    return evaluation.match_detections(fx.labels, fx.detections, TOLERANCES, block_steps=384)
+    return evaluation.match_detections(_truths(fx), fx.detections, TOLERANCES, block_steps=384)
 
 
 def _ap_sql(source: str) -> str:
@@ -764,7 +764,7 @@ MODEL_FEATURES = ["anglez", "enmo", "anglez_std_norm"]
 def _model_rows(fx: Fixtures, soft: bool) -> DataFrame:
     rows = labels.label_targets(fx.buckets, fx.labels, GRID).fillna(0, ["anglez_std_norm"])
     long = chunks.night_chunks(rows, GRID)
-    long = chunks.soft_targets(long, LENGTH) if soft else long
+    long = chunks.soft_targets(long) if soft else long
     return long.select("series_id", "step", "pos", "step_first", "mask", *MODEL_FEATURES, "onset", "wakeup")
 
 

@@ -66,14 +66,14 @@ def test_local_time_drops_the_zone_and_weeks_start_on_monday(spark):
 def test_soft_target_of_one_label(spark, sharpness, want, at):
     data = [("s", 0, i, int(i == at), 0) for i in range(16)]
     df = spark.createDataFrame(data, "series_id string, chunk long, slot long, onset int, wakeup int")
-    got = {r.slot: r.onset for r in chunks.soft_targets(df, 16, sharpness).collect()}
+    got = {r.slot: r.onset for r in chunks.soft_targets(df, sharpness).collect()}
     assert got == {i: pytest.approx(want.get(i - at, 0)) for i in range(16)}
 
 
 def test_soft_targets_add_up(spark):
     data = [("s", 0, i, int(i in (4, 9)), 0) for i in range(16)]
     df = spark.createDataFrame(data, "series_id string, chunk long, slot long, onset int, wakeup int")
-    got = {r.slot: r.onset for r in chunks.soft_targets(df, 16, 1).collect()}
+    got = {r.slot: r.onset for r in chunks.soft_targets(df, 1).collect()}
     x = np.zeros(16)
     x[[4, 9]] = 1
     y = np.convolve(x, [0.5, 1.7, 2.5, 1, 1.7, 0.5], mode="same")

@@ -27,12 +27,21 @@ def pad_rows(length: int) -> Column:
 
 
 def pad_first_night(df: DataFrame, length: int) -> DataFrame:
-    """Prepend empty rows with steps ``step_first - length .. -1``; add ``pad`` (rows put
-    in front of the series) and ``is_pad``."""
+    """Put empty rows with steps ``step_first - length .. -1`` before each series; add
+    ``pad`` (rows put in front) and ``is_pad``.
+
+    ``df`` has ``pos``.  The row at position 0 unfolds into the padding and itself, so
+    nothing is shuffled or read twice.
+    """
     df = df.withColumn("pad", pad_rows(length))
-    heads = df.groupBy("series_id").agg(F.max("pad").alias("pad"))
-    heads = heads.where("pad > 0").withColumn("step", F.explode(F.sequence(-F.col("pad"), F.lit(-1).cast("long"))))
-    return df.withColumn("is_pad", F.lit(0)).unionByName(heads.withColumn("is_pad", F.lit(1)), allowMissingColumns=True)
+    here = F.lit(0).cast("long")
+    unfolded = F.when(F.col("pos") == 0, F.sequence(-F.col("pad"), here)).otherwise(F.array(here))
+    rows = df.withColumn("_shift", F.explode(unfolded))
+    is_pad = F.col("_shift") < 0
+    kept = {"series_id", "pad", "step", "_shift"}
+    blank = {c: F.when(~is_pad, F.col(c)) for c in df.columns if c not in kept}
+    step = F.when(is_pad, F.col("_shift")).otherwise(F.col("step"))
+    return rows.withColumns({**blank, "step": step, "is_pad": is_pad.cast("int")}).drop("_shift")
 
 
 def night_chunks(df: DataFrame, grid: GridConfig) -> DataFrame:
@@ -52,48 +61,40 @@ def night_chunks(df: DataFrame, grid: GridConfig) -> DataFrame:
 def labelled_only(chunks: DataFrame) -> DataFrame:
     """Chunks that hold at least one label."""
     hit = F.coalesce("onset", F.lit(0)) + F.coalesce("wakeup", F.lit(0)) > 0
-    keys = chunks.where(hit).select("series_id", "chunk").distinct()
-    return chunks.join(keys, ["series_id", "chunk"], "left_semi")
+    hits = F.max(hit).over(Window.partitionBy("series_id", "chunk"))
+    return chunks.withColumn("_hit", hits).where("_hit").drop("_hit")
 
 
 def with_reversed(chunks: DataFrame, length: int) -> DataFrame:
     """Add each chunk once more with time running backwards (``invert`` = 1): slots
     mirrored, onset and wakeup swapped.  ``step`` stays that of the source row."""
-    same = chunks.withColumn("invert", F.lit(0))
-    mirrored = chunks.withColumns(
-        {"slot": length - 1 - F.col("slot"), "onset": F.col("wakeup"), "wakeup": F.col("onset"), "invert": F.lit(1)}
+    backwards = F.col("invert") == 1
+    return chunks.withColumn("invert", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns(
+        {
+            "slot": F.when(backwards, length - 1 - F.col("slot")).otherwise(F.col("slot")),
+            "onset": F.when(backwards, F.col("wakeup")).otherwise(F.col("onset")),
+            "wakeup": F.when(backwards, F.col("onset")).otherwise(F.col("wakeup")),
+        }
     )
-    return same.unionByName(mirrored)
 
 
-def soft_targets(chunks: DataFrame, length: int, sharpness: int = 1) -> DataFrame:
+def soft_targets(chunks: DataFrame, sharpness: int = 1) -> DataFrame:
     """Replace 0/1 labels by the kernel spread around them inside the chunk.
 
     Overlaps add up; a sum of exactly 1 counts as the peak; then all is scaled by the
-    peak.  Only label rows are spread and joined back.
+    peak.  A window group is one chunk; its slots have no holes, so offsets are rows.
     """
     keys = [c for c in ("series_id", "chunk", "invert") if c in chunks.columns]
-    kernel = F.array(
-        *[F.struct(F.lit(o).alias("by"), F.lit(w).alias("weight")) for o, w in SOFT_KERNELS[sharpness].items()]
-    )
-    labels = chunks.where((F.col("onset") > 0) | (F.col("wakeup") > 0))
-    spread = (
-        labels.select(*keys, "slot", "onset", "wakeup", F.explode(kernel).alias("k"))
-        .withColumn("slot", F.col("slot") + F.col("k.by"))
-        .where(F.col("slot").between(0, length - 1))
-        .groupBy(*keys, "slot")
-        .agg(
-            F.sum(F.coalesce("onset", F.lit(0)) * F.col("k.weight")).alias("_onset"),
-            F.sum(F.coalesce("wakeup", F.lit(0)) * F.col("k.weight")).alias("_wakeup"),
-        )
-    )
+    w = Window.partitionBy(*keys).orderBy("slot")
 
     def level(c: str) -> Column:
-        total = F.coalesce(c, F.lit(0.0))
+        total = F.lit(0.0)
+        for by, weight in SOFT_KERNELS[sharpness].items():
+            source = F.lag(c, by).over(w) if by >= 0 else F.lead(c, -by).over(w)
+            total = total + F.coalesce(source, F.lit(0)) * weight
         return F.when(total == 1, SOFT_PEAK).otherwise(total) / SOFT_PEAK
 
-    out = chunks.join(spread, [*keys, "slot"], "left")
-    return out.withColumns({"onset": level("_onset"), "wakeup": level("_wakeup")}).drop("_onset", "_wakeup")
+    return chunks.withColumns({"onset": level("onset"), "wakeup": level("wakeup")})
 
 
 def chunk_arrays(chunks: DataFrame, features: Sequence[str], length: int) -> DataFrame:

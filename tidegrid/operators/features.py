@@ -11,6 +11,7 @@ from tidegrid.config import GridConfig
 from tidegrid.functions.rolling import rolling_max, rolling_median, rolling_sum
 from tidegrid.operators.blocks import over_blocks
 from tidegrid.operators.order_stats import quantiles
+from tidegrid.staging import stage
 
 KEYS = ["series_id"]
 Hook = Callable[[DataFrame], DataFrame]
@@ -134,7 +135,7 @@ def apply_hook(df: DataFrame, hook: Hook | None) -> tuple[DataFrame, list[str]]:
     """Run a user hook; its new columns, sorted by name, are robust-scaled per series."""
     if hook is None:
         return df, []
-    out = df.transform(hook)
+    out = stage(df.transform(hook), "hooked")
     added = sorted(set(out.columns) - set(df.columns))
     return robust_scale(out, added), added
 

@@ -73,12 +73,14 @@ def rolling_rank(
     return result.withColumn(out, nan_to_null(out))
 
 
-def split_by_value(df: DataFrame, col: str, parts: int = 256, error: float = 1e-3) -> tuple[DataFrame, int]:
+def split_by_value(df: DataFrame, col: str, rows_per_part: int = 500_000) -> DataFrame:
     """Add ``bucket``: value ranges of ``col`` with similar row counts, cut at
     approximate quantiles.  The cut points only balance the work; any cut is right."""
-    cuts = df.approxQuantile(col, [i / parts for i in range(1, parts)], error)
+    parts = min(20_000, max(16, df.count() // rows_per_part))
+    cuts = df.approxQuantile(col, [i / parts for i in range(1, parts)], 1 / (2 * parts))
     splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
-    return Bucketizer(splits=splits, inputCol=col, outputCol="bucket").transform(df), len(splits) - 1
+    out = Bucketizer(splits=splits, inputCol=col, outputCol="bucket").transform(df)
+    return out.withColumn("bucket", F.col("bucket").cast("long"))
 
 
 def running_totals(
@@ -87,11 +89,10 @@ def running_totals(
     """Inclusive running sums of ``values`` in the order of ``order``, one row per
     distinct ``order`` value, without gathering a key in one task.
 
-    ``df`` has one row per ``(keys, order)``.
+    ``df`` has one row per ``(keys, order)`` and is read several times: stage it.
     """
     keys = list(keys)
-    parts, _ = split_by_value(df, order)
-    parts = parts.withColumn("bucket", F.col("bucket").cast("long"))
+    parts = split_by_value(df, order)
     totals = parts.groupBy(*keys, "bucket").agg(*[F.sum(v).alias(v) for v in values])
     side = "after" if descending else "before"
     shift = carry(totals, keys, "bucket", [Carry(f"_s_{v}", "sum", v, side) for v in values])

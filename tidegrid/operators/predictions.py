@@ -52,12 +52,13 @@ def raw_predictions(df: DataFrame, grid: GridConfig) -> DataFrame:
 
 def smooth(df: DataFrame, keys: Sequence[str], col: str, out: str, cfg: PeakConfig) -> DataFrame:
     """Two centred moving means in a row; rows without a full window become 0."""
-    (lo1, hi1), (lo2, hi2) = (centred_frame(n) for n in cfg.smooth_rows)
+    before, after = _reach(cfg)
+    return over_blocks(df, keys, cfg.block_rows, before, after, lambda d, w: _smoothed(d, w, col, out, cfg))
 
-    def build(d: DataFrame, w) -> DataFrame:
-        return _smoothed(d, w, col, out, cfg)
 
-    return over_blocks(df, keys, cfg.block_rows, -(lo1 + lo2), hi1 + hi2, build)
+def _reach(cfg: PeakConfig) -> tuple[int, int]:
+    frames = [centred_frame(n) for n in cfg.smooth_rows]
+    return -sum(lo for lo, _ in frames), sum(hi for _, hi in frames)
 
 
 def _smoothed(d: DataFrame, w, col: str, out: str, cfg: PeakConfig) -> DataFrame:
@@ -78,9 +79,14 @@ def greedy_peaks(prob: np.ndarray, gap: int) -> np.ndarray:
     return np.sort(np.array(kept, dtype=int))
 
 
-def nms_peaks(df: DataFrame, cfg: PeakConfig, prob: str = "rolling_prob") -> DataFrame:
+def nms_peaks(
+    df: DataFrame, cfg: PeakConfig, prob: str = "rolling_prob", smooth_from: str | None = None
+) -> DataFrame:
     """Greedy non-maximum suppression per ``(series_id, event)``; ``df`` has ``pos``.
 
+    With ``smooth_from`` the probability is first smoothed from that column, in the same
+    pass over the blocks.
+
     A row that is the best of its own ``gap`` neighbourhood is certainly kept and its
     neighbours are certainly dropped, so nothing passes across it.  The first such row
     of each block is a cut: the stretches between cuts are suppressed independently,
@@ -91,8 +97,13 @@ def nms_peaks(df: DataFrame, cfg: PeakConfig, prob: str = "rolling_prob") -> Dat
     their counterpart in the second period afterwards.
     """
     gap, rows, period = cfg.gap_rows, cfg.block_rows, cfg.gap_rows + 1
+    reach_back, reach_ahead = _reach(cfg) if smooth_from else (0, 0)
+    columns = df.columns if prob in df.columns else [*df.columns, prob]
+    columns = [c for c in columns if c != smooth_from]
 
     def build(d: DataFrame, w) -> DataFrame:
+        if smooth_from:
+            d = _smoothed(d, w, smooth_from, prob, cfg)
         p = F.col(prob)
         left = F.max(prob).over(w.rowsBetween(-gap, -1))
         right = F.max(prob).over(w.rowsBetween(1, gap))
@@ -108,7 +119,8 @@ def nms_peaks(df: DataFrame, cfg: PeakConfig, prob: str = "rolling_prob") -> Dat
         inner = (at >= 2 * period) & (at < (2 + periods) * period)
         return d.withColumn("_twin", F.when(inner, F.col("_start") + period + at % period)).drop("_fresh", "_start")
 
-    marked = stage(over_blocks(df, KEYS, rows, gap, gap, build, keep_block=True), "peak-marks")
+    marked = over_blocks(df, KEYS, rows, gap + reach_back, gap + reach_ahead, build, keep_block=True)
+    marked = stage(marked.select(*columns, "block", "_best", "_twin"), "peak-marks")
     cuts = stage(marked.groupBy(*KEYS, "block").agg(F.min(F.when(F.col("_best"), F.col("pos"))).alias("_cut")), "cuts")
     sides = [Carry("_prev", "max", "_cut"), Carry("_next", "min", "_cut", "after")]
     around = carry(cuts, KEYS, "block", sides, staged=True).join(cuts, [*KEYS, "block"])
@@ -121,14 +133,13 @@ def nms_peaks(df: DataFrame, cfg: PeakConfig, prob: str = "rolling_prob") -> Dat
     )
     # rows just before the next cut are dropped by it
     open_rows = cut_rows.where(F.col("_upto").isNull() | (F.col("pos") < F.col("_upto") - gap))
-    columns = [*df.columns]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
         return pdf.loc[greedy_peaks(pdf[prob].to_numpy(float), gap), columns]
 
     stretches = spread(open_rows.select(*columns, "_from"), *KEYS, "_from").groupBy(*KEYS, "_from")
-    kept = stage(stretches.applyInPandas(kernel, df.schema), "kept-rows")
+    kept = stage(stretches.applyInPandas(kernel, marked.select(*columns).schema), "kept-rows")
     fate = kept.select(*KEYS, F.col("pos").alias("_twin"))
     copies = marked.where("_twin is not null").join(fate, [*KEYS, "_twin"], "left_semi")
     return kept.unionByName(copies.select(*columns))
@@ -166,10 +177,7 @@ def pick_peaks(raw: DataFrame, grid: GridConfig, cfg: PeakConfig = PeakConfig(),
     long = indexed.select("series_id", "step", "pos", *EVENTS).unpivot(
         ["series_id", "step", "pos"], EVENTS, "event", "score"
     )
-    smoothed = smooth(long, KEYS, "score", "rolling_prob", cfg).select(
-        "series_id", "event", "pos", "step", "rolling_prob"
-    )
-    peaks = nms_peaks(smoothed, cfg)
+    peaks = nms_peaks(long, cfg, smooth_from="score")
     if ranked:
         peaks = stage(with_rank(peaks, cfg), "ranked-peaks")
     kept = above_quantile(peaks, cfg.quantile)

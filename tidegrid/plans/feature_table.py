@@ -144,7 +144,11 @@ def build_dataset(
     grid: GridConfig,
     hook: Hook | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Chunk rows of one variant and the hook's columns; ``rows`` are untrimmed features."""
+    """Chunk rows of one variant and the hook's columns; ``rows`` are untrimmed features.
+
+    Padding, chunk places and reversal are row-wise; the one exchange is by chunk, and the
+    soft targets and arrays that usually follow use it too.
+    """
     if variant.train:
         rows = trim_unlabelled_tail(rows, labels, grid)
     rows, added = apply_hook(rows, hook)
