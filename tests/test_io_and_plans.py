@@ -82,6 +82,25 @@ def test_windows_of_one_series_share_one_exchange(spark):
     assert text.split("(1)")[0].count("Exchange") == 1 and text.split("(1)")[0].count("Sort") == 1
 
 
+def test_chunks_targets_and_arrays_share_one_exchange(spark):
+    fx = fixtures(spark, SF)
+    rows = fx.buckets.withColumns({"onset": F.lit(0), "wakeup": F.lit(1)})
+    long, _ = feature_table.build_dataset(rows, fx.labels, feature_table.VARIANTS["clean_train"], GRID)
+    text = plan(chunks.chunk_arrays(chunks.soft_targets(long), ["anglez"], GRID.night_rows))
+    moves = [line for line in text.splitlines() if line.startswith("Arguments: hashpartitioning")]
+    assert sum("chunk" in line for line in moves) == 1
+    assert len(moves) == 2  # the other one finds the last labelled night
+
+
+@pytest.mark.parametrize("variant,inverted", [("basic_test", 1), ("basic_train", 2), ("no_inv_train", 1)])
+def test_variants(spark, variant, inverted):
+    fx = fixtures(spark, SF)
+    rows = fx.buckets.withColumns({"onset": F.lit(0), "wakeup": F.lit(1)})
+    long, _ = feature_table.build_dataset(rows, fx.labels, feature_table.VARIANTS[variant], GRID)
+    assert long.select("invert").distinct().count() == inverted
+    assert (long.where("mask = 1").count() == fx.buckets.count()) == (variant == "basic_test")
+
+
 @pytest.mark.parametrize("name", ["feature_table", "match_detections", "nms_peaks", "peak_picking", "soft_targets"])
 def test_no_cross_joins_and_no_row_wise_python(spark, name):
     text = plan(entry.queries()[name](spark, SF))
