@@ -2,6 +2,9 @@
 
 import contextlib
 import io
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -147,3 +150,20 @@ def test_profile_hook_matches_a_plain_group_mean(spark):
     df = spark.createDataFrame(data, "series_id string, st_hour int, st_step int, v double")
     got = sorted((r.series_id, r.v, r.mean_v) for r in time_of_day_profile(df, "v").collect())
     assert got == [("a", 1.0, 2.0), ("a", 3.0, 2.0), ("a", 5.0, 5.0), ("b", 9.0, 9.0)]
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    script = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "import __spark_entry__ as e\n"
+        "from tests.support import make_session\n"
+        "spark = make_session()\n"
+        "names = ['rolling_quantile', 'nms_peaks', 'match_detections', 'score_linear']\n"
+        "print([e.queries()[n](spark, sys.argv[2]).count() > 0 for n in names])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run(
+        [sys.executable, "-c", script, repo, SF], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "[True, True, True, True]" in out.stdout, out.stderr[-2000:]
