@@ -274,7 +274,11 @@ def downsample_query(fx: Fixtures) -> DataFrame:
     return downsample.downsample(scaled, GRID)
 
 
-@query("bucket_table", BUCKET_COLUMNS, BUCKET_SQL)
+@query(
+    "bucket_table",
+    BUCKET_COLUMNS,
+    f"select * replace (substring(timestamp, 1, 19) as timestamp) from ({BUCKET_SQL})",
+)
 def bucket_table(fx: Fixtures) -> DataFrame:
     return feature_table.bucket_table(fx.series, GRID, FLAT)
 

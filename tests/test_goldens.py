@@ -54,6 +54,8 @@ def test_local_time_drops_the_zone_and_weeks_start_on_monday(spark):
     out = scalar.with_time_parts(df)
     got = rows(out, "hour", "minute", "second", "day", "year", "weekday")
     assert got == [(0, 0, 30, 19, 2018, 7), (15, 30, 45, 14, 2018, 2)]
+    back = df.select(scalar.iso_local(scalar.local_seconds())).collect()
+    assert sorted(r[0] for r in back) == ["2018-08-14T15:30:45", "2018-08-19T00:00:30"]
     slot = out.select(scalar.half_minute(F.col("hour"), F.col("minute"), F.col("second"))).collect()
     assert sorted(r[0] for r in slot) == [1, 15 * 120 + 61]
 
@@ -203,3 +205,9 @@ def test_series_without_anchor(spark):
         tables.with_absolute_angle(df), series_index.series_constants(tables.with_absolute_angle(df), GridConfig())
     )
     assert all(r.anglez is None for r in scaled.collect())
+
+
+def test_text_before_1970_keeps_its_clock(spark):
+    df = spark.createDataFrame([("1969-12-31T23:59:58+0100",), ("1960-02-29T00:00:01Z",)], "timestamp string")
+    got = [r[0] for r in df.select(scalar.iso_local(scalar.local_seconds())).collect()]
+    assert got == ["1969-12-31T23:59:58", "1960-02-29T00:00:01"]

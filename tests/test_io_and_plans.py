@@ -15,6 +15,7 @@ from catalogue.fixtures import FLAT, GRID, fixtures
 from tidegrid.config import GridConfig
 from tidegrid.operators import chunks, model
 from tidegrid.operators.blocks import block_window, over_blocks
+from tidegrid.operators.downsample import downsample_signals
 from tidegrid.operators.features import TRAIN_FEATURES, time_of_day_profile
 from tidegrid.plans import feature_table
 from tidegrid.sources import tables
@@ -95,6 +96,12 @@ def test_chunks_targets_and_arrays_share_one_exchange(spark):
     assert len(moves) == 2  # the other one finds the last labelled night
 
 
+def test_bucket_reduction_hashes(spark):
+    fx = fixtures(spark, SF)
+    text = plan(downsample_signals(fx.absolute, fx.constants, GRID))
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Sort (" not in text
+
+
 @pytest.mark.parametrize("variant,inverted", [("basic_test", 1), ("basic_train", 2), ("no_inv_train", 1)])
 def test_variants(spark, variant, inverted):
     fx = fixtures(spark, SF)

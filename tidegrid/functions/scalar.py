@@ -17,7 +17,27 @@ def floor_div(a: Column | str, b: int) -> Column:
 def local_time(ts: Column | str = "timestamp") -> Column:
     """Wall-clock time of an ISO string: the zone offset is dropped, not applied."""
     col = F.col(ts) if isinstance(ts, str) else ts
-    return F.to_timestamp_ntz(F.substring(col, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    return F.substring(col, 1, 19).cast("timestamp_ntz")
+
+
+def local_seconds(ts: Column | str = "timestamp") -> Column:
+    """Wall-clock seconds since 1970-01-01 of an ISO string, as a number that
+    aggregates without sorting."""
+    col = F.col(ts) if isinstance(ts, str) else ts
+
+    def part(start: int) -> Column:
+        return F.substring(col, start, 2).cast("int")
+
+    days = F.unix_date(F.substring(col, 1, 10).cast("date")).cast("long")
+    return days * 86400 + part(12) * 3600 + part(15) * 60 + part(18)
+
+
+def iso_local(seconds: Column) -> Column:
+    """Back from :func:`local_seconds` to ``yyyy-MM-ddTHH:mm:ss``."""
+    day = F.floor(seconds / 86400).cast("int")
+    rest = seconds - day * 86400
+    clock = F.format_string("T%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)
+    return F.concat(F.date_from_unix_date(day).cast("string"), clock)
 
 
 def with_time_parts(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -40,8 +60,8 @@ def half_minute(hour: Column, minute: Column, second: Column) -> Column:
 
 
 def is_anchor(grid: GridConfig, ts: str = "timestamp") -> Column:
-    t = local_time(ts)
-    return (F.hour(t) == grid.init_hour) & (F.minute(t) == 0)
+    """Local time within the minute ``init_hour:00``, read off the text."""
+    return F.substring(ts, 12, 5) == f"{grid.init_hour:02d}:00"
 
 
 def night_of(step: Column, step_first: Column, grid: GridConfig) -> Column:

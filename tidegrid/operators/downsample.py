@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.config import GridConfig
-from tidegrid.functions.scalar import floor_div, is_anchor, night_of, time_of_night
+from tidegrid.functions.scalar import floor_div, is_anchor, iso_local, local_seconds, night_of, time_of_night
 
 
 def bucket(grid: GridConfig, step: str = "step") -> Column:
@@ -44,7 +44,9 @@ def downsample_signals(df: DataFrame, constants: DataFrame, grid: GridConfig) ->
 
     Means and deviations of z-scores are linear in those of the raw values, so rows
     are reduced before anything is shuffled and scaled afterwards.  ``raw_anglez``
-    keeps the unscaled mean for the day-lag comparison.
+    keeps the unscaled mean for the day-lag comparison.  ``timestamp`` is the local time
+    of the first row without its zone: it is carried as a number, since text would turn
+    the hash aggregation into two sorts of all rows.
     """
     anchored = df.join(constants.select("series_id", "step_first"), "series_id")
     since = time_of_night(F.col("step"), F.col("step_first"), grid)
@@ -54,7 +56,7 @@ def downsample_signals(df: DataFrame, constants: DataFrame, grid: GridConfig) ->
         .withColumn("step", bucket(grid))
         .groupBy("series_id", "step")
         .agg(
-            F.min_by("timestamp", "_step").alias("timestamp"),
+            F.min_by(local_seconds(), "_step").alias("_local"),
             F.min("_step").alias("_from"),
             F.max("_hour").alias("st_hour"),
             F.max("_rest").alias("st_step"),
@@ -72,7 +74,7 @@ def downsample_signals(df: DataFrame, constants: DataFrame, grid: GridConfig) ->
     return reduced.join(constants, "series_id").select(
         "series_id",
         "step",
-        "timestamp",
+        iso_local(F.col("_local")).alias("timestamp"),
         night_of(F.col("_from"), F.col("step_first"), grid).alias("night"),
         "st_hour",
         "st_step",
