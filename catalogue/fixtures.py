@@ -6,6 +6,7 @@ builder here and a SQL twin in ``CTES``.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,8 +74,8 @@ class Fixtures:
             angle.cast("double").alias("anglez"),
             F.when(flat, 0.0).otherwise(F.col("value") / 1000).alias("enmo"),
         )
-        path = f"{shared_dir(self.spark)}/fixtures/{self.sf_dir.strip('/').replace('/', '-')}-series-{id(self)}"
-        series.write.mode("overwrite").parquet(path)
+        path = f"{shared_dir(self.spark)}/tidegrid/fixtures/series-{uuid.uuid4().hex}"
+        series.write.parquet(path)
         return path
 
     @cached_property
