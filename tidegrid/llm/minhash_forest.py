@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     weight = cluster.join(classes.select("id", "n"), "id").groupBy("cluster").agg(F.sum("n").alias("weight"))
     weight = weight.select("cluster", F.ceil(F.col("weight") / block_shingles).alias("blocks"))
     member = stage(member.join(weight, "cluster").select("id", "th", "cluster", "blocks"), "cluster-members")
-    sets = part.join(member, ["id", "th"]).dropDuplicates(["id", "th"])
+    # texts are shuffled whatever the number of members: a plan that is the same at every size
+    sets = part.join(member.hint("merge"), ["id", "th"]).dropDuplicates(["id", "th"])
     sets = sets.withColumn("at", F.pmod(F.xxhash64("id"), "blocks")).withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)")))
     sets = sets.select("id", "text", "cluster", "at", F.least("at", "o").alias("lo"), F.greatest("at", "o").alias("hi"))
     keys = ["cluster", "lo", "hi"]

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import embedding_dedup, minhash_forest, mixing, packing, substring_dedup, url_filter
+from tidegrid.llm import (
+    embedding_dedup,
+    minhash_forest,
+    mixing,
+    packing,
+    substring_dedup,
+    toxicity,
+    url_filter,
+    vector_graph,
+    warc,
+)
 
 #: Folder-independent name of the tokenizer file; see ``tokenizer_path``.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    held = F.pmod(F.crc32(F.col("row.doc_id").cast("string")), F.lit(3)) == 1
+    return scored.select("row.doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +80,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_vector_graph,
+        op2_warc,
+        op4_toxicity,
         op5_embedding_near_dedup,
         op6_mixing,
         op7_substring_dedup,

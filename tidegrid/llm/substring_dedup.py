@@ -146,7 +146,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared = stage(shared.join(least, ["anchor", "context"]), "met-anchors")
     whole = shared.where("id > least").select("id", "th", "lo", "hi")
     open_ = shared.where("id = least and mixed").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("spans"))
-    windows = part.join(open_, ["id", "th"]).mapInPandas(_extend(window), "anchor long, w long, id long, th long, start int")
+    windows = part.join(open_.hint("merge"), ["id", "th"]).mapInPandas(_extend(window), "anchor long, w long, id long, th long, start int")
     windows = stage(windows, "open-windows")
     first = windows.groupBy("anchor", "w").agg(F.min("id").alias("least"))
     met_again = windows.join(first, ["anchor", "w"]).where("id > least")
@@ -168,4 +168,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.xxhash64(text).alias("th"),
     )
     cut = F.pandas_udf(_cut, "n_words long, n_removed long, kept_sha256 string, clean string")
-    return part.join(spans, ["id", "th"], "left").select("row", cut(f"row.{text}", "spans").alias("cut"))
+    return part.join(spans.hint("merge"), ["id", "th"], "left").select("row", cut(f"row.{text}", "spans").alias("cut"))
