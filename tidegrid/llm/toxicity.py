@@ -21,12 +21,14 @@ from tidegrid.staging import stage
 
 GAP, DECAY = 2, 0.6
 KEYS = 1 << 18
+COST = 3_000
+MARK = 63  # start and end of a word
 
-_LETTER = np.zeros(256, np.uint8)  # 0: left out; 1-26 letters, 27 digits, 28-63 bytes beyond ASCII
+_LETTER = np.zeros(256, np.uint8)  # 0: left out; 1-26 letters, 27 digits, 28-62 bytes beyond ASCII
 _LETTER[97:123] = np.arange(1, 27)
 _LETTER[65:91] = np.arange(1, 27)
 _LETTER[48:58] = 27
-_LETTER[128:192] = 28 + np.arange(64) % 36
+_LETTER[128:192] = 28 + np.arange(64) % 35
 
 
 def letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +37,10 @@ def letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     place = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
     code = _LETTER[data[place]]
     owner = np.repeat(np.arange(len(n)), n)[code > 0]
-    return code[code > 0], np.searchsorted(owner, np.arange(len(n) + 1))
+    code, edge = code[code > 0], np.searchsorted(owner, np.arange(len(n) + 1))
+    some = np.flatnonzero(np.diff(edge))  # each word gets a mark at both ends, words without letters stay empty
+    marked = np.insert(code, np.stack([edge[some], edge[some + 1]], axis=1).ravel(), MARK)
+    return marked, edge + 2 * np.searchsorted(some, np.arange(len(n) + 1))
 
 
 def triples(code: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -70,10 +75,10 @@ class Model:
         return value / norms(code, edge) + self.bias
 
     def features(self, texts: pd.Series) -> np.ndarray:
-        """Per text: largest word margin, log of the number of positive words, and their share."""
+        """Per text: largest word margin, logs of the numbers of positive and of sure words, share of the latter."""
         w = words.split(texts, lower=True)
         w = with_spelled_words(w)
-        out = np.zeros((len(w.first) - 1, 3))
+        out = np.zeros((len(w.first) - 1, 4))
         out[:, 0] = -3.0
         if not len(w.starts):
             return out
@@ -85,7 +90,9 @@ class Model:
         out[some, 0] = np.clip(np.maximum.reduceat(margin, w.first[some]), -3, 3)
         hits = np.add.reduceat((margin > 0).astype(np.float64), w.first[some])
         out[some, 1] = np.log1p(hits)
-        out[some, 2] = hits / np.diff(w.first)[some]
+        sure = np.add.reduceat((margin > 0.5).astype(np.float64), w.first[some])
+        out[some, 2] = np.log1p(sure)
+        out[some, 3] = np.log1p(100 * sure / np.diff(w.first)[some])
         return out
 
     def score(self, texts: pd.Series) -> np.ndarray:
@@ -138,7 +145,9 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return letters(np.frombuffer(b"".join(raw), np.uint8), ends - n, ends)
 
 
-def train_machine(positive: list[str], negative: list[str], landmarks: int, seed: int = 4) -> tuple[np.ndarray, float]:
+def train_machine(
+    positive: list[str], negative: list[str], weights: np.ndarray, landmarks: int, seed: int = 4
+) -> tuple[np.ndarray, float]:
     """Kernel machine on words: weights per triple key and the bias.
 
     Each positive word is shown twice more with a letter put in at random.  Squared hinge loss
@@ -179,7 +188,7 @@ def train_machine(positive: list[str], negative: list[str], landmarks: int, seed
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
     z = np.hstack([kernel(shown + negative) @ root, np.ones((len(y), 1))])
-    cost = np.where(y > 0, 1 / len(shown), 1 / len(negative)) * 200
+    cost = np.concatenate([np.full(len(shown), 1 / len(shown)), weights / weights.sum()]) * COST
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
     v = np.zeros(z.shape[1])
@@ -194,6 +203,15 @@ def train_machine(positive: list[str], negative: list[str], landmarks: int, seed
     return weight, float(v[-1])
 
 
+def _margins(model: Model):
+    def margins(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield frame.assign(margin=model.words(*_codes(frame.word.tolist())))
+
+    return margins
+
+
 def fit_head(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge."""
     z = np.hstack([x, np.ones((len(x), 1))])
@@ -216,14 +234,16 @@ def fit(
     label: str = "toxic",
     sample: int = 12_000,
     words_per_class: int = 4_000,
-    landmarks: int = 384,
+    landmarks: int = 768,
+    rounds: int = 2,
 ) -> Model:
     """Learn from at most ``sample`` labelled documents, those with the smallest id hashes.
 
     One half (by id hash) gives the words: positive are those found in at least four groups of
     toxic texts and in four of five of their groups; negative are words of clean texts, the
-    commonest and as many others by hash.  At most ``words_per_class`` of each reach the
-    driver.  The other half fits the logistic head.  Without toxic or clean rows, or without
+    commonest, as many others by hash, and in each further round those nearest to the positive
+    side.  At most ``words_per_class`` of a kind reach the driver at once.  The other half fits
+    the logistic head.  Without toxic or clean rows, or without
     positive words, every text scores the smoothed share of toxic rows.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
@@ -239,24 +259,27 @@ def fit(
     per_word = found.distinct().groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     per_word = stage(per_word, "word-statistics")
     positive = per_word.where("t >= 4 and t >= 0.8 * n").orderBy(F.desc("t"), "word").limit(words_per_class)
-    clean = per_word.where("t <= 0.3 * n")
+    clean = per_word.where("t <= 0.3 * n").select("word", "n")
     common = clean.orderBy(F.desc("n"), "word").limit(words_per_class // 2)
     other = clean.orderBy(F.xxhash64("word"), "word").limit(words_per_class // 2)
     yes = [r.word for r in positive.collect()]
-    no = list(dict.fromkeys(r.word for r in common.collect() + other.collect()))
+    no = {r.word: r.n for r in common.collect() + other.collect()}
     if not yes or not no:
         return Model(np.zeros(KEYS, np.float32), 0.0, None, base)
-    weight, bias = train_machine(yes, no, landmarks)
-    model = Model(weight, bias, None, base)
+    model = Model(*train_machine(yes, list(no), np.sqrt(list(no.values())), landmarks), None, base)
+    for _ in range(rounds):  # the clean words that look most toxic join the negatives
+        hard = clean.mapInPandas(_margins(model), "word string, n long, margin double")
+        no |= {r.word: r.n for r in hard.orderBy(F.desc("margin"), "word").limit(words_per_class).collect()}
+        model = Model(*train_machine(yes, list(no), np.sqrt(list(no.values())), landmarks), None, base)
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in words.batches(frames):
             x = model.features(frame.text)
-            yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": frame.toxic.to_numpy()})
+            yield pd.DataFrame(x, columns=["a", "b", "c", "d"]).assign(y=frame.toxic.to_numpy())
 
-    seen = rows.where("half = 1").select("text", "toxic").mapInPandas(describe, "a double, b double, c double, y int").toPandas()
+    seen = rows.where("half = 1").select("text", "toxic").mapInPandas(describe, "a double, b double, c double, d double, y int").toPandas()
     if seen.y.nunique() == 2:
-        model.head = fit_head(seen[["a", "b", "c"]].to_numpy(), seen.y.to_numpy(float))
+        model.head = fit_head(seen[["a", "b", "c", "d"]].to_numpy(), seen.y.to_numpy(float))
     return model
 
 
