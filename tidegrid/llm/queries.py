@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import (
+    context_mixing,
     embedding_dedup,
     minhash_forest,
     mixing,
@@ -42,6 +43,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = context_mixing.score_texts(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_vector_graph,
         op2_warc,
+        op3_context_mixing,
         op4_toxicity,
         op5_embedding_near_dedup,
         op6_mixing,

@@ -140,15 +140,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     met = seeds.groupBy("anchor").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.min("context").alias("c1"), F.max("context").alias("c2")
     )
-    met = met.where("low < high").select("anchor", (F.col("c1") < F.col("c2")).alias("mixed"))
+    # written, so that the joins have plain exchanges on both sides and a hot anchor can be split
+    met = stage(met.where("low < high").select("anchor", (F.col("c1") < F.col("c2")).alias("mixed")), "anchors-met")
     shared = stage(seeds.join(met, "anchor"), "shared-anchors")
-    least = shared.groupBy("anchor", "context").agg(F.min("id").alias("least"))
+    least = stage(shared.groupBy("anchor", "context").agg(F.min("id").alias("least")), "least-ids")
     shared = stage(shared.join(least, ["anchor", "context"]), "met-anchors")
     whole = shared.where("id > least").select("id", "th", "lo", "hi")
     open_ = shared.where("id = least and mixed").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("spans"))
     windows = part.join(open_.hint("merge"), ["id", "th"]).mapInPandas(_extend(window), "anchor long, w long, id long, th long, start int")
     windows = stage(windows, "open-windows")
-    first = windows.groupBy("anchor", "w").agg(F.min("id").alias("least"))
+    first = stage(windows.groupBy("anchor", "w").agg(F.min("id").alias("least")), "least-ids")
     met_again = windows.join(first, ["anchor", "w"]).where("id > least")
     return whole.unionByName(met_again.select("id", "th", F.col("start").alias("lo"), (F.col("start") + window).alias("hi")))
 
