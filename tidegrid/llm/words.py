@@ -88,7 +88,7 @@ def span_hashes(word_hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.n
     return mix((total[hi] - total[lo]) * powers(_INVERSE, n + 1)[lo] + (hi - lo).astype(np.uint64))
 
 
-def batches(frames: Iterator[pd.DataFrame], text: str = "text", most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def batches(frames: Iterator[pd.DataFrame], text: str = "text", most: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Cut frames so that the texts of each hold about ``most`` characters, one row at least."""
     for frame in frames:
         if frame.empty:
