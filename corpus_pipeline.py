@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import minhash_forest, mixing, packing, substring_dedup
+from tidegrid.llm import minhash_forest, mixing, packing, substring_dedup, toxicity
 from tidegrid.llm.queries import tokenizer_path
 from tidegrid.staging import stage
 
 
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine, trained on the labels, rejects go; all others stay as they are."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_toxicity(docs, labels).where("predicted = 0").select("row.*")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id; one row of it."""
     found = minhash_forest.near_duplicates(docs, percent=80).where("kept")
@@ -45,6 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", clean_language),
     ("minhash_near_dedup", near_duplicates),
     ("substring_dedup", substring),
     ("mixing", mixture),
