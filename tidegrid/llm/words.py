@@ -6,11 +6,13 @@ work and character work agree.  Hashes are 64-bit polynomials of the bytes, mixe
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 PATTERN = r"[^\x20\x09-\x0D]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +90,12 @@ def span_hashes(word_hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.n
     return mix((total[hi] - total[lo]) * powers(_INVERSE, n + 1)[lo] + (hi - lo).astype(np.uint64))
 
 
+def give_back() -> None:
+    """Hand freed memory back at the end of a task: Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(frames: Iterator[pd.DataFrame], text: str = "text", most: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Cut frames so that the texts of each hold about ``most`` characters, one row at least."""
     for frame in frames:
@@ -97,6 +105,8 @@ def batches(frames: Iterator[pd.DataFrame], text: str = "text", most: int = 2_00
         part = (np.cumsum(size) - size) // most
         for at in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(part)) + 1):
             yield frame.iloc[at]
+        del frame, size, part
+    give_back()
 
 
 def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -123,6 +133,8 @@ def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
             rest = [frame]
     if rest:
         yield pd.concat(rest, ignore_index=True)
+    del rest
+    give_back()
 
 
 def borders(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
