@@ -23,18 +23,19 @@ Tolerances = Mapping[str, Sequence[float]]
 def check_inputs(truths: DataFrame, detections: DataFrame, tolerances: Tolerances) -> None:
     """Raise ``ValueError`` where the inputs cannot be scored."""
     if not tolerances:
-        raise ValueError("Events must have defined tolerances.")
+        raise ValueError("no tolerances given: name at least one event")
     for name in ("series_id", "step", "event", "score"):
         if name not in detections.columns:
-            raise ValueError(f"Submission must have column '{name}'.")
-    for what, df, names in (("Solution", truths, ["step"]), ("Submission", detections, ["step", "score"])):
+            raise ValueError(f"detections lack {name!r}; they have {sorted(detections.columns)}")
+    for what, df, names in (("labels", truths, ["step"]), ("detections", detections, ["step", "score"])):
         for name in names:
             if not isinstance(df.schema[name].dataType, T.NumericType):
-                raise ValueError(f"{what} column '{name}' must be of numeric type.")
+                raise ValueError(f"{what}.{name} is {df.schema[name].dataType.simpleString()}, a number is needed")
     # more names than expected is already an error, so the read is bounded
     found = truth_events(truths).select("event").distinct().limit(len(tolerances) + 1).collect()
     if {r["event"] for r in found} != set(tolerances):
-        raise ValueError("Solution column 'event' must contain the same events as defined in tolerances.")
+        names = sorted(str(r["event"]) for r in found)
+        raise ValueError(f"labels hold the events {names}, tolerances are given for {sorted(tolerances)}")
 
 
 def truth_events(truths: DataFrame) -> DataFrame:

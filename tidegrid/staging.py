@@ -19,23 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path:
         return path
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tidegrid-")
     sc.setCheckpointDir(path)
     return path
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """Folder of this application alone, so that jobs that share the folder don't meet."""
+    return f"{shared_dir(spark)}/tidegrid/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_stages(spark: SparkSession) -> None:
-    """Delete all tables written by :func:`stage`; call it once results are saved."""
+    """Delete the tables that :func:`stage` wrote in this application; call it once results are saved."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidegrid")
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
