@@ -38,7 +38,7 @@ FLAT = FlatSignalConfig(
     noise_run=2,
 )
 PEAKS = PeakConfig(block_rows=256)
-TOLERANCES = {"onset": [2, 4, 8, 12], "wakeup": [2, 4, 8, 12]}
+TOLERANCES = {event: [1, 2, 3, 4, 5, 6, 8, 10, 11, 12] for event in ("onset", "wakeup")}
 N_MODELS = 3
 
 START = "timestamp_ntz'2024-01-01 09:00:00'"
@@ -141,7 +141,7 @@ class Fixtures:
 
     @property
     def detections(self) -> DataFrame:
-        rows = self.raw.where("model = 0 and step % 3 = 0")
+        rows = self.raw.where("model = 0")
         wide = rows.select("series_id", (F.col("step") * 2 - 0.5).alias("step"), "onset", "wakeup")
         return wide.unpivot(["series_id", "step"], ["onset", "wakeup"], "event", "score")
 
@@ -215,10 +215,10 @@ CTES: dict[str, str] = {
             from fx_series), (values (0), (1), (2)) as m(model)""",
     "fx_det": """
       select series_id, step * 2 - 0.5::double as step, 'onset' as event, onset as score
-      from fx_raw where model = 0 and step % 3 = 0
+      from fx_raw where model = 0
       union all
-      select series_id, step * 2 - 0.5::double, 'wakeup', wakeup from fx_raw where model = 0 and step % 3 = 0""",
-    "fx_tol": "select * from (values (2.0::double), (4.0), (8.0), (12.0)) as t(tolerance)",
+      select series_id, step * 2 - 0.5::double, 'wakeup', wakeup from fx_raw where model = 0""",
+    "fx_tol": "select * from (values (1.0::double), (2.0), (3.0), (4.0), (5.0), (6.0), (8.0), (10.0), (11.0), (12.0)) as t(tolerance)",
     "fx_match": """
       select d.*, tolerance,
              case when (cast(step + 0.5 as bigint) * 7 + cast(tolerance as bigint)) % 5 = 0 then 1 else 0 end as matched

@@ -155,7 +155,7 @@ def test_quantiles_of_large_groups(spark):
     rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("hot", None), ("small", float("nan"))]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.25, 0.5, 0.87, 1.0]
-    got = {r.k: r.q for r in order_stats.quantiles(df, ["k"], "v", probs, small_group=100).collect()}
+    got = {r.k: r.q for r in order_stats.quantiles(df, ["k"], "v", probs).collect()}
     for k, vs in data.items():
         assert got[k] == pytest.approx(list(np.quantile(vs, probs)))
 

@@ -109,7 +109,7 @@ def activity_burst(df: DataFrame, grid: GridConfig, sizes: Sequence[int] = (60,
     return over_blocks(df, KEYS, grid.bucket_block_rows, 2 * max(sizes), 0, build)
 
 
-def robust_scale(df: DataFrame, columns: Sequence[str], small_group: int = 1_000_000) -> DataFrame:
+def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(x - median) / IQR`` per series; an IQR of 0 counts as 1, nulls stay null.
 
     All columns share one quantile job, with the column name as a second key.
@@ -118,7 +118,7 @@ def robust_scale(df: DataFrame, columns: Sequence[str], small_group: int = 1_000
         return df
     values = df.select("series_id", *[F.col(c).cast("double").alias(c) for c in columns])
     long = values.unpivot(["series_id"], list(columns), "_name", "_value")
-    q = quantiles(long, ["series_id", "_name"], "_value", [0.25, 0.5, 0.75], small_group)
+    q = quantiles(long, ["series_id", "_name"], "_value", [0.25, 0.5, 0.75])
     wide = q.groupBy("series_id").agg(
         *[F.first(F.when(F.col("_name") == c, F.col("q")), ignorenulls=True).alias(f"_q_{c}") for c in columns]
     )

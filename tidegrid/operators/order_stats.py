@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,26 +72,19 @@ def rolling_rank(
     return result.withColumn(out, nan_to_null(out))
 
 
-def split_by_value(df: DataFrame, col: str, rows_per_part: int = 500_000) -> DataFrame:
-    """Add ``bucket``: value ranges of ``col`` with similar row counts, cut at
-    approximate quantiles.  The cut points only balance the work; any cut is right."""
-    parts = min(20_000, max(16, df.count() // rows_per_part))
-    cuts = df.approxQuantile(col, [i / parts for i in range(1, parts)], 1 / (2 * parts))
-    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
-    out = Bucketizer(splits=splits, inputCol=col, outputCol="bucket").transform(df)
-    return out.withColumn("bucket", F.col("bucket").cast("long"))
-
-
 def running_totals(
     df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], descending: bool = True
 ) -> DataFrame:
     """Inclusive running sums of ``values`` in the order of ``order``, one row per
     distinct ``order`` value, without gathering a key in one task.
 
-    ``df`` has one row per ``(keys, order)`` and is read several times: stage it.
+    ``df`` has one row per ``(keys, order)``.  Rows are dealt into ranges of ``(keys, order)``, as
+    many as there are shuffle partitions; each range is summed alone and takes over what
+    the ranges of its key before it hold.
     """
     keys = list(keys)
-    parts = split_by_value(df, order)
+    ranged = df.repartitionByRange(*keys, order).withColumn("bucket", F.spark_partition_id().cast("long"))
+    parts = stage(ranged, "value-ranges")
     totals = parts.groupBy(*keys, "bucket").agg(*[F.sum(v).alias(v) for v in values])
     side = "after" if descending else "before"
     shift = carry(totals, keys, "bucket", [Carry(f"_s_{v}", "sum", v, side) for v in values])
@@ -103,32 +95,18 @@ def running_totals(
     return out.drop("bucket", *[f"_s_{v}" for v in values])
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], small_group: int = 1_000_000
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group: ``keys, q`` (array as ``probs``).
 
-    Spark's ``percentile`` keeps a group's distinct values in one buffer.  That serves
-    groups of up to ``small_group`` rows; a larger one is narrowed down by counting
-    rows per value range, and only the ranges that hold a wanted rank are sorted.
+    Rows are counted by value and ranked by running counts over value ranges, so no group
+    is held in one buffer.
     """
-    keys = list(keys)
+    keys, probs = list(keys), list(probs)
     df = df.select(*keys, F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull() & ~F.isnan(col))
-    df = stage(df, "quantile-input")
-    sizes = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
-    large = sizes.where(F.col("n") > small_group)
-    probs_sql = F.array(*[F.lit(float(p)) for p in probs])
-    if large.isEmpty():
-        return df.groupBy(*keys).agg(F.percentile(col, probs_sql).alias("q"))
-    few = df.join(large.select(*keys), keys, "left_anti")
-    direct = few.groupBy(*keys).agg(F.percentile(col, probs_sql).alias("q"))
-    return direct.unionByName(_large_quantiles(df.join(large, keys), keys, col, list(probs)))
-
-
-def _large_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float]) -> DataFrame:
     # one row per distinct value, so ties weigh nothing
-    counted = df.groupBy(*keys, "n", col).agg(F.count(F.lit(1)).alias("m"))
-    ranked = running_totals(stage(counted, "value-counts"), [*keys, "n"], col, ["m"], descending=False)
+    counted = stage(df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("m")), "value-counts")
+    ranked = running_totals(counted, keys, col, ["m"], descending=False)
+    ranked = ranked.join(counted.groupBy(*keys).agg(F.sum("m").alias("n")), keys)
     # the value at 0-based rank r is the first one whose running count exceeds r
     targets = F.array(
         *[
