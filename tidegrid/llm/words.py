@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 PATTERN = r"[^\x20\x09-\x0D]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -96,6 +98,18 @@ def give_back() -> None:
     ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for jobs that run inside: whole texts make the usual batch tens of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def batches(frames: Iterator[pd.DataFrame], text: str = "text", most: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Cut frames so that the texts of each hold about ``most`` characters, one row at least."""
     for frame in frames:
