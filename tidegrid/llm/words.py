@@ -110,7 +110,7 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def batches(frames: Iterator[pd.DataFrame], text: str = "text", most: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def batches(frames: Iterator[pd.DataFrame], text: str = "text", most: int = 600_000) -> Iterator[pd.DataFrame]:
     """Cut frames so that the texts of each hold about ``most`` characters, one row at least."""
     for frame in frames:
         if frame.empty:
