@@ -98,4 +98,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_url_filter,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_embedding_near_dedup": """
+with recursive raw as (
+  select vec_id, cast(embedding as double[]) as v from embeddings where embedding is not null),
+vec as (
+  select vec_id, v, sqrt(list_inner_product(v, v)) as norm from raw
+  where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(v) > 0 and list_inner_product(v, v) > 0),
+link as materialized (
+  select a.vec_id as a, b.vec_id as b from vec a join vec b on a.vec_id <> b.vec_id
+  where list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on l.a = r.b)
+select e.vec_id, coalesce(n.n, 0) as n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) as component_id,
+       least(e.vec_id, coalesce(c.low, e.vec_id)) = e.vec_id as kept
+from embeddings e
+left join (select a, count(*) as n from link group by a) n on n.a = e.vec_id
+left join (select a, min(b) as low from reach group by a) c on c.a = e.vec_id""",
+}
