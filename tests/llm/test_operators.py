@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.support import make_session
 from tidegrid.llm import (
     components,
@@ -165,6 +166,34 @@ def test_minhash_forest(docs, empty):
     assert minhash_forest.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_rows_without_id(session):
+    a, b, c, d = (text(100) for _ in range(4))
+    rows = [(5, a), (9, b), (None, a + " tail"), (None, b + " tail"), (None, c), (None, c), (None, c + " tail"), (None, d), (None, ""), (None, None)]
+    rows += [(20, text(50)), (20, text(50)), ((1 << 63) - 1, d + " tail"), ((1 << 63) - 2, d + " end")]
+    frame = session.createDataFrame(rows, "doc_id long, text string")
+    words_of = [(t or "").split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in words_of]
+    same = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] is not None and rows[i][0] == rows[j][0] or rows[i] == rows[j]]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = reach(len(rows), edges + same)
+    want = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in root}
+    for some in (frame, frame.where("doc_id is null or doc_id < 100")):
+        n = some.count()
+        found = minhash_forest.near_duplicates(some, percent=80).collect()
+        assert len(found) == n
+        kept = [(r["doc_id"], r.text) for r in corpus_pipeline.near_duplicates(session, some, "").collect()]
+        there = [i for i in range(len(rows)) if n == len(rows) or rows[i][0] is None or rows[i][0] < 100]
+        if n == len(rows):
+            assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == sorted((rows[i][0] or 0, want[root[i]] or 0) for i in there)
+        groups = {}
+        for i in there:
+            groups.setdefault(root[i], []).append(rows[i])
+        for rows_of in groups.values():
+            own = [r for r in kept if r in rows_of]
+            assert len(own) == 1 and own[0][0] == min((d for d, _ in rows_of if d is not None), default=None)
+        assert len(kept) == len(groups)
+
+
 def test_substring_dedup(docs, empty):
     first = {}
     for d, t, _ in sorted(DOCS, key=lambda r: (r[0] is None, r[0])):

@@ -13,12 +13,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.staging import stage
 
 CHUNK = 1_000_000
+#: Nodes of rows without an id are this and above.
+FREE = 1 << 62
+
+
+def free_node(h: Column) -> Column:
+    """Graph node of a row without an id, from the hash of its content."""
+    return F.lit(FREE) + F.xxhash64(F.lit("no id"), h).bitwiseAND(F.lit(FREE - 1))
+
+
+def led_by_ids(component: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, component, idless)``: the smallest id leads; ``idless`` tells components without any.
+
+    ``nodes`` has ``node`` and whether it is ``free``, the node of a row without an id.
+    """
+    if nodes.where((F.col("node") >= FREE) & ~F.col("free")).isEmpty():
+        return component.withColumn("idless", F.col("component") >= FREE)
+    # ids among the free nodes: the smallest node need not be the smallest id
+    lead = component.join(nodes.where("free").select("node"), "node", "left_anti")
+    lead = lead.groupBy("component").agg(F.min("node").alias("lead"))
+    component = component.join(lead, "component", "left")
+    return component.select("node", F.coalesce("lead", "component").alias("component"), F.col("lead").isNull().alias("idless"))
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

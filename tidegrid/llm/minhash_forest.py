@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import words
-from tidegrid.llm.components import connected_components, local_roots
+from tidegrid.llm.components import connected_components, free_node, led_by_ids, local_roots
 from tidegrid.staging import stage
 
-NO_ID = (1 << 63) - 1
 TREES, DEPTH, DEEPEST = 21, 6, 12
 
 
@@ -153,12 +152,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
        ``block_shingles`` are cut into blocks, each pair of blocks a group of its own.  A
        group returns a spanning forest of its links.
 
-    Texts that are null or without words have an empty set and link with nothing.  Rows with a
-    null id are never preferred; without any id in the component its id is null.  Rows that
-    share an id count as one document.  ``kept`` marks rows whose id is the component's.
+    Texts that are null or without words have an empty set and link with nothing.  Rows that
+    share an id count as one document, rows with a null id if they share the text.  Null ids
+    are never preferred; without any id in the component its id is null.  ``kept`` marks the
+    rows of the document that leads the component.
     """
-    part = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    part = part.withColumn("th", F.xxhash64("text"))
+    part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    part = part.withColumn("id", F.coalesce("id", free_node(F.col("th"))))
     described = part.mapInPandas(_describe, "id long, th long, n long, s1 long, s2 long, sig binary")
     described = stage(described, "shingle-sets")
     filled = described.where("n > 0")
@@ -183,11 +183,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     same = filled.join(classes.select("n", "s1", "s2", F.col("id").alias("head")), ["n", "s1", "s2"])
     same = stage(same.select("id", "th", "head"), "shingle-copies")
     linked = links.unionByName(same.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    free = F.col("id") == free_node(F.col("th"))
     component = stage(connected_components(linked), "components")
+    component = led_by_ids(component, described.select(F.col("id").alias("node"), free.alias("free")))
     out = described.select("id", "th", "n").join(component.withColumnRenamed("node", "id"), "id", "left")
-    known = F.when(F.col("id") < NO_ID, F.col("id"))
     comp = F.coalesce("component", "id")
-    comp = F.when(comp < NO_ID, comp)
     return out.select(
-        known.alias(id_col), "th", F.col("n").alias("n_shingles"), comp.alias("component_id"), comp.eqNullSafe(known).alias("kept")
+        F.when(~free, F.col("id")).alias(id_col),
+        "th",
+        F.col("n").alias("n_shingles"),
+        F.when(~F.coalesce("idless", free), comp).alias("component_id"),
+        (comp == F.col("id")).alias("kept"),
     )
