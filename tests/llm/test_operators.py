@@ -114,6 +114,19 @@ def test_vectors(session):
     assert embedding_dedup.near_duplicates(none).count() == vector_graph.nearest(none).count() == 0
 
 
+def test_vectors_without_id(session):
+    x = rng.standard_normal((6, 8))
+    near = lambda i: (x[i] + 0.01 * rng.standard_normal(8)).tolist()
+    rows = [(7, near(0)), (4, near(0)), (None, near(0)), (9, near(1)), (None, near(1)), (None, near(2)), (None, near(2)), (None, near(3))]
+    rows += [(None, None), ((1 << 63) - 1, near(4)), (None, near(4))]
+    frame = session.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for some in (frame, frame.where("vec_id is null or vec_id < 100")):
+        got = sorted((r.vec_id or 0, r.component_id or 0, r.n_links, r.kept) for r in embedding_dedup.near_duplicates(some).collect())
+        last = [(0, 0, 0, True)] if some is not frame else [(0, (1 << 63) - 1, 1, False), ((1 << 63) - 1, (1 << 63) - 1, 1, True)]
+        lone = [(0, 0, 0, True), (0, 0, 0, True), (0, 0, 1, False), (0, 0, 1, True), (0, 4, 2, False), (0, 9, 1, False)]
+        assert got == sorted([*lone, (4, 4, 2, True), (7, 4, 2, False), (9, 9, 1, True), *last])
+
+
 def test_warc_splits_at_any_byte(session, tmp_path):
     data = b""
     for i in range(40):

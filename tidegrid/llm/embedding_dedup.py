@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.components import connected_components, local_roots
+from tidegrid.llm.components import connected_components, free_node, led_by_ids, local_roots
 from tidegrid.llm.vectors import classes, matrix, unit
 from tidegrid.llm.words import borders, groups
 from tidegrid.staging import stage
@@ -109,7 +109,8 @@ def near_duplicates(
     keep null in ``component_id`` and are kept.  Rows that share an id share a component.
     """
     part = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
-    found = stage(classes(rows, id_col, vector).withColumn("rep", F.coalesce("rep", F.lit(-(1 << 62)))), "vector-classes")
+    found = classes(rows, id_col, vector).withColumn("free", F.col("rep").isNull())
+    found = stage(found.withColumn("rep", F.coalesce("rep", free_node(F.col("h")))), "vector-classes")
     bits, tables = table_plan(found.count(), threshold, recall)
     width = max(4, rows.sparkSession.sparkContext.defaultParallelism)
     signed = found.select("rep", "cnt", "vec").repartition(width, "rep").mapInPandas(
@@ -127,9 +128,10 @@ def near_duplicates(
     links = links.select("rep", "cnt", "vec", "sig", "at", *keys)
     links = stage(links.mapInPandas(_linker(threshold), "rep long, links long, root long"), "vector-links")
     component = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    component = led_by_ids(stage(component, "components"), found.select(F.col("rep").alias("node"), "free"))
     tally = links.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = (
-        found.select("h", "vec", "rep", "cnt")
+        found.select("h", "vec", "rep", "cnt", "free")
         .join(tally, "rep", "left")
         .join(component.withColumnRenamed("node", "rep"), "rep", "left")
     )
@@ -138,13 +140,13 @@ def near_duplicates(
         "vec",
         (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n"),
         F.coalesce("component", "rep").alias("c"),
+        F.coalesce("idless", "free").alias("idless"),
     )
     out = part.withColumn("h", F.xxhash64("vec")).join(per_class, ["h", "vec"], "left")
-    own = F.when(F.col("c") > -(1 << 62), F.col("c"))
-    comp = F.coalesce(own, F.col("id"))
+    node = F.coalesce("id", F.when(F.col("c").isNotNull(), free_node(F.col("h"))))
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        comp.alias("component_id"),
-        comp.eqNullSafe(F.col("id")).alias("kept"),
+        F.when(F.col("idless"), F.lit(None)).otherwise(F.coalesce("c", "id")).alias("component_id"),
+        F.coalesce("c", "id").eqNullSafe(node).alias("kept"),
     )
