@@ -265,6 +265,28 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
 
 
+def test_packing_brings_related_documents_together(session):
+    topics = [[f"topic{t}x{k}" for k in range(12)] for t in range(60)]
+    rows = [(4 * t + k, text(60) + " " + " ".join(topics[t])) for t in range(60) for k in range(4)]
+    rows += [(1000 + k, " ".join(topics[0] * 40)) for k in range(40)]
+    frame = session.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(frame, tokenizer_path(), window=256, shard_chars=6000).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    assert len(shard) == len(rows) and len(set(shard.values())) > 10
+    assert sum(len({shard[4 * t + k] for k in range(4)}) == 1 for t in range(1, 60)) >= 50
+    assert len({shard[1000 + k] for k in range(40)}) > 3
+
+
+def test_packing_asks_with_all_terms():
+    docs = [list(range(10, 60)) + [70], [70, 80], [80, 90]] + [[100 + k] for k in range(20)]
+    docs[0] += 3 * list(range(10, 60))
+    ids = np.array([i for d in docs for i in [*d, 1]], np.uint16)
+    edge = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])])
+    unused = np.ones(len(docs), bool)
+    unused[0] = False
+    assert packing.Bm25(ids, edge).ranked(0, unused).tolist() == [1]
+
+
 def test_language_model(docs, empty):
     got = {r.doc_id: r for r in context_mixing.score_texts(docs).collect()}
     held = {d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _, _ in DOCS}

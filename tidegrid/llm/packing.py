@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import words
+from tidegrid.staging import stage
 
 END = 1
 PIECES = "id long, row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -80,34 +81,29 @@ class WordTokenizer:
 class Bm25:
     """Inverted index over the documents of one shard; documents leave it once they are used."""
 
-    def __init__(self, ids: np.ndarray, edge: np.ndarray, query_terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, ids: np.ndarray, edge: np.ndarray, k1: float = 1.2, b: float = 0.75):
         n = np.diff(edge)
         self.docs = len(n)
         doc = np.repeat(np.arange(self.docs), n)
         pair, tf = np.unique(doc * 65536 + ids, return_counts=True)
-        doc, term = pair // 65536, pair % 65536
-        df = np.bincount(term, minlength=65536)
+        doc, self.term = pair // 65536, pair % 65536
+        df = np.bincount(self.term, minlength=65536)
         idf = np.log1p((self.docs - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / max(1.0, n.mean())))
-        order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        self.at = np.concatenate([[0], np.cumsum(df)])
-        # the terms of each document that weigh most in it are its query
-        heavy = np.lexsort((-weight, doc))
-        self.term, self.first = term[heavy], np.searchsorted(doc[heavy], np.arange(self.docs + 1))
-        self.query_terms = query_terms
+        self.weight = idf[self.term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / max(1.0, n.mean())))
+        self.first = np.searchsorted(doc, np.arange(self.docs + 1))
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, ties by place."""
-        terms = self.term[self.first[seed] : min(self.first[seed + 1], self.first[seed] + self.query_terms)]
-        lo, n = self.at[terms], self.at[terms + 1] - self.at[terms]
-        rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.doc[rows], self.weight[rows], self.docs) * unused
+        """Unused documents that share a term with the seed, best first, ties by place; all terms of the seed are its query."""
+        asked = np.zeros(65536, bool)
+        asked[self.term[self.first[seed] : self.first[seed + 1]]] = True
+        asked[END] = False
+        # every document has END, so no slice is empty
+        score = np.add.reduceat(self.weight * asked[self.term], self.first[:-1]) * unused
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
 
 
-def pack_shard(ids: np.ndarray, edge: np.ndarray, window: int, query_terms: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(ids: np.ndarray, edge: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` of all pieces of one shard.
 
     The first unused document seeds a window; its best unused neighbours follow until the
@@ -115,7 +111,7 @@ def pack_shard(ids: np.ndarray, edge: np.ndarray, window: int, query_terms: int)
     the next window, whose seed it is, so only the last sequence of a shard is not full.
     """
     n = np.diff(edge)
-    index = Bm25(ids, edge, query_terms)
+    index = Bm25(ids, edge)
     unused = np.ones(len(n), bool)
     pieces, sequence, offset, next_seed = [], 0, 0, 0
     queue: list[int] = []
@@ -146,7 +142,7 @@ def pack_shard(ids: np.ndarray, edge: np.ndarray, window: int, query_terms: int)
             queue = index.ranked(current, unused).tolist()
 
 
-def _packer(path: str, window: int, query_terms: int):
+def _packer(path: str, window: int):
     kept: list[WordTokenizer] = []
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +153,7 @@ def _packer(path: str, window: int, query_terms: int):
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 part = frame.iloc[a:b].sort_values(["id", "row"], kind="stable")
                 ids, edge = kept[0].encode(part.text)
-                pieces = np.array(pack_shard(ids, edge, window, query_terms), np.int64).reshape(-1, 5)
+                pieces = np.array(pack_shard(ids, edge, window), np.int64).reshape(-1, 5)
                 doc, start, length, sequence, offset = pieces.T
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[s : s + k].tobytes()) for s, k in zip((edge[doc] + start).tolist(), length.tolist(), strict=True)]
@@ -177,6 +173,53 @@ def _packer(path: str, window: int, query_terms: int):
     return pack
 
 
+def _sampler(sample: int):
+    def terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The distinct words of each text with the smallest hashes, and a row per batch with all its words and their document counts.
+
+        Documents that share words with small hashes sample the same ones.
+        """
+        for frame in words.batches(frames):
+            w = words.split(frame.text, lower=True)
+            doc = np.repeat(np.arange(len(frame)), np.diff(w.first))
+            h = w.hashes() >> np.uint64(1)
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h, doc = h[fresh].view(np.int64), doc[fresh]
+            first = np.searchsorted(doc, np.arange(len(frame) + 1))
+            yield frame.assign(terms=[h[a : min(a + sample, b)] for a, b in zip(first[:-1], first[1:], strict=True)], counts=None)
+            value, count = np.unique(h, return_counts=True)
+            yield pd.DataFrame({"id": [0], "row": [0], "text": [None], "terms": [value], "counts": [count]})
+
+    return terms
+
+
+def deal(part: DataFrame, shards: int, shard_chars: int, sample: int) -> DataFrame:
+    """Adds ``shard``: documents whose rarest shared term is the same go together, hot terms in several parts.
+
+    Each document chooses among a sample of its words; their document counts are over all
+    words of all documents.  A term is hot if its documents fill more than one shard.
+    """
+    kind = "id long, row long, text string, terms array<long>, counts array<long>"
+    told = stage(part.mapInPandas(_sampler(sample), kind), "packing-terms")
+    docs = told.where("counts is null").drop("counts")
+    counts = told.where("counts is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("c"))
+    shared = counts.groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("df")).where("df > 1")
+    shared = stage(shared, "packing-shared-terms")
+    each = docs.select("id", "row", "terms").dropDuplicates(["id", "row"]).select("id", "row", F.explode("terms").alias("term"))
+    each = stage(each, "packing-sampled-terms")
+    rarest = each.join(shared, "term").groupBy("id", "row").agg(F.min(F.struct("df", "term")).alias("m"))
+    rarest = stage(rarest.select("id", "row", F.col("m.term").alias("term")), "packing-rarest")
+    size = docs.select("id", "row", (F.length("text") + 1).alias("chars")).join(rarest, ["id", "row"])
+    hot = size.groupBy("term").agg(F.ceil(F.sum("chars") / shard_chars).alias("parts")).where("parts > 1")
+    own = F.xxhash64("id", "row")
+    dealt = docs.drop("terms").join(rarest, ["id", "row"], "left").join(stage(hot, "packing-hot-terms"), "term", "left")
+    at = F.when(F.col("term").isNull(), own).otherwise(F.xxhash64("term", F.pmod(own, F.coalesce("parts", F.lit(1)))))
+    return dealt.select("id", "row", "text", F.pmod(at, F.lit(shards)).alias("shard"))
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
@@ -184,11 +227,11 @@ def pack_documents(
     text: str = "text",
     window: int = 2048,
     shard_chars: int = 1_500_000,
-    query_terms: int = 24,
+    sample: int = 32,
 ) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    Documents go to shards of about ``shard_chars`` characters by a hash of id and text; each
+    Documents go to shards of about ``shard_chars`` characters by content (see ``deal``); each
     shard has its own BM25 index and is packed by itself, so memory is bounded by a shard or
     by its longest document.  ``sequence_id`` is shard * 2**32 + number.  Null and empty texts
     are the end id alone.  Repeated rows are packed once each.  No rows give no pieces.
@@ -196,10 +239,10 @@ def pack_documents(
     part = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = part.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     shards = max(1, math.ceil(total / shard_chars))
-    spread = part.withColumn("row", F.xxhash64("text")).withColumn("shard", F.pmod(F.xxhash64("id", "row"), F.lit(shards)))
-    spread = spread.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))
+    spread = part.withColumn("row", F.xxhash64("text")).withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))
+    spread = deal(spread.select("id", "row", "text"), shards, shard_chars, sample)
     width = max(rows_per_task(shards), 1)
-    packed = spread.repartition(width, "shard").sortWithinPartitions("shard").mapInPandas(_packer(tokenizer, window, query_terms), PIECES)
+    packed = spread.repartition(width, "shard").sortWithinPartitions("shard").mapInPandas(_packer(tokenizer, window), PIECES)
     return packed.drop("row").withColumn("id", F.when(F.col("id") > -(1 << 63), F.col("id"))).withColumnRenamed("id", id_col)
 
 
