@@ -179,6 +179,13 @@ def test_minhash_forest(docs, empty):
     assert minhash_forest.near_duplicates(empty).count() == 0
 
 
+def test_minhash_plan_follows_percent():
+    assert minhash_forest.tree_plan(85) == (21, 6) and minhash_forest.tree_plan(100) == (1, 6)
+    for percent in range(1, 100):
+        trees, depth = minhash_forest.tree_plan(percent)
+        assert (1 - (percent / 100) ** depth) ** trees <= 5.001e-5
+
+
 def test_near_duplicates_of_rows_without_id(session):
     a, b, c, d = (text(100) for _ in range(4))
     rows = [(5, a), (9, b), (None, a + " tail"), (None, b + " tail"), (None, c), (None, c), (None, c + " tail"), (None, d), (None, ""), (None, None)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,22 @@ from tidegrid.llm import words
 from tidegrid.llm.components import connected_components, free_node, led_by_ids, local_roots
 from tidegrid.staging import stage
 
-TREES, DEPTH, DEEPEST = 21, 6, 12
+DEEPEST, FEW, MISS = 6, 25, 5e-5
+
+
+def tree_plan(percent: int) -> tuple[int, int]:
+    """Number of trees and their depth, so that a pair exactly at ``percent`` shares no region with odds ``MISS`` at most.
+
+    The deepest trees, up to ``DEEPEST``, of which no more than ``FEW`` are needed.
+    """
+    if percent <= 0:
+        raise ValueError("percent must be positive")
+    same = min(percent, 100) / 100
+    for depth in range(DEEPEST, 0, -1):
+        trees = 1 if same == 1 else math.ceil(math.log(MISS) / math.log1p(-(same**depth)))
+        if trees <= FEW:
+            break
+    return trees, depth
 
 
 def shingles(texts: pd.Series, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -52,42 +68,48 @@ def signatures(value: np.ndarray, edge: np.ndarray, rows: int, seed: int = 9) ->
     return out
 
 
-def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in words.batches(frames):
-        value, edge = shingles(frame.text)
-        n = np.diff(edge)
-        some = np.flatnonzero(n)
-        sig = np.zeros((0, TREES * DEPTH), np.uint32)
-        total, cross = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-        if len(some):
-            keep = np.concatenate([edge[some], [len(value)]])
-            sig = signatures(value, keep, TREES * DEPTH)
-            total[some] = np.add.reduceat(value, keep[:-1])
-            cross[some] = np.bitwise_xor.reduceat(words.mix(value), keep[:-1])
-        data = np.full(len(n), None, object)
-        data[some] = [s.tobytes() for s in sig]
-        yield pd.DataFrame(
-            {
-                "id": frame.id.to_numpy(),
-                "th": frame.th.to_numpy(),
-                "n": n.astype(np.int64),
-                "s1": total.view(np.int64),
-                "s2": cross.view(np.int64),
-                "sig": data,
-            }
-        )
-
-
-def _branches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash of the first ``DEPTH`` values of each tree's order."""
-    for frame in frames:
-        if frame.empty:
-            continue
-        sig = np.frombuffer(b"".join(frame.sig), np.uint32).reshape(len(frame), TREES, DEPTH).astype(np.uint64)
-        key = np.zeros(sig.shape[:2], np.uint64)
-        for d in range(DEPTH):
-            key = words.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, d] + np.uint64(d + 1))
-        yield pd.DataFrame({"id": frame.id.to_numpy(), "keys": list(key.view(np.int64))})
+def _describer(values: int):
+    def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in words.batches(frames):
+            value, edge = shingles(frame.text)
+            n = np.diff(edge)
+            some = np.flatnonzero(n)
+            sig = np.zeros((0, values), np.uint32)
+            total, cross = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            if len(some):
+                keep = np.concatenate([edge[some], [len(value)]])
+                sig = signatures(value, keep, values)
+                total[some] = np.add.reduceat(value, keep[:-1])
+                cross[some] = np.bitwise_xor.reduceat(words.mix(value), keep[:-1])
+            data = np.full(len(n), None, object)
+            data[some] = [s.tobytes() for s in sig]
+            yield pd.DataFrame(
+                {
+                    "id": frame.id.to_numpy(),
+                    "th": frame.th.to_numpy(),
+                    "n": n.astype(np.int64),
+                    "s1": total.view(np.int64),
+                    "s2": cross.view(np.int64),
+                    "sig": data,
+                }
+            )
+
+    return describe
+
+
+def _brancher(trees: int, depth: int):
+    def branches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Hash of the first ``depth`` values of each tree's order."""
+        for frame in frames:
+            if frame.empty:
+                continue
+            sig = np.frombuffer(b"".join(frame.sig), np.uint32).reshape(len(frame), trees, depth).astype(np.uint64)
+            key = np.zeros(sig.shape[:2], np.uint64)
+            for d in range(depth):
+                key = words.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, d] + np.uint64(d + 1))
+            yield pd.DataFrame({"id": frame.id.to_numpy(), "keys": list(key.view(np.int64))})
+
+    return branches
 
 
 def _verifier(percent: int):
@@ -144,9 +166,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     1. Each text gets its set of five-word shingles and a MinHash signature.  Equal sets are
        one class.
-    2. The signature gives ``TREES`` sort orders.  A region of an order is a run of classes
-       with a common prefix of at least ``DEPTH`` values; every class is tied to its
-       region's first.  A pair at similarity 0.85 shares no region with odds below 1e-4.
+    2. The signature is cut into bands (trees), their number and depth following ``percent``.
+       Classes that agree in a whole band are a region; every class is tied to its region's
+       first.  A pair at ``percent`` shares no region with odds of at most ``MISS``.
     3. What hangs together over all orders is a cluster.  All pairs of a cluster are checked on
        full sets (``100 * intersection >= percent * union``); clusters above
        ``block_shingles`` are cut into blocks, each pair of blocks a group of its own.  A
@@ -159,12 +181,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     part = part.withColumn("id", F.coalesce("id", free_node(F.col("th"))))
-    described = part.mapInPandas(_describe, "id long, th long, n long, s1 long, s2 long, sig binary")
+    trees, depth = tree_plan(percent)
+    described = part.mapInPandas(_describer(trees * depth), "id long, th long, n long, s1 long, s2 long, sig binary")
     described = stage(described, "shingle-sets")
     filled = described.where("n > 0")
     classes = filled.groupBy("n", "s1", "s2").agg(F.min_by(F.struct("id", "th", "sig"), F.struct("id", "th")).alias("r"))
     classes = stage(classes.select("n", "s1", "s2", "r.id", "r.th", "r.sig"), "shingle-classes")
-    branches = classes.select("id", "sig").mapInPandas(_branches, "id long, keys array<long>")
+    branches = classes.select("id", "sig").mapInPandas(_brancher(trees, depth), "id long, keys array<long>")
     branches = stage(branches.select("id", F.posexplode("keys").alias("tree", "key")), "branches")
     regions = branches.groupBy("tree", "key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
     regions = regions.where("head < last").select("tree", "key", "head")
