@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm import (
     context_mixing,
     embedding_dedup,
+    merkle,
     minhash_forest,
     mixing,
     packing,
@@ -83,6 +84,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), changes={"text": lower}, when=tampered, nodes=False)
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_minhash_forest,
         op10_url_filter,
+        op11_merkle_manifest,
     )
 }
 ORACLES: dict[str, str] = {
