@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import (
+    best_position,
     context_mixing,
     embedding_dedup,
     merkle,
@@ -91,6 +92,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,9 +110,90 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_minhash_forest,
         op10_url_filter,
         op11_merkle_manifest,
+        op13_best_position,
     )
 }
+
+def _crc_nibbles() -> list[int]:
+    """Steps of the reflected CRC-32 for four bits at a time."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in DuckDB."""
+    codes = f"list_transform(range(1, 2 * length({text}) + 1), lambda k: (ascii({text}[(k + 1) // 2]) >> (4 * ((k + 1) % 2))) & 15)"
+    step = f"lambda c, b: xor(c >> 4, {_crc_nibbles()}[(xor(c, b) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform({codes}, lambda b: b::bigint)), {step}), 4294967295)"
+
+
+def _part_sql(name: str) -> str:
+    return f"coalesce(concat(strlen({name}::varchar), ':', {name}::varchar), '-')"
+
+
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF_SQL = "sha256(" + " || ".join(_part_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+with recursive doc as materialized (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i,
+         count(*) over (partition by lang) as n, dense_rank() over (order by lang nulls first) - 1 as g
+  from (select doc_id, lang, {_LEAF_SQL.format(text="text")} as leaf,
+               case when {crc32_sql("cast(doc_id as varchar)")} % 3 = 0 then {_LEAF_SQL.format(text=_LOWER_SQL)} end as changed
+        from documents)),
+node(g, level, i, n, d) as (
+  select g, 0, i, n, leaf from doc
+  union all
+  select g, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(d, '' order by i)) from node where n > 1 group by g, level, i // 8, n),
+tree as materialized (select * from node),
+sub as materialized (select g, level as height, d as subroot from tree where n = 1),
+upper(level, i, n, d) as (
+  select 0, g, (select count(*) from sub), subroot from sub
+  union all
+  select level + 1, i // 8, (n + 7) // 8, sha256(string_agg(d, '' order by i)) from upper where n > 1 group by level, i // 8, n),
+top as materialized (select * from upper),
+run as materialized (
+  select d.g, d.i, t.level, coalesce(string_agg(t.d, '' order by t.i) filter (where t.i < (d.i >> (3 * t.level))), '') as before,
+         coalesce(string_agg(t.d, '' order by t.i) filter (where t.i > (d.i >> (3 * t.level))), '') as after
+  from doc d join tree t on t.g = d.g and t.n > 1 and t.i // 8 = (d.i >> (3 * t.level + 3)) group by d.g, d.i, t.level
+  union all
+  select d.g, d.i, height + t.level, coalesce(string_agg(t.d, '' order by t.i) filter (where t.i < (d.g >> (3 * t.level))), ''),
+         coalesce(string_agg(t.d, '' order by t.i) filter (where t.i > (d.g >> (3 * t.level))), '')
+  from doc d join sub on sub.g = d.g join top t on t.n > 1 and t.i // 8 = (d.g >> (3 * t.level + 3)) group by d.g, d.i, height + t.level),
+fold(g, i, level, d) as (
+  select g, i, 0, coalesce(changed, leaf) from doc
+  union all
+  select f.g, f.i, f.level + 1, sha256(r.before || f.d || r.after) from fold f join run r using (g, i, level)),
+done as (select g, i, arg_max(d, level) as d from fold group by g, i),
+proof as (select g, i, sha256(string_agg(before || after, '' order by level)) as h from run group by g, i)
+select doc_id, leaf, subroot, root, coalesce(h, sha256('')) as proof_sha256, done.d as folded_root, done.d = root as verified
+from doc join sub using (g) join done using (g, i) left join proof using (g, i), (select d as root from top where n = 1)""",
+    "op13_best_position": f"""
+with word as materialized (
+  select row, doc_id, unnest(regexp_extract_all({_LOWER_SQL}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as term
+  from (select row_number() over () as row, * from documents)),
+doc as materialized (select row, doc_id, count(*) as n from word group by row, doc_id),
+total as (select count(*) as docs, sum(n)::bigint as words from doc),
+asked as materialized (
+  select ask, item_id, term, count(*) as times
+  from (select ask, item_id, unnest(regexp_extract_all({_LOWER_SQL}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as term
+        from (select row_number() over () as ask, * from benchmark)) group by all),
+held as materialized (select row, term, count(*) as tf from word where term in (select term from asked) group by row, term),
+weight as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, total group by term, docs),
+impact as materialized (
+  select row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words))) as part
+  from held join weight using (term) join doc using (row), total),
+scored as (
+  select ask, item_id, doc_id, row, sum(part * times)::bigint as score from asked join impact using (term) group by all)
+select item_id, rank, doc_id, score
+from (select *, row_number() over (partition by ask order by score desc, doc_id nulls last, row) as rank from scored where score > 0)
+where rank <= 20""",
     "op5_embedding_near_dedup": """
 with recursive raw as (
   select vec_id, cast(embedding as double[]) as v from embeddings where embedding is not null),
