@@ -27,6 +27,7 @@ _OTHER = np.ones(256, bool)  # ASCII that is neither letter nor digit ends a ter
 _OTHER[48:58] = _OTHER[65:91] = _OTHER[97:123] = False
 _OTHER[128:] = False
 NO_ID = np.iinfo(np.int64).max
+TASK = 50_000  # documents of a task, about
 STEP = 64  # entries read per list before the bound is computed again
 
 
@@ -265,5 +266,7 @@ def _answers(part: DataFrame, queries: Queries, k: int, postings: int) -> DataFr
     known = weighed.select("place", w.alias("w")).toPandas()
     weight = np.zeros(len(queries.vocabulary), np.int64)
     weight[known.place.to_numpy()] = known.w.to_numpy()
-    found = rows.mapInPandas(_searched(queries, weight, documents, length, k, postings), "key long, score long, null_id boolean, id long")
+    # tasks by the number of documents, not by the bytes of the few terms kept
+    tasks = max(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-documents // TASK))
+    found = rows.repartition(tasks).mapInPandas(_searched(queries, weight, documents, length, k, postings), "key long, score long, null_id boolean, id long")
     return stage(found, "task-answers")

@@ -24,8 +24,8 @@ from tidegrid.llm.words import borders, groups
 from tidegrid.operators.blocks import spread
 from tidegrid.staging import stage
 
-FAN, HEIGHT = 8, 4
-BLOCK = FAN**HEIGHT
+FAN = 8
+OverFrames = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def h(text: str) -> str:
@@ -60,12 +60,12 @@ def path(i: int, n: int) -> list[tuple[int, int]]:
 
 
 class Block:
-    """The part of a tree above at most ``BLOCK`` neighbouring nodes, of which the first is ``first``."""
+    """``tall`` levels of a tree above neighbouring nodes, of which the first is ``first`` of ``n``."""
 
-    def __init__(self, digests: list[str], first: int, n: int):
+    def __init__(self, digests: list[str], first: int, n: int, tall: int):
         self.first = first
         self.levels = [digests]
-        for _ in range(min(HEIGHT, height(n))):
+        for _ in range(min(tall, height(n))):
             low = self.levels[-1]
             self.levels.append([h("".join(low[at : at + FAN])) for at in range(0, len(low), FAN)])
 
@@ -106,14 +106,14 @@ def _pack(siblings: Sequence[Sequence[str]]) -> bytes:
     return bytes.fromhex("".join(d for level in siblings for d in level))
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Block]]:
+def _blocks(frames: Iterator[pd.DataFrame], tall: int) -> Iterator[tuple[pd.DataFrame, Block]]:
     """Blocks of a partition that is sorted by group, block and number; a share row, if any, comes first."""
     for frame in groups(frames, ["g", "block"]):
         edge = borders(frame, ["g", "block"])
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             rows = frame.iloc[lo:hi]
             nodes = rows[(rows.i >= 0).to_numpy()]
-            yield rows, Block([bytes(d).hex() for d in nodes.d], int(nodes.i.iat[0]), int(nodes.n.iat[0]))
+            yield rows, Block([bytes(d).hex() for d in nodes.d], int(nodes.i.iat[0]), int(nodes.n.iat[0]), tall)
 
 
 def _frames(rows: Iterator[tuple], names: list[str], most: int = 2_000) -> Iterator[pd.DataFrame]:
@@ -131,50 +131,60 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return spread(rows, "g", "block").sortWithinPartitions("g", "block", "i")
 
 
-def _block() -> Column:
-    return F.floor(F.col("i") / BLOCK).alias("block")
+def _block(tall: int) -> Column:
+    return F.floor(F.col("i") / FAN**tall).alias("block")
 
 
-def _tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def rows() -> Iterator[tuple]:
-        for part, block in _blocks(frames):
-            first = part.iloc[0]
-            yield first.g, first.block, -(-first.n // BLOCK), bytes.fromhex(block.root)
+def _no_share() -> Column:
+    return F.lit(None).cast("binary").alias("up")
 
-    yield from _frames(rows(), ["g", "i", "n", "d"])
 
+def _tops(tall: int) -> OverFrames:
+    def tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            for part, block in _blocks(frames, tall):
+                first = part.iloc[0]
+                yield first.g, first.block, -(-first.n // FAN**tall), bytes.fromhex(block.root)
+
+        yield from _frames(rows(), ["g", "i", "n", "d"])
+
+    return tops
 
-def _shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _shares(tall: int) -> OverFrames:
     """For each node of a block its siblings and all upper ones its path shares, lowest first."""
 
-    def rows() -> Iterator[tuple]:
-        for part, block in _blocks(frames):
-            share = part.iloc[0]
-            for i in part.i.iloc[1:].tolist():
-                yield share.g, i, -1, 0, share.d, _pack(block.siblings(i)) + bytes(share.up)
+    def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            for part, block in _blocks(frames, tall):
+                share = part.iloc[0]
+                for i in part.i.iloc[1:].tolist():
+                    yield share.g, i, -1, 0, share.d, _pack(block.siblings(i)) + bytes(share.up)
+
+        yield from _frames(rows(), ["g", "block", "i", "n", "d", "up"])
 
-    yield from _frames(rows(), ["g", "block", "i", "n", "d", "up"])
+    return shares
 
 
-def climb(nodes: DataFrame, most: int) -> list[DataFrame]:
+def climb(nodes: DataFrame, most: int, tall: int) -> list[DataFrame]:
     """Nodes ``g, i, n, d`` of every round, from the leaves to one node per group; ``most`` is the largest ``n``."""
     rounds = [nodes]
     while most > 1:
-        blocks = _in_blocks(rounds[-1].select("g", _block(), "i", "n", "d"))
-        rounds.append(stage(blocks.mapInPandas(_tops, "g long, i long, n long, d binary"), "merkle-nodes"))
-        most = -(-most // BLOCK)
+        blocks = _in_blocks(rounds[-1].select("g", _block(tall), "i", "n", "d"))
+        rounds.append(stage(blocks.mapInPandas(_tops(tall), "g long, i long, n long, d binary"), "merkle-nodes"))
+        most = -(-most // FAN**tall)
     return rounds
 
 
-def descend(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+def descend(rounds: list[DataFrame], above: DataFrame, tall: int) -> DataFrame:
     """Share rows ``g, block, i = -1, n, d, up`` of the leaves' blocks.
 
     ``up`` holds the nodes shared above the block, ``d`` the root of the group; ``above`` gives
     both for the groups themselves, as ``g, d, up``."""
     shares = above.select("g", F.lit(0).cast("long").alias("block"), F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("n"), "d", "up")
     for nodes in reversed(rounds[1:-1]):
-        rows = nodes.select("g", _block(), "i", "n", "d", F.lit(None).cast("binary").alias("up"))
-        shares = stage(_in_blocks(rows.unionByName(shares)).mapInPandas(_shares, shares.schema), "merkle-shares")
+        rows = nodes.select("g", _block(tall), "i", "n", "d", _no_share())
+        shares = stage(_in_blocks(rows.unionByName(shares)).mapInPandas(_shares(tall), shares.schema), "merkle-shares")
     return shares
 
 
@@ -218,10 +228,10 @@ def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return out.withColumn("i", F.col("start") + F.col("num")).drop("part", "seg", "num", "start", "key")
 
 
-def _verify(root: str, group_count: int, nodes: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _verify(root: str, group_count: int, nodes: bool, tall: int) -> OverFrames:
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
-            for part, block in _blocks(frames):
+            for part, block in _blocks(frames, tall):
                 share, part = part.iloc[0], part.iloc[1:]
                 g, n, subroot = int(share.g), int(part.n.iat[0]), bytes(share.d).hex()
                 inside = len(block.levels) - 1
@@ -254,6 +264,7 @@ def manifest(
     changes: Mapping[str, Column] | None = None,
     when: Column | None = None,
     nodes: bool = True,
+    tall: int = 4,
 ) -> DataFrame:
     """One row per row of ``docs``: its leaf, the roots, its proof and the check of the leaf it has now.
 
@@ -261,7 +272,7 @@ def manifest(
     version of the tree is ``version``, the digests copied from the leaf up to ``folded_root``;
     ``verified`` says if that is the ``root``.  ``proof`` lists the other nodes of each run on the
     path.  ``grp`` and ``place`` number the groups and the rows in a group, from 0.  Without
-    ``nodes``, ``proof`` and ``version``, some 3 KB a row, are left out.
+    ``nodes``, ``proof`` and ``version``, some 3 KB a row, are left out.  A block has ``FAN ** tall`` leaves.
 
     Null groups come first, others by UTF-8 bytes; in a group rows ascend by id, null ids first
     and equal ids by leaf.  Null values count as ``-`` in a leaf, empty ones as ``0:``.  Repeated
@@ -284,30 +295,34 @@ def manifest(
     most, group_count = leaves.agg(F.max("n"), F.max("g") + 1).first()
     if most is None:
         return spark.createDataFrame([], schema).withColumn("id", F.col("id").cast(id_type))
-    rounds = climb(leaves.select("g", "i", "n", "d"), most)
+    rounds = climb(leaves.select("g", "i", "n", "d"), most, tall)
     # the groups' roots are the leaves of the upper tree; a group of one leaf is its root
     subroots = rounds[-1].select(F.lit(0).cast("long").alias("g"), F.col("g").alias("i"), F.lit(group_count).cast("long").alias("n"), "d")
-    upper = climb(subroots, group_count)
+    upper = climb(subroots, group_count, tall)
     root = bytes(upper[-1].first().d)
-    no_more = upper[-1].select("g", "d", F.lit(b"").alias("up"))
-    above = _in_blocks(subroots.select("g", _block(), "i", "n", "d", F.lit(None).cast("binary").alias("up")).unionByName(descend(upper, no_more)))
-    above = above.mapInPandas(_group_shares, "g long, d binary, up binary")
-    shares = descend(rounds, stage(above, "merkle-groups"))
-    rows = leaves.select("g", _block(), "i", "n", "d", F.lit(None).cast("binary").alias("up"), "id", "changed")
-    checked = _in_blocks(rows.unionByName(shares, allowMissingColumns=True)).mapInPandas(_verify(root.hex(), group_count, nodes), schema)
+    shares = descend(upper, upper[-1].select("g", "d", F.lit(b"").alias("up")), tall)
+    groups_ = _in_blocks(subroots.select("g", _block(tall), "i", "n", "d", _no_share()).unionByName(shares))
+    above = stage(groups_.mapInPandas(_group_shares(tall), "g long, d binary, up binary"), "merkle-groups")
+    shares = descend(rounds, above, tall)
+    rows = leaves.select("g", _block(tall), "i", "n", "d", _no_share(), "id", "changed")
+    blocks = _in_blocks(rows.unionByName(shares, allowMissingColumns=True))
+    checked = blocks.mapInPandas(_verify(root.hex(), group_count, nodes, tall), schema)
     return checked.withColumn("id", F.col("id").cast(id_type))
 
 
-def _group_shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _group_shares(tall: int) -> OverFrames:
     """``g, d, up`` of each group: its own root and the nodes its path shares above that."""
 
-    def rows() -> Iterator[tuple]:
-        for part, block in _blocks(frames):
-            share = part.iloc[0]
-            for i, d in zip(part.i.iloc[1:].tolist(), part.d.iloc[1:], strict=True):
-                yield i, bytes(d), _pack(block.siblings(i)) + bytes(share.up)
+    def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            for part, block in _blocks(frames, tall):
+                share = part.iloc[0]
+                for i, d in zip(part.i.iloc[1:].tolist(), part.d.iloc[1:], strict=True):
+                    yield i, bytes(d), _pack(block.siblings(i)) + bytes(share.up)
 
-    yield from _frames(rows(), ["g", "d", "up"])
+        yield from _frames(rows(), ["g", "d", "up"])
+
+    return shares
 
 
 def copied_nodes(manifest_rows: DataFrame) -> DataFrame:

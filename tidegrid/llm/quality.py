@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm import words
 from tidegrid.staging import stage
 
-TRIPLES, WORDS, SHAPES, COUNTS = 512, 256, 256, 6
+TRIPLES, WORDS, SHAPES, COUNTS = 128, 64, 64, 6
 SIZE = TRIPLES + WORDS + SHAPES + COUNTS
 BINS = 1_000
 ROWS = 500  # texts described at once
@@ -72,7 +72,7 @@ def _described(texts: pd.Series) -> np.ndarray:
     out[:, TRIPLES + WORDS : SIZE - COUNTS] = _shares(owner, (runs.hashes() >> np.uint64(40)).astype(np.int64) % SHAPES, n, SHAPES)
     count = np.diff(w.first)
     some = np.maximum(count, 1)
-    pair = np.unique(np.stack([owner.astype(np.uint64), hashes], axis=1), axis=0)
+    new = np.unique(words.mix(hashes + words.mix(owner.astype(np.uint64))), return_index=True)[1]  # first of each word of a text
     lines = np.bincount(np.repeat(np.arange(n), [0 if t is None else t.count("\n") for t in texts]), minlength=n)
     plain = np.bincount(of, ((kind[letter] == 97) | (kind[letter] == 65)), minlength=n)
     total = np.maximum(np.bincount(of, minlength=n), 1)
@@ -81,8 +81,8 @@ def _described(texts: pd.Series) -> np.ndarray:
             np.ones(n) * (count > 0),
             np.log1p(count) / 10,
             np.bincount(owner, size, n) / some / 10,
-            np.bincount(pair[:, 0].astype(np.int64), minlength=n) / some,
-            lines / some,
+            np.bincount(owner[new], minlength=n) / some,
+            np.where(count > 0, lines, 0) / some,
             plain / total,
         ],
         axis=1,
@@ -107,19 +107,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _descend(gradient, steps: int, rate: float) -> np.ndarray:
-    """Adam on all rows at once."""
-    v = np.zeros(SIZE + 1)
+    """Adam on all rows at once, in single precision."""
+    v = np.zeros(SIZE + 1, np.float32)
     first, second = np.zeros_like(v), np.zeros_like(v)
     for t in range(1, steps + 1):
         g = gradient(v)
-        first = 0.9 * first + 0.1 * g
-        second = 0.999 * second + 0.001 * g * g
-        v = v - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        first = (0.9 * first + 0.1 * g).astype(np.float32)
+        second = (0.999 * second + 0.001 * g * g).astype(np.float32)
+        v = v - np.float32(rate) * (first / np.float32(1 - 0.9**t)) / (np.sqrt(second / np.float32(1 - 0.999**t)) + np.float32(1e-8))
     return v
 
 
 def _pull(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    return np.append(weight @ x, weight.sum())
+    return np.append(weight.astype(np.float32) @ x, weight.sum()).astype(np.float32)
 
 
 def fit_discriminator(p: np.ndarray, u: np.ndarray, steps: int = 200, rate: float = 0.05, ridge: float = 1e-4) -> np.ndarray:
@@ -132,7 +132,7 @@ def fit_discriminator(p: np.ndarray, u: np.ndarray, steps: int = 200, rate: floa
     return _descend(gradient, steps, rate)
 
 
-def fit_risk(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> np.ndarray:
+def fit_risk(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1_500, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
     """Weights that minimise the non-negative unbiased risk with logistic loss."""
 
     def gradient(v: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ from tidegrid.llm import (
     minhash_forest,
     mixing,
     packing,
+    quality,
     substring_dedup,
     toxicity,
     url_filter,
@@ -92,6 +93,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    held = F.pmod(F.crc32(F.col("row.doc_id").cast("string")), F.lit(5)) == 0
+    return scored.select("row.doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -110,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_minhash_forest,
         op10_url_filter,
         op11_merkle_manifest,
+        op12_quality,
         op13_best_position,
     )
 }
