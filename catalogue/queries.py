@@ -202,7 +202,7 @@ def flat_signal_features(fx: Fixtures) -> DataFrame:
     "(anglez - orig_mean) / orig_sd as anglez_orig from fx_series join fx_const using (series_id)",
 )
 def zscore(fx: Fixtures) -> DataFrame:
-    return series_index.zscore(fx.absolute, fx.constants)
+    return series_index.zscore(fx.absolute, fx.constants, GRID)
 
 
 @query("repeat_noise", "series_id:s step:i repeat:i noise:i", "select * from fx_repeat")
@@ -270,7 +270,7 @@ def downsample_query(fx: Fixtures) -> DataFrame:
     rows = rows.join(noisy.select("series_id", "pos", "noise_removal"), ["series_id", "pos"], "left").join(
         flat, ["series_id", "pos"]
     )
-    scaled = series_index.zscore(rows.fillna(0, ["noise_removal"]), fx.constants)
+    scaled = series_index.zscore(rows.fillna(0, ["noise_removal"]), fx.constants, GRID)
     return downsample.downsample(scaled, GRID)
 
 

@@ -109,6 +109,39 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether Catalyst's estimate of ``table`` is within the broadcast threshold."""
+    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
+def join_constants(
+    df: DataFrame,
+    constants: DataFrame,
+    values: dict[str, Column],
+    keys: Sequence[str],
+    at: Column,
+    first: Column,
+    last: Column,
+    rows: int,
+    how: str = "inner",
+) -> DataFrame:
+    """Add ``values``, columns of a table with one row per key, to the rows of the key.
+
+    A table that is small enough to broadcast is joined by key.  A larger one is laid out with
+    one row per key and block of ``rows`` places between ``first`` and ``last``, and meets the rows
+    by key and block of ``at``, so a long series is never one task.  Every row's ``at`` must lie between
+    ``first`` and ``last`` of its key.
+    """
+    keys = list(keys)
+    named = [c.alias(n) for n, c in values.items()]
+    if fits_broadcast(constants):
+        return df.join(constants.select(*keys, *named), keys, how)
+    blocks = F.sequence(floor_div(first, rows), floor_div(last, rows))
+    laid_out = constants.select(*keys, *named, F.explode(blocks).alias("_at"))
+    return df.withColumn("_at", floor_div(at, rows)).join(laid_out, [*keys, "_at"], how).drop("_at")
+
+
 def is_core(rows: int, pos: str = "pos") -> Column:
     return floor_div(pos, rows) == F.col("block")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.config import GridConfig
 from tidegrid.functions.scalar import floor_div, is_anchor, iso_local, local_seconds, night_of, time_of_night
+from tidegrid.operators.series_index import at_step
 
 
 def bucket(grid: GridConfig, step: str = "step") -> Column:
@@ -48,7 +49,7 @@ def downsample_signals(df: DataFrame, constants: DataFrame, grid: GridConfig) ->
     of the first row without its zone: it is carried as a number, since text would turn
     the hash aggregation into two sorts of all rows.
     """
-    anchored = df.join(constants.select("series_id", "step_first"), "series_id")
+    anchored = at_step(df, constants, {"step_first": F.col("step_first")}, grid)
     since = time_of_night(F.col("step"), F.col("step_first"), grid)
     hour = floor_div(since, grid.steps_per_hour)
     reduced = (
@@ -71,7 +72,8 @@ def downsample_signals(df: DataFrame, constants: DataFrame, grid: GridConfig) ->
     def scaled(x: Column, mean: Column | float, sd: str) -> Column:
         return F.try_divide(x - mean, F.col(sd))
 
-    return reduced.join(constants, "series_id").select(
+    stats = {c: F.col(c) for c in constants.columns if c.endswith(("_mean", "_sd", "step_first"))}
+    return at_step(reduced, constants, stats, grid, stride=grid.downsample).select(
         "series_id",
         "step",
         iso_local(F.col("_local")).alias("timestamp"),

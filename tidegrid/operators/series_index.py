@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.config import GridConfig
 from tidegrid.functions.scalar import floor_div, is_anchor
-from tidegrid.operators.blocks import with_positions
+from tidegrid.operators.blocks import join_constants, with_positions
 from tidegrid.staging import stage
 
 
@@ -39,13 +39,24 @@ def staged_constants(df: DataFrame, grid: GridConfig) -> DataFrame:
     return stage(series_constants(df, grid), "series-constants")
 
 
-def zscore(df: DataFrame, constants: DataFrame) -> DataFrame:
+def at_step(
+    df: DataFrame, constants: DataFrame, values: dict[str, Column], grid: GridConfig, stride: int = 1, how: str = "inner"
+) -> DataFrame:
+    """Add per-series ``values`` to rows with a ``step`` of ``stride`` full steps.
+
+    ``constants`` has ``min_step`` and ``max_step`` at full resolution."""
+    rows = -(-grid.block_rows // grid.downsample) * grid.downsample  # whole buckets
+    first, last = F.col("min_step"), F.col("max_step")
+    return join_constants(df, constants, values, ["series_id"], F.col("step") * stride, first, last, rows, how)
+
+
+def zscore(df: DataFrame, constants: DataFrame, grid: GridConfig = GridConfig()) -> DataFrame:
     """Scale the signals by the mean and sample deviation of their series; null if the
     deviation is zero."""
     names = ("anglez", "enmo", "anglez_orig")
-    stats = constants.select("series_id", *[F.col(f"{c}_{s}").alias(f"_{c}_{s}") for c in names for s in ("mean", "sd")])
+    stats = {f"_{c}_{s}": F.col(f"{c}_{s}") for c in names for s in ("mean", "sd")}
     scaled = {c: F.try_divide(F.col(c) - F.col(f"_{c}_mean"), F.col(f"_{c}_sd")) for c in names}
-    return df.join(stats, "series_id").withColumns(scaled).drop(*[c for c in stats.columns if c != "series_id"])
+    return at_step(df, constants, stats, grid).withColumns(scaled).drop(*stats)
 
 
 def index_rows(
@@ -64,13 +75,15 @@ def index_rows(
             ),
             "series-range",
         )
+    block_steps = block_rows * stride
+    span = F.col("step"), F.col("min_step"), F.col("max_step"), block_steps
     if not grid.dense_steps:
-        df = df.join(constants.select("series_id", "n_rows"), "series_id")
-        return with_positions(df, ["series_id"], ["step"], floor_div("step", block_rows * stride))
+        df = join_constants(df, constants, {"n_rows": F.col("n_rows")}, ["series_id"], *span)
+        return with_positions(df, ["series_id"], ["step"], floor_div("step", block_steps))
     gap_free = F.col("n_rows") * stride == F.col("max_step") - F.col("min_step") + stride
     checked = F.when(gap_free, F.col("min_step")).otherwise(
         F.raise_error(F.concat(F.lit("steps with gaps or repeats, use dense_steps=False: "), F.col("series_id")))
     )
-    base = constants.select("series_id", "n_rows", checked.cast("long").alias("_base"))
+    values = {"n_rows": F.col("n_rows"), "_base": checked.cast("long")}
     pos = ((F.col("step") - F.col("_base")) / stride).cast("long")
-    return df.join(base, "series_id").withColumn("pos", pos).drop("_base")
+    return join_constants(df, constants, values, ["series_id"], *span).withColumn("pos", pos).drop("_base")

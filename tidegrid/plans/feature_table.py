@@ -13,11 +13,11 @@ from tidegrid.operators.chunks import labelled_only, night_chunks, with_reversed
 from tidegrid.operators.downsample import bucket_anchor, downsample_flat, downsample_noise, downsample_signals
 from tidegrid.operators.encoding import join_encoding, join_mean_encoding
 from tidegrid.operators.features import Hook, apply_hook, day_equality
-from tidegrid.operators.flat_signal import flat_signal_features
+from tidegrid.operators.flat_signal import detected_runs, run_buckets, run_rows
 from tidegrid.operators.labels import label_targets, trim_unlabelled_tail
 from tidegrid.operators.repeats import drop_noisy_nights, long_noise, repeated_rows
-from tidegrid.operators.series_index import index_rows, staged_constants
-from tidegrid.sources.tables import assign_fold, with_absolute_angle
+from tidegrid.operators.series_index import at_step, index_rows, staged_constants
+from tidegrid.sources.tables import with_absolute_angle
 from tidegrid.staging import stage
 
 
@@ -34,32 +34,34 @@ def bucket_table(series: DataFrame, grid: GridConfig, cfg: FlatSignalConfig, dro
     indexed = index_rows(raw.select("series_id", "step", "anglez"), grid, constants)
     if not grid.dense_steps:
         indexed = stage(indexed, "positions")
-    flat = flat_signal_features(indexed, constants, grid, cfg)
-    anchored = indexed.join(constants.select("series_id", "step_first"), "series_id")
+    runs = detected_runs(indexed, constants, grid, cfg)
+    anchored = at_step(indexed, constants, {"step_first": F.col("step_first")}, grid)
     noisy = stage(
         long_noise(
             repeated_rows(anchored, grid).select("series_id", "step", "pos"), cfg.noise_run, grid.block_rows
         ),
         "noise",
     )
-    steps = indexed.select("series_id", "pos", "step")
-    if grid.dense_steps:
-        # the step follows from the position, no join needed
-        low = constants.select("series_id", "min_step")
-        flat = flat.join(low, "series_id").withColumn("step", F.col("pos") + F.col("min_step")).drop("min_step")
+    if grid.dense_steps and not drop_tail:
+        flat = run_buckets(runs, constants, grid)
     else:
-        flat = flat.join(steps, ["series_id", "pos"])
-    if drop_tail:
-        clean = steps.join(noisy.select("series_id", "pos"), ["series_id", "pos"], "left_anti")
-        last = clean.groupBy("series_id").agg(F.max("step").alias("_last"))
-        raw, flat, noisy = (
-            d.join(last, "series_id").where(F.col("step") <= F.col("_last")).drop("_last") for d in (raw, flat, noisy)
-        )
+        steps = indexed.select("series_id", "pos", "step")
+        flat = run_rows(runs, grid).join(steps, ["series_id", "pos"])
+        if drop_tail:
+            clean = steps.join(noisy.select("series_id", "pos"), ["series_id", "pos"], "left_anti")
+            last = clean.groupBy("series_id").agg(F.max("step").alias("_last"))
+            # a series that is noise from end to end has no row left
+            last = stage(constants.select("series_id", "min_step", "max_step").join(last, "series_id"), "last-clean")
+            raw, flat, noisy = (
+                at_step(d, last, {"_last": F.col("_last")}, grid).where(F.col("step") <= F.col("_last")).drop("_last")
+                for d in (raw, flat, noisy)
+            )
+        flat = downsample_flat(flat, grid)
 
     by = ["series_id", "step"]
     table = (
         downsample_signals(raw, constants, grid)
-        .join(downsample_flat(flat, grid), by)
+        .join(flat, by)
         .join(downsample_noise(noisy, grid), by, "left")
         .fillna(0, ["noise", "noise_removal"])
     )
@@ -72,11 +74,15 @@ def with_bucket_features(
     """Time parts, day lags, medians, anchor, half minute and fold on the bucket table."""
     timed = with_time_parts(index_rows(buckets, grid, block_rows=grid.bucket_block_rows))
     lagged = day_equality(timed, grid, col="raw_anglez")
-    anchor = stage(bucket_anchor(buckets, grid, short_series), "bucket-anchor")
-    out = lagged.join(anchor, "series_id", "left").withColumn(
-        "hminute", half_minute(F.col("hour"), F.col("minute"), F.col("second"))
-    )
-    return assign_fold(out, folds).withColumn("invert", F.lit(0)).drop("n_rows")
+    # everything that is constant in a series in one table, so rows meet it once
+    k = grid.downsample
+    spans = buckets.groupBy("series_id").agg((F.min("step") * k).alias("min_step"), (F.max("step") * k).alias("max_step"))
+    facts = spans.join(bucket_anchor(buckets, grid, short_series), "series_id").join(folds, "series_id", "left")
+    facts = stage(facts, "series-facts")
+    values = {"step_first": F.col("step_first"), "fold": F.coalesce("fold", F.lit(0))}
+    out = at_step(lagged, facts, values, grid, stride=k)
+    hminute = half_minute(F.col("hour"), F.col("minute"), F.col("second"))
+    return out.withColumns({"hminute": hminute, "invert": F.lit(0)}).drop("n_rows")
 
 
 def training_features(

@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_recorders: list[list[tuple[str, str]]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
@@ -31,9 +35,26 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidegrid/{spark.sparkContext.applicationId}"
 
 
+def plan_text(df: DataFrame) -> str:
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+@contextmanager
+def recorded_plans() -> Iterator[list[tuple[str, str]]]:
+    """Name and plan of every table that is staged inside, for tests and tuning."""
+    plans: list[tuple[str, str]] = []
+    _recorders.append(plans)
+    try:
+        yield plans
+    finally:
+        _recorders.remove(plans)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it."""
     spark = df.sparkSession
+    for plans in _recorders:
+        plans.append((name, plan_text(df)))
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
