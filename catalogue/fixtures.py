@@ -39,6 +39,8 @@ FLAT = FlatSignalConfig(
 )
 PEAKS = PeakConfig(block_rows=256)
 TOLERANCES = {event: [1, 2, 3, 4, 5, 6, 8, 10, 11, 12] for event in ("onset", "wakeup")}
+# wider than the distance of neighbouring labels, so truths compete in chains over many nights
+DENSE_TOLERANCES = {event: [10, 45, 60, 100] for event in ("onset", "wakeup")}
 N_MODELS = 3
 
 START = "timestamp_ntz'2024-01-01 09:00:00'"
@@ -366,6 +368,12 @@ CTES: dict[str, str] = {
       from rec_match where rn > 0""",
 }
 
+# the same walk with tolerances that make neighbouring labels compete
+CTES["fx_dtol"] = "select * from (values (10.0::double), (45.0), (60.0), (100.0)) as t(tolerance)"
+for _name in ("fx_ranked", "rec_match", "fx_matched"):
+    _sql = CTES[_name].replace("fx_tol", "fx_dtol").replace("rec_match", "rec_dmatch").replace("fx_ranked", "fx_dranked")
+    CTES[_name.replace("_", "_d")] = _sql
+
 # the same rounds on probabilities cut to six places, where near ties are ties
 CTES["fx_smooth6"] = """
       select series_id, event, step, floor(prob * 1e6::double + 0.4142::double) / 1e6::double as prob from fx_smooth"""

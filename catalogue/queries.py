@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogue.fixtures import FLAT, GRID, N_MODELS, PEAKS, TOLERANCES, Fixtures, W, ap_ctes
+from catalogue.fixtures import DENSE_TOLERANCES, FLAT, GRID, N_MODELS, PEAKS, TOLERANCES, Fixtures, W, ap_ctes
 from catalogue.registry import cut, query
 from tidegrid.functions import rolling, scalar
 from tidegrid.operators import (
@@ -657,6 +657,15 @@ def match_detections(fx: Fixtures) -> DataFrame:
     return evaluation.match_detections(_truths(fx), fx.detections, TOLERANCES, block_steps=384)
 
 
+@query(
+    "match_detections_dense",
+    "event:s tolerance:f series_id:s step:f score:f matched:i",
+    "select * from fx_dmatched",
+)
+def match_detections_dense(fx: Fixtures) -> DataFrame:
+    return evaluation.match_detections(_truths(fx), fx.detections, DENSE_TOLERANCES, block_steps=960)
+
+
 def _ap_sql(source: str) -> str:
     return f"select event, tolerance, sum(tp / p * (c_tp / c_n)) as ap from ({ap_ctes(source)}) group by event, tolerance"
 

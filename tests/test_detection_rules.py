@@ -110,7 +110,7 @@ def test_matching(spark, spacing):
     dets += [("unknown", "onset", 5.0, 0.9), ("a", "onset", 5.0, None)]
     t = spark.createDataFrame(truths, "series_id string, event string, step long")
     d = spark.createDataFrame(dets, "series_id string, event string, step double, score double")
-    got = evaluation.match_detections(t, d, tolerances, block_steps=130, bundle_steps=500)
+    got = evaluation.match_detections(t, d, tolerances, block_steps=130)
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,29 +64,11 @@ def evaluation_groups(truths: DataFrame, detections: DataFrame, tolerances: Tole
     return keys.join(found, ["series_id", "event"], "left")
 
 
-def greedy_match(times: np.ndarray, steps: np.ndarray, scores: np.ndarray, tolerance: float) -> np.ndarray:
-    """One-to-one matching: detections by falling score (ties: earlier step) take the
-    nearest free truth closer than ``tolerance`` (ties: earlier truth)."""
-    times = np.sort(times)
-    free = np.ones(len(times), dtype=bool)
-    matched = np.zeros(len(steps), dtype="int32")
-    for i in np.lexsort((steps, -scores)):
-        lo = np.searchsorted(times, steps[i] - tolerance, side="right")
-        hi = np.searchsorted(times, steps[i] + tolerance, side="left")
-        near = np.flatnonzero(free[lo:hi])
-        if len(near):
-            best = lo + near[np.argmin(np.abs(times[lo:hi][near] - steps[i]))]
-            free[best] = False
-            matched[i] = 1
-    return matched
-
-
 def match_detections(
     truths: DataFrame,
     detections: DataFrame,
     tolerances: Tolerances = TOLERANCES,
     block_steps: float | None = None,
-    bundle_steps: float = 6_307_200.0,
 ) -> DataFrame:
     """``event, tolerance, series_id, step, score, matched`` for every detection of a
     labelled series.
@@ -95,9 +76,10 @@ def match_detections(
     Truths closer than twice the tolerance can compete for a detection; a wider gap
     separates them for good.  So truths fall into clusters and each detection reaches at
     most one.  A detection that reaches none is a false positive.  In a cluster of one
-    truth the best detection wins, which is a ranking; only clusters of several truths
-    need the greedy walk, in bundles of clusters that start within ``bundle_steps``, never
-    a whole series.
+    truth the best detection wins, which is a ranking; where several truths compete, the
+    greedy choice is made in rounds of certain matches, see :func:`_greedy_rounds`.
+    Detections go by falling score (ties: earlier step) and take the nearest free truth
+    closer than the tolerance (ties: earlier truth).
     """
     widest = max(max(v) for v in tolerances.values())
     width = float(block_steps or max(17280.0, 4 * widest))
@@ -135,14 +117,11 @@ def match_detections(
     )
     missed = rows.where("n is null").select(*columns, F.lit(0).alias("matched"))
     single = _best_of_cluster(rows.where("n = 1"), columns)
-    bundled = F.floor(F.col("first") / bundle_steps).cast("long").alias("bundle")
     targets = clustered.select(
-        *keys, "step", F.inline(F.arrays_zip(F.col("tols").alias("tolerance"), F.col("clusters").alias("cluster")))
-    )
-    targets = targets.where("cluster.n > 1").select(*keys, "tolerance", "step", "cluster.first")
-    several = _greedy_bundles(
-        rows.where("n > 1").select(*columns, bundled), targets.select(*keys, "tolerance", "step", bundled), columns
+        *keys, "step", "copy", F.inline(F.arrays_zip(F.col("tols").alias("tolerance"), F.col("clusters").alias("cluster")))
     )
+    targets = targets.where("cluster.n > 1").select(*keys, "tolerance", "step", "copy")
+    several = _greedy_rounds(rows.where("n > 1").select(*columns), targets, columns)
     return missed.unionByName(single).unionByName(several)
 
 
@@ -163,18 +142,47 @@ def _best_of_cluster(rows: DataFrame, columns: list[str], salts: int = 16) -> Da
     return salted.select(*columns, (F.col("_lead") & (final == 1)).cast("int").alias("matched"))
 
 
-def _greedy_bundles(near: DataFrame, targets: DataFrame, columns: list[str]) -> DataFrame:
-    def kernel(dets: pd.DataFrame, gts: pd.DataFrame) -> pd.DataFrame:
-        if dets.empty:
-            return dets[columns].assign(matched=pd.Series(dtype="int32"))
-        tolerance = float(dets["tolerance"].iloc[0])
-        steps, scores = dets["step"].to_numpy(float), dets["score"].to_numpy(float)
-        hit = greedy_match(gts["step"].to_numpy(float), steps, scores, tolerance)
-        return dets[columns].assign(matched=hit)
+def _greedy_rounds(near: DataFrame, targets: DataFrame, columns: list[str]) -> DataFrame:
+    """Greedy matching of detections that several truths compete for, without walking through them.
 
-    by = ["series_id", "event", "tolerance", "bundle"]
-    schema = "event string, tolerance double, series_id string, step double, score double, matched int"
-    return near.groupBy(*by).cogroup(targets.groupBy(*by)).applyInPandas(kernel, schema)
+    Every pair within the tolerance is a link.  A link is certain if its truth is the nearest free
+    one of its detection, and its detection the best of all that the truth could still go to: no
+    better detection can take the truth later, and whatever took a nearer truth was better.  All certain links are
+    matched at once, links of matched ends go, and the next round looks at what is left; the best
+    detection left is always certain.  Scores without order along the series leave few rounds; scores that rise from
+    truth to truth of a chain need a round for each.
+    """
+    part = ["series_id", "event", "tolerance"]
+    near = stage(near.withColumn("_id", F.monotonically_increasing_id()), "rival-detections")
+    cell = F.floor(F.col("step") / F.col("tolerance")).cast("long")
+    truth = targets.select(
+        *part, F.struct(F.col("step").alias("at"), "copy").alias("truth"), F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell")
+    )
+    gap = F.abs(F.col("truth.at") - F.col("step"))
+    links = near.withColumn("_cell", cell).join(truth, [*part, "_cell"]).where(gap < F.col("tolerance"))
+    links = stage(
+        links.select(
+            *part,
+            F.struct((-F.col("score")).alias("rank"), "step", F.col("_id").alias("id")).alias("det"),
+            "truth",
+            F.struct(gap.alias("gap"), "truth").alias("choice"),
+        ),
+        "links",
+    )
+    matched = []
+    while not links.isEmpty():
+        # aggregates, not windows: a truth with very many rivals is a partial minimum in every task
+        nearest = links.groupBy(*part, "det").agg(F.min("choice").alias("choice"))
+        best = links.groupBy(*part, "truth").agg(F.min("det").alias("det"))
+        certain = nearest.select(*part, "det", F.col("choice.truth").alias("truth")).join(best, [*part, "det", "truth"])
+        certain = stage(certain, "certain-links")
+        matched.append(certain.select(F.col("det.id").alias("_id")))
+        left = links.join(certain.select(*part, "det"), [*part, "det"], "left_anti")
+        links = stage(left.join(certain.select(*part, "truth"), [*part, "truth"], "left_anti"), "links")
+    if not matched:
+        return near.select(*columns, F.lit(0).alias("matched"))
+    hits = reduce(DataFrame.unionByName, matched).withColumn("_hit", F.lit(1))
+    return near.join(hits, "_id", "left").select(*columns, F.coalesce("_hit", F.lit(0)).alias("matched"))
 
 
 def _blocks_of(step: Column, width: float, before: float, after: float) -> Column:
@@ -209,7 +217,7 @@ def _clusters(truth: DataFrame, keys: list[str], width: float, reach: float) ->
     once = grouped.select(
         *keys, "step", "tols", F.transform("_c", lambda c: F.struct(c["_cluster"].alias("first"), c["_n"].alias("n"))).alias("clusters"), "_copies"
     )
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copy", "_copies")
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies")
 
 
 def _nearest_truths(truth: DataFrame, found: DataFrame, keys: list[str], width: float, reach: float) -> DataFrame:

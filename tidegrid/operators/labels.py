@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.config import GridConfig
@@ -33,8 +33,12 @@ def last_night(labels: DataFrame) -> DataFrame:
 
 def trim_unlabelled_tail(df: DataFrame, labels: DataFrame, grid: GridConfig) -> DataFrame:
     """Keep rows up to the last labelled night; series without labels drop out."""
-    out = df.join(last_night(labels), "series_id")
-    return out.where(F.col("step") <= F.col("max_night") * grid.night_rows)
+    return df.join(last_night(labels), "series_id").where(within_last_night(grid))
+
+
+def within_last_night(grid: GridConfig) -> Column:
+    """False or null for bucket rows after ``max_night``."""
+    return F.col("step") <= F.col("max_night") * grid.night_rows
 
 
 def in_fold(df: DataFrame, folds: DataFrame, fold: int) -> DataFrame:

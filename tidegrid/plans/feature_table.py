@@ -14,7 +14,7 @@ from tidegrid.operators.downsample import bucket_anchor, downsample_flat, downsa
 from tidegrid.operators.encoding import join_encoding, join_mean_encoding
 from tidegrid.operators.features import Hook, apply_hook, day_equality
 from tidegrid.operators.flat_signal import detected_runs, run_buckets, run_rows
-from tidegrid.operators.labels import label_targets, trim_unlabelled_tail
+from tidegrid.operators.labels import label_targets, last_night, trim_unlabelled_tail, within_last_night
 from tidegrid.operators.repeats import drop_noisy_nights, long_noise, repeated_rows
 from tidegrid.operators.series_index import at_step, index_rows, staged_constants
 from tidegrid.sources.tables import with_absolute_angle
@@ -69,17 +69,25 @@ def bucket_table(series: DataFrame, grid: GridConfig, cfg: FlatSignalConfig, dro
 
 
 def with_bucket_features(
-    buckets: DataFrame, folds: DataFrame, grid: GridConfig, short_series: int | None = None
+    buckets: DataFrame,
+    folds: DataFrame,
+    grid: GridConfig,
+    short_series: int | None = None,
+    nights: DataFrame | None = None,
 ) -> DataFrame:
-    """Time parts, day lags, medians, anchor, half minute and fold on the bucket table."""
+    """Time parts, day lags, medians, anchor, half minute and fold on the bucket table.
+
+    ``nights`` (``series_id, max_night``), if given, adds its column."""
     timed = with_time_parts(index_rows(buckets, grid, block_rows=grid.bucket_block_rows))
     lagged = day_equality(timed, grid, col="raw_anglez")
     # everything that is constant in a series in one table, so rows meet it once
     k = grid.downsample
     spans = buckets.groupBy("series_id").agg((F.min("step") * k).alias("min_step"), (F.max("step") * k).alias("max_step"))
     facts = spans.join(bucket_anchor(buckets, grid, short_series), "series_id").join(folds, "series_id", "left")
-    facts = stage(facts, "series-facts")
     values = {"step_first": F.col("step_first"), "fold": F.coalesce("fold", F.lit(0))}
+    if nights is not None:
+        facts, values = facts.join(nights, "series_id", "left"), {**values, "max_night": F.col("max_night")}
+    facts = stage(facts, "series-facts")
     out = at_step(lagged, facts, values, grid, stride=k)
     hminute = half_minute(F.col("hour"), F.col("minute"), F.col("second"))
     return out.withColumns({"hminute": hminute, "invert": F.lit(0)}).drop("n_rows")
@@ -101,10 +109,10 @@ def training_features(
     ``trim`` cuts after the last labelled night; the other two switches are off by default.
     """
     buckets = bucket_table(series, grid, cfg, drop_tail)
-    rows = join_encoding(with_bucket_features(buckets, folds, grid), encoding)
-    rows = label_targets(rows, labels, grid)
+    rows = with_bucket_features(buckets, folds, grid, nights=last_night(labels) if trim else None)
     if trim:
-        rows = trim_unlabelled_tail(rows, labels, grid)
+        rows = rows.where(within_last_night(grid))
+    rows = label_targets(join_encoding(rows, encoding), labels, grid)
     if drop_noisy:
         rows = drop_noisy_nights(rows, grid.night_rows)
     return rows
