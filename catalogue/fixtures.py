@@ -141,6 +141,15 @@ class Fixtures:
         wakeup = ((s * s * 53 + s * 29 + sid * 17 + m * 71) % 991).cast("double") / 991
         return stage(k.select("series_id", "step", "model", onset.alias("onset"), wakeup.alias("wakeup")), "raw")
 
+    @property
+    def stretched(self) -> DataFrame:
+        """Long form of made-up probabilities: plateaus of 150 rows, slopes and a saw, with ``pos``."""
+        rows = self.raw.where("model = 0").select("series_id", "step", F.col("step").alias("pos"))
+        s = F.col("step")
+        onset = (floor_div(s, 150) * 5 % 3).cast("double") / 4
+        wakeup = F.when(s % 400 < 300, s.cast("double")).otherwise((s * 7 % 40).cast("double")) / 100_000
+        return rows.withColumns({"onset": onset, "wakeup": wakeup}).unpivot(["series_id", "step", "pos"], ["onset", "wakeup"], "event", "prob")
+
     @property
     def detections(self) -> DataFrame:
         rows = self.raw.where("model = 0")
@@ -377,7 +386,14 @@ for _name in ("fx_ranked", "rec_match", "fx_matched"):
 # the same rounds on probabilities cut to six places, where near ties are ties
 CTES["fx_smooth6"] = """
       select series_id, event, step, floor(prob * 1e6::double + 0.4142::double) / 1e6::double as prob from fx_smooth"""
+# plateaus and slopes over many blocks
+CTES["fx_stretched"] = """
+      select series_id, 'onset' as event, step, cast(step // 150 * 5 % 3 as double) / 4 as prob from fx_raw where model = 0
+      union all
+      select series_id, 'wakeup', step, cast(case when step % 400 < 300 then step else step * 7 % 40 end as double) / 100000
+      from fx_raw where model = 0"""
 for _name in ("rec_pick", "fx_peaks"):
+    CTES[f"{_name}_s"] = CTES[_name].replace("rec_pick", "rec_pick_s").replace("fx_smooth", "fx_stretched")
     CTES[f"{_name}6"] = CTES[_name].replace("rec_pick", "rec_pick6").replace("fx_smooth", "fx_smooth6")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogue.fixtures import DENSE_TOLERANCES, FLAT, GRID, N_MODELS, PEAKS, TOLERANCES, Fixtures, W, ap_ctes
 from catalogue.registry import cut, query
+from tidegrid.config import PeakConfig
 from tidegrid.functions import rolling, scalar
 from tidegrid.operators import (
     blocks,
@@ -617,6 +618,13 @@ def nms_peaks(fx: Fixtures) -> DataFrame:
     return predictions.with_rank(peaks, PEAKS, "prob")
 
 
+@query("nms_plateaus", "series_id:s event:s rank:i step:i prob:f", "select * from fx_peaks_s")
+def nms_plateaus(fx: Fixtures) -> DataFrame:
+    """Rows without a best neighbour for many blocks on end."""
+    cfg = PeakConfig(block_rows=48)
+    return predictions.with_rank(predictions.nms_peaks(fx.stretched, cfg, "prob"), cfg, "prob")
+
+
 def _raw_long(fx: Fixtures) -> DataFrame:
     anchored = ensemble_scores(fx).join(fx.constants.select("series_id", F.col("step_first")), "series_id")
     rows = anchored.withColumn("step_first", scalar.floor_div("step_first", GRID.downsample))

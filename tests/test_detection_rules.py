@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.config import GridConfig, PeakConfig
-from tidegrid.operators import evaluation, predictions
+from tidegrid.operators import evaluation, order_stats, predictions
+from tidegrid.staging import recorded_plans
 
 
 def plain_peaks(prob, gap):
@@ -81,6 +82,37 @@ def test_pick_peaks_pipeline(spark):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
 
 
+@pytest.mark.parametrize("gap", [0, 1, 4])
+def test_settle_and_sliding_maximum(gap):
+    rng = np.random.default_rng(gap)
+    for prob in (rng.integers(0, 5, 300) / 4, np.arange(90.0), -np.arange(90.0), np.zeros(50), rng.random(1), np.zeros(0)):
+        assert predictions.greedy_peaks(prob, gap).tolist() == sorted(plain_peaks(prob, gap))
+        for rows in (1, 3, 7):
+            frames = [max(prob[i : i + rows]) for i in range(len(prob) - rows + 1)]
+            assert order_stats.sliding_max(np.asarray(prob, float), rows).tolist() == frames
+
+
+@pytest.mark.parametrize("block_rows", [20, 64])
+def test_stretches_over_many_blocks(spark, block_rows):
+    """Slopes, valleys and plateaus without a cut for many blocks; none of their groups is longer than a block."""
+    rng = np.random.default_rng(4)
+    n, cfg = 700, PeakConfig(gap_rows=4, block_rows=block_rows)
+    shapes = {
+        "up": np.arange(n) / n,
+        "down": -np.arange(n) / n,
+        "valley": np.abs(np.arange(n) - 350.0),
+        "wavy": np.arange(n) / n + np.sin(np.arange(n)) / 300,
+        "steps": np.floor(np.arange(n) / 90),
+        "mixed": np.where(np.arange(n) < 400, np.arange(n) / n, rng.integers(0, 4, n)),
+    }
+    rows = [(s, "onset", i, float(p)) for s, prob in shapes.items() for i, p in enumerate(prob)]
+    df = spark.createDataFrame(rows, "series_id string, event string, pos long, p double")
+    with recorded_plans() as plans:
+        got = predictions.nms_peaks(df, cfg, "p").select("series_id", "pos").collect()
+    assert sorted(map(tuple, got)) == sorted((s, i) for s, prob in shapes.items() for i in plain_peaks(prob, 4))
+    assert sum(name == "open-rows" for name, _ in plans) > 2
+
+
 def plain_match(truths, dets, tolerance):
     free, hits = sorted(truths), []
     for step, score in sorted(dets, key=lambda d: (-d[1], d[0])):
@@ -114,6 +146,24 @@ def test_matching(spark, spacing):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_matching_in_rounds(spark):
+    """Repeated truths and detections, and scores that rise along a chain: a round for each truth."""
+    truths = [("a", "onset", t) for t in (10, 10, 10, 12, 15, 15)] + [("b", "onset", 8 * k) for k in range(12)]
+    dets = [("a", "onset", s, p) for s, p in ((9.5, 0.5), (9.5, 0.5), (9.5, 0.5), (9.5, 0.5), (13.5, 0.9), (11.0, 0.9), (30.0, 1.0))]
+    dets += [("b", "onset", 8.0 * k + 3, k / 12) for k in range(12)]
+    want = []
+    for sid in "ab":
+        own = [(s, p) for i, _, s, p in dets if i == sid]
+        want += [("onset", 12.0, sid, *h) for h in plain_match([t for i, _, t in truths if i == sid], own, 12)]
+    t = spark.createDataFrame(truths, "series_id string, event string, step long")
+    d = spark.createDataFrame(dets, "series_id string, event string, step double, score double")
+    with recorded_plans() as plans:
+        got = evaluation.match_detections(t, d, {"onset": [12]}, block_steps=30).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    rounds = [text for name, text in plans if name == "certain-links"]
+    assert 3 < len(rounds) < 20 and not any("Python" in text or "InPandas" in text for text in rounds)
+
+
 def plain_ap(matched, scores, p):
     order = np.argsort(scores, kind="stable")[::-1]
     m, s = np.asarray(matched)[order], np.asarray(scores)[order]

@@ -203,7 +203,8 @@ def _clusters(truth: DataFrame, keys: list[str], width: float, reach: float) ->
     part = [*keys, "_i"]
     per_block = long.groupBy(*part, "block").agg(F.max("_start").alias("_last"))
     before = carry(per_block, part, "block", [Carry("_before", "max", "_last")])
-    running = Window.partitionBy(*part, "block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    # by range: repeated truths see the start that one of them has
+    running = Window.partitionBy(*part, "block").orderBy("step").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cluster = F.coalesce(F.max("_start").over(running), "_before")
     named = long.join(before, [*part, "block"]).withColumn("_cluster", cluster)
     sizes = named.groupBy(*part, "_cluster").agg(F.count(F.lit(1)).alias("_n"))

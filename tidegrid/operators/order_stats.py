@@ -37,6 +37,21 @@ def sliding_std(x: np.ndarray, rows: int, slab: int = 65536) -> np.ndarray:
     return np.concatenate([frames[a : a + slab].std(axis=1, ddof=1) for a in range(0, len(frames), slab)])
 
 
+def sliding_max(x: np.ndarray, rows: int) -> np.ndarray:
+    """Largest value of each full frame ``x[i:i+rows]``, one result per frame start.
+
+    A frame is the end of one piece of ``rows`` values and the beginning of the next, so its
+    maximum comes from running maxima of pieces, from either side: constant work per row.
+    """
+    n = len(x)
+    if n < rows:
+        return np.empty(0)
+    pieces = np.concatenate([x, np.full(-n % rows, -np.inf)]).reshape(-1, rows)
+    upto = np.maximum.accumulate(pieces, axis=1).ravel()
+    onward = np.maximum.accumulate(pieces[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.maximum(onward[: n - rows + 1], upto[rows - 1 : n])
+
+
 def at_offset(values: np.ndarray, n: int, lo: int) -> np.ndarray:
     """Place per-frame-start results on rows: the frame of row i starts at ``i + lo``."""
     out = np.full(n, np.nan)

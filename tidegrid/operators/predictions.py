@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from tidegrid.config import GridConfig, PeakConfig, centred_frame
 from tidegrid.functions.rolling import rolling_mean
 from tidegrid.functions.scalar import floor_div, prediction_night
-from tidegrid.operators.blocks import Carry, carry, over_blocks, spread, with_positions
-from tidegrid.operators.order_stats import quantiles, running_totals
+from tidegrid.operators.blocks import Carry, carry, explode_blocks, join_constants, over_blocks, spread, with_positions
+from tidegrid.operators.order_stats import quantiles, running_totals, sliding_max
 from tidegrid.operators.series_index import index_rows
 from tidegrid.staging import stage
 
@@ -67,16 +68,78 @@ def _smoothed(d: DataFrame, w, col: str, out: str, cfg: PeakConfig) -> DataFrame
     return d.withColumn(out, F.coalesce(rolling_mean("_once", w, lo2, hi2), F.lit(0.0))).drop("_once")
 
 
+def _near(rows: np.ndarray, gap: int) -> np.ndarray:
+    """Rows within ``gap`` of a marked one."""
+    edge = np.zeros(len(rows) + 2 * gap + 1, np.int64)
+    at = np.flatnonzero(rows)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + 2 * gap + 1, -1)
+    return np.cumsum(edge)[gap : gap + len(rows)] > 0
+
+
+def settle(prob: np.ndarray, gap: int, kept: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy suppression as far as it is certain: rows kept, and rows still open.
+
+    ``kept`` rows are kept already; only ``core`` rows are decided, the others are their
+    neighbours.  In rounds, each open row that beats all open rows within ``gap`` (ties: the earlier
+    row) is kept and closes those: whatever could still suppress it is worse.
+    """
+    value = np.where(kept | _near(kept, gap), -np.inf, np.nan_to_num(prob, nan=-np.finfo(float).max, posinf=np.inf, neginf=-np.inf))
+    new = np.zeros(len(prob), bool)
+    side = np.full(gap, -np.inf)
+    while True:
+        if gap:
+            best = sliding_max(np.concatenate([side, value, side]), gap)
+            left, right = best[: len(value)], best[gap + 1 :]
+        else:
+            left = right = np.full(len(value), -np.inf)
+        now = core & (value > left) & (value >= right)
+        if not now.any():
+            return new, core & (value > -np.inf)
+        new |= now
+        value[_near(now, gap)] = -np.inf
+
+
 def greedy_peaks(prob: np.ndarray, gap: int) -> np.ndarray:
     """Indices kept by greedy suppression: best first, ties to the earlier row, each kept
     row removing all within ``gap`` rows."""
-    alive = np.ones(len(prob), dtype=bool)
-    kept = []
-    for i in np.argsort(-prob, kind="stable"):
-        if alive[i]:
-            kept.append(i)
-            alive[max(0, i - gap) : i + gap + 1] = False
-    return np.sort(np.array(kept, dtype=int))
+    return np.flatnonzero(settle(prob, gap, np.zeros(len(prob), bool), np.ones(len(prob), bool))[0])
+
+
+def _settled_in_blocks(rows: DataFrame, keys: list[str], prob: str, gap: int, block_rows: int) -> DataFrame:
+    """Kept rows of stretches that are too long for one task.
+
+    Blocks decide what they can from their own rows and those within ``gap`` of them.  What depends
+    on a neighbour's decision waits for the next round, in which the blocks lie half a block
+    further, and which sees the open rows and the last round's peaks only.
+    """
+    columns = rows.columns
+    numbered = with_positions(rows, keys, ["pos"], floor_div("pos", block_rows), "_i")
+    state = stage(numbered.withColumn("_kept", F.lit(False)), "open-rows")
+    names = state.columns
+    block_rows = max(block_rows, 4 * gap + 4)
+    found, turn = [], 0
+    while not state.where("not _kept").isEmpty():
+        shift = turn % 2 * (block_rows // 2)
+        moved = state.withColumn("_i", F.col("_i") + shift)
+        copies = explode_blocks(moved, block_rows, gap, gap, "_i")
+
+        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_i", ignore_index=True)
+            # a row that is gone is a place that suppresses nothing
+            at = (pdf["_i"] - pdf["_i"].iloc[0]).to_numpy()
+            value, kept, core = np.full(at[-1] + 1, -np.inf), np.zeros(at[-1] + 1, bool), np.zeros(at[-1] + 1, bool)
+            value[at], kept[at] = pdf[prob].to_numpy(float), pdf["_kept"].to_numpy(bool)
+            core[at] = (pdf["_i"] // block_rows == pdf["block"]).to_numpy()
+            new, still = settle(value, gap, kept, core & ~kept)
+            out = pdf[new[at] | still[at]]
+            return out.assign(_kept=new[at][new[at] | still[at]], _i=out["_i"] - shift)[names]
+
+        blocks = spread(copies, *keys, "block").groupBy(*keys, "block")
+        state = stage(blocks.applyInPandas(kernel, state.schema), "open-rows")
+        found.append(state.where("_kept").select(*columns))
+        turn += 1
+    return reduce(DataFrame.unionByName, found) if found else rows
 
 
 def nms_peaks(
@@ -94,7 +157,8 @@ def nms_peaks(
 
     Only a long plateau of equal values has no such row.  Inside it the kept rows repeat
     every ``gap + 1`` rows, so whole periods are taken out before and get the fate of
-    their counterpart in the second period afterwards.
+    their counterpart in the second period afterwards.  A monotone stretch has none either:
+    stretches over more than two blocks are settled block by block.
     """
     gap, rows, period = cfg.gap_rows, cfg.block_rows, cfg.gap_rows + 1
     reach_back, reach_ahead = _reach(cfg) if smooth_from else (0, 0)
@@ -138,8 +202,17 @@ def nms_peaks(
         pdf = pdf.sort_values("pos", ignore_index=True)
         return pdf.loc[greedy_peaks(pdf[prob].to_numpy(float), gap), columns]
 
-    stretches = spread(open_rows.select(*columns, "_from"), *KEYS, "_from").groupBy(*KEYS, "_from")
-    kept = stage(stretches.applyInPandas(kernel, marked.select(*columns).schema), "kept-rows")
+    # a stretch is as long as from its cut to the next one, or to the end of the series
+    ends = stage(marked.groupBy(*KEYS).agg(F.max("pos").alias("_end")), "series-ends")
+    open_rows = join_constants(open_rows, ends, {"_end": F.col("_end")}, KEYS, F.col("pos"), F.lit(0).cast("long"), F.col("_end"), rows)
+    length = F.coalesce("_upto", F.col("_end") + 1) - F.greatest(F.col("_from"), F.lit(0))
+    open_rows = stage(open_rows.select(*columns, "_from", (length > 2 * rows).alias("_long")), "stretches")
+    stretches = spread(open_rows.where("not _long").select(*columns, "_from"), *KEYS, "_from").groupBy(*KEYS, "_from")
+    kept = stretches.applyInPandas(kernel, marked.select(*columns).schema)
+    long_rows = open_rows.where("_long").select(*columns, "_from")
+    if not long_rows.isEmpty():
+        kept = kept.unionByName(_settled_in_blocks(long_rows, [*KEYS, "_from"], prob, gap, rows).select(*columns))
+    kept = stage(kept, "kept-rows")
     fate = kept.select(*KEYS, F.col("pos").alias("_twin"))
     copies = marked.where("_twin is not null").join(fate, [*KEYS, "_twin"], "left_semi")
     return kept.unionByName(copies.select(*columns))
