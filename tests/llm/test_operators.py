@@ -253,9 +253,12 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokenizer_path())
-    model.encode_special_tokens = True
-    want = {d: np.array(model.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for d, t, _ in DOCS}
-    got = packing.pack_documents(docs, tokenizer_path(), window=256).collect()
+    special = "a<|endoftext|>b <|startoftext|> <|endoftext|><|endoftext|>x\u00a0y e\u0301t\u00e9 it's 12"
+    rows = [*((d, t) for d, t, _ in DOCS), (11, special), (12, special * 300), (13, " \n\t")]
+    want = {d: np.array(model.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for d, t in rows}
+    assert 49407 in want[11]
+    frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(frame, tokenizer_path(), window=256).collect()
     covered = dict.fromkeys(want, 0)
     for r in sorted(got, key=lambda r: r.start):
         ids = want[r.doc_id]
@@ -294,6 +297,28 @@ def test_packing_asks_with_all_terms():
     assert packing.Bm25(ids, edge).ranked(0, unused).tolist() == [1]
 
 
+def test_index_ranks_as_plain_bm25():
+    r = np.random.default_rng(6)
+    docs = [r.zipf(1.4, int(r.integers(1, 80))) % 300 + 2 for _ in range(60)]
+    ids = np.concatenate([np.append(d, 1) for d in docs]).astype(np.uint16)
+    edge = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])])
+    unused, index = np.ones(60, bool), packing.Bm25(ids, edge)
+    mean = np.diff(edge).mean()
+    for seed in r.permutation(60)[:50].tolist():  # more than half leave, so entries are taken out
+        unused[seed] = False
+        score = np.zeros(60)
+        for term in set(docs[seed].tolist()):
+            df = sum(term in d for d in docs)
+            for k, d in enumerate(docs):
+                tf = np.count_nonzero(d == term)
+                score[k] += np.log1p((60 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(d) + 1) / mean))
+        score *= unused
+        got = index.ranked(seed, unused)
+        assert set(got) == set(np.flatnonzero(score))
+        assert (np.diff(score[got]) <= 1e-9).all()
+    assert len(index.doc) < 30 * 60
+
+
 def test_language_model(docs, empty):
     got = {r.doc_id: r for r in context_mixing.score_texts(docs).collect()}
     held = {d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _, _ in DOCS}

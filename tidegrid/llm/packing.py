@@ -27,12 +27,13 @@ class WordTokenizer:
     table starts afresh.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        if self.model.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} has more than 65536 ids, they are kept in 16 bits")
         self.most = most
         self._clear()
 
@@ -78,27 +79,52 @@ class WordTokenizer:
         return out, edge
 
 
+#: one per worker process and path: its words stay known from task to task
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 class Bm25:
-    """Inverted index over the documents of one shard; documents leave it once they are used."""
+    """Inverted index over the documents of one shard: for each term the documents that hold it.
+
+    Documents leave the index once they are used: their entries weigh nothing, and are taken out when
+    they are half of all.
+    """
 
     def __init__(self, ids: np.ndarray, edge: np.ndarray, k1: float = 1.2, b: float = 0.75):
         n = np.diff(edge)
         self.docs = len(n)
         doc = np.repeat(np.arange(self.docs), n)
-        pair, tf = np.unique(doc * 65536 + ids, return_counts=True)
-        doc, self.term = pair // 65536, pair % 65536
-        df = np.bincount(self.term, minlength=65536)
+        pair, tf = np.unique(doc << 16 | ids, return_counts=True)
+        doc, term = pair >> 16, pair & 0xFFFF
+        self.asked = [term[a:z] for a, z in zip(*(np.searchsorted(doc, np.arange(self.docs) + k) for k in (0, 1)), strict=True)]
+        df = np.bincount(term, minlength=1 << 16)
         idf = np.log1p((self.docs - df + 0.5) / (df + 0.5))
-        self.weight = idf[self.term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / max(1.0, n.mean())))
-        self.first = np.searchsorted(doc, np.arange(self.docs + 1))
+        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / max(1.0, n.mean())))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight, term = doc[order], weight[order], term[order]
+        self._border(term)
+
+    def _border(self, term: np.ndarray) -> None:
+        self.term = term
+        self.first = np.searchsorted(term, np.arange((1 << 16) + 1))
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first, ties by place; all terms of the seed are its query."""
-        asked = np.zeros(65536, bool)
-        asked[self.term[self.first[seed] : self.first[seed + 1]]] = True
-        asked[END] = False
-        # every document has END, so no slice is empty
-        score = np.add.reduceat(self.weight * asked[self.term], self.first[:-1]) * unused
+        alive = unused[self.doc]
+        if 2 * np.count_nonzero(alive) < len(alive):
+            self.doc, self.weight = self.doc[alive], self.weight[alive]
+            self._border(self.term[alive])
+        terms = self.asked[seed]
+        terms = terms[terms != END]
+        first, n = self.first[terms], self.first[terms + 1] - self.first[terms]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.doc[at], self.weight[at], minlength=self.docs) * unused
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
 
@@ -142,21 +168,29 @@ def pack_shard(ids: np.ndarray, edge: np.ndarray, window: int) -> list[tuple[int
             queue = index.ranked(current, unused).tolist()
 
 
-def _packer(path: str, window: int):
-    kept: list[WordTokenizer] = []
+def _tokenised(path: str):
+    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in words.batches(frames):
+            ids, edge = tokenizer_of(path).encode(frame.text)
+            ids = ids.astype("<u2")
+            held = [ids[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            yield frame.drop(columns="text").assign(ids=held)
+
+    return tokens
 
+
+def _packer(window: int):
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not kept:
-            kept.append(WordTokenizer(path))
         for frame in words.groups(frames, ["shard"]):
             edges = words.borders(frame, ["shard"])
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 part = frame.iloc[a:b].sort_values(["id", "row"], kind="stable")
-                ids, edge = kept[0].encode(part.text)
+                ids = np.frombuffer(b"".join(part.ids), "<u2")
+                edge = np.concatenate([[0], np.cumsum(part.ids.str.len().to_numpy(np.int64) // 2)])
                 pieces = np.array(pack_shard(ids, edge, window), np.int64).reshape(-1, 5)
                 doc, start, length, sequence, offset = pieces.T
                 wide = ids.astype("<u4")
-                crc = [zlib.crc32(wide[s : s + k].tobytes()) for s, k in zip((edge[doc] + start).tolist(), length.tolist(), strict=True)]
+                crc = [zlib.crc32(wide[s : s + k]) for s, k in zip((edge[doc] + start).tolist(), length.tolist(), strict=True)]
                 yield pd.DataFrame(
                     {
                         "id": part.id.to_numpy()[doc],
@@ -175,10 +209,7 @@ def _packer(path: str, window: int):
 
 def _sampler(sample: int):
     def terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The distinct words of each text with the smallest hashes, and a row per batch with all its words and their document counts.
-
-        Documents that share words with small hashes sample the same ones.
-        """
+        """The distinct words of each text with the smallest hashes: documents that share words with small hashes sample the same ones."""
         for frame in words.batches(frames):
             w = words.split(frame.text, lower=True)
             doc = np.repeat(np.arange(len(frame)), np.diff(w.first))
@@ -189,35 +220,40 @@ def _sampler(sample: int):
             fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
             h, doc = h[fresh].view(np.int64), doc[fresh]
             first = np.searchsorted(doc, np.arange(len(frame) + 1))
-            yield frame.assign(terms=[h[a : min(a + sample, b)] for a, b in zip(first[:-1], first[1:], strict=True)], counts=None)
-            value, count = np.unique(h, return_counts=True)
-            yield pd.DataFrame({"id": [0], "row": [0], "text": [None], "terms": [value], "counts": [count]})
+            held = [h[a : min(a + sample, b)] for a, b in zip(first[:-1], first[1:], strict=True)]
+            # the largest hash that the text would still have offered
+            limit = [x[-1] if len(x) == sample else np.iinfo(np.int64).max for x in held]
+            yield pd.DataFrame({"key": frame.key, "chars": frame.text.str.len() + 1, "top": limit, "terms": held})
 
     return terms
 
 
-def deal(part: DataFrame, shards: int, shard_chars: int, sample: int) -> DataFrame:
-    """Adds ``shard``: documents whose rarest shared term is the same go together, hot terms in several parts.
+def deal(part: DataFrame, shard_chars: int, sample: int, shards: int) -> DataFrame:
+    """``key, shard``: documents whose rarest shared term is the same go together, hot terms in several parts.
 
-    Each document chooses among a sample of its words; their document counts are over all
-    words of all documents.  A term is hot if its documents fill more than one shard.
+    Each document offers a sample of its words.  How many documents hold a term is estimated by
+    those that offer it and the share of documents that would offer a term of its hash; a
+    term that one document alone offers brings nothing together.  A term is hot if its documents fill more
+    than one shard.  Documents that share no term of theirs are not in the table.
     """
-    kind = "id long, row long, text string, terms array<long>, counts array<long>"
-    told = stage(part.mapInPandas(_sampler(sample), kind), "packing-terms")
-    docs = told.where("counts is null").drop("counts")
-    counts = told.where("counts is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("c"))
-    shared = counts.groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("df")).where("df > 1")
-    shared = stage(shared, "packing-shared-terms")
-    each = docs.select("id", "row", "terms").dropDuplicates(["id", "row"]).select("id", "row", F.explode("terms").alias("term"))
-    each = stage(each, "packing-sampled-terms")
-    rarest = each.join(shared, "term").groupBy("id", "row").agg(F.min(F.struct("df", "term")).alias("m"))
-    rarest = stage(rarest.select("id", "row", F.col("m.term").alias("term")), "packing-rarest")
-    size = docs.select("id", "row", (F.length("text") + 1).alias("chars")).join(rarest, ["id", "row"])
-    hot = size.groupBy("term").agg(F.ceil(F.sum("chars") / shard_chars).alias("parts")).where("parts > 1")
-    own = F.xxhash64("id", "row")
-    dealt = docs.drop("terms").join(rarest, ["id", "row"], "left").join(stage(hot, "packing-hot-terms"), "term", "left")
-    at = F.when(F.col("term").isNull(), own).otherwise(F.xxhash64("term", F.pmod(own, F.coalesce("parts", F.lit(1)))))
-    return dealt.select("id", "row", "text", F.pmod(at, F.lit(shards)).alias("shard"))
+    told = stage(part.mapInPandas(_sampler(sample), "key long, chars long, top long, terms array<long>"), "packing-terms")
+    each = told.select("key", F.explode("terms").alias("term"))
+    # at most 1024 rows: documents by the leading ten bits of the largest hash they offer
+    tops = told.groupBy(F.shiftright("top", 53).cast("int").alias("bin")).count().toPandas()
+    offered = np.bincount(tops["bin"], tops["count"], minlength=1024)[::-1].cumsum()[::-1]
+    share = part.sparkSession.createDataFrame(pd.DataFrame({"bin": np.arange(1024), "share": offered / max(1, offered[0])}))
+    counted = each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = counted.withColumn("bin", F.shiftright("term", 53).cast("int")).join(F.broadcast(share), "bin")
+    # to the nearest power of two: among terms alike in rarity the one of smallest hash is offered by most
+    rarity = F.round(F.log2(F.col("n") / F.col("share"))).alias("rarity")
+    shared = stage(counted.select("term", rarity), "packing-shared-terms")
+    rarest = each.join(shared, "term").groupBy("key").agg(F.min(F.struct("rarity", "term")).alias("m"))
+    rarest = stage(rarest.select("key", F.col("m.term").alias("term")), "packing-rarest")
+    sizes = told.select("key", "chars").join(rarest, "key")
+    hot = sizes.groupBy("term").agg(F.ceil(F.sum("chars") / shard_chars).alias("parts")).where("parts > 1")
+    parts = rarest.join(stage(hot, "packing-hot-terms"), "term", "left")
+    at = F.xxhash64("term", F.pmod(F.col("key"), F.coalesce("parts", F.lit(1))))
+    return stage(parts.select("key", F.pmod(at, F.lit(shards)).cast("int").alias("shard")), "packing-shards")
 
 
 def pack_documents(
@@ -239,10 +275,14 @@ def pack_documents(
     part = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = part.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     shards = max(1, math.ceil(total / shard_chars))
-    spread = part.withColumn("row", F.xxhash64("text")).withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))
-    spread = deal(spread.select("id", "row", "text"), shards, shard_chars, sample)
+    part = part.withColumn("row", F.xxhash64("text")).withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))
+    part = part.withColumn("key", F.xxhash64("id", "row"))
+    dealt = deal(part.select("key", "text"), shard_chars, sample, shards)
+    # texts are read again and move as ids, two bytes each; only keys and terms have moved so far
+    tokens = part.mapInPandas(_tokenised(tokenizer), "id long, row long, key long, ids binary").join(dealt, "key", "left")
+    tokens = tokens.select("id", "row", "ids", F.coalesce("shard", F.pmod("key", F.lit(shards)).cast("int")).cast("long").alias("shard"))
     width = max(rows_per_task(shards), 1)
-    packed = spread.repartition(width, "shard").sortWithinPartitions("shard").mapInPandas(_packer(tokenizer, window), PIECES)
+    packed = tokens.repartition(width, "shard").sortWithinPartitions("shard").mapInPandas(_packer(window), PIECES)
     return packed.drop("row").withColumn("id", F.when(F.col("id") > -(1 << 63), F.col("id"))).withColumnRenamed("id", id_col)
 
 
