@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from tidegrid.llm import words
 from tidegrid.staging import stage
 
 END = 1
+JOINED = 500  # words encoded as one text
 PIECES = "id long, row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -27,7 +29,7 @@ class WordTokenizer:
     table starts afresh.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,14 +45,23 @@ class WordTokenizer:
         self.n = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint16)
 
-    def _encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    def _encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in one array, and how many each has; many words make one text, which is cheaper than one call each."""
         texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        joined = [" ".join(texts[at : at + JOINED]) for at in range(0, len(texts), JOINED)]
+        ids, counts = [np.zeros(0, np.uint16)], []
+        for k, e in enumerate(self.model.encode_batch(joined, add_special_tokens=False)):
+            part = texts[k * JOINED : (k + 1) * JOINED]
+            first = np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
+            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+            ids.append(np.array(e.ids, np.uint16))
+            counts.append(np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def encode(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the borders of the texts, each text closed by ``END``."""
         w = words.split(texts, lower=False)
-        code, value = pd.factorize(w.hashes())
+        code, value = pd.factorize(w.hashes(), sort=True)  # looked up in order, which is kinder to the cache
         place = np.searchsorted(self.known, value)
         have = place < len(self.known)
         have[have] = self.known[place[have]] == value[have]
@@ -61,13 +72,13 @@ class WordTokenizer:
                 new = np.arange(len(value))
             first = np.full(len(value), -1)
             first[code[::-1]] = np.arange(len(code))[::-1]
-            lists = self._encode(w.data.tobytes(), w.starts[first[new]], w.ends[first[new]])
-            n = np.array([len(x) for x in lists], np.int64)
+            ids, n = self._encode(w.data.tobytes(), w.starts[first[new]], w.ends[first[new]])
             at = len(self.ids) + np.cumsum(n) - n
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint16, int(n.sum()))])
-            known, all_at, all_n = (np.concatenate(x) for x in ((self.known, value[new]), (self.at, at), (self.n, n)))
-            order = np.argsort(known, kind="stable")
-            self.known, self.at, self.n = known[order], all_at[order], all_n[order]
+            self.ids = np.concatenate([self.ids, ids])
+            where = np.searchsorted(self.known, value[new])
+            self.known, self.at, self.n = (
+                np.insert(have, where, x) for have, x in ((self.known, value[new]), (self.at, at), (self.n, n))
+            )
             place = np.searchsorted(self.known, value)
         at, n = self.at[place][code], self.n[place][code]
         doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
@@ -79,14 +90,14 @@ class WordTokenizer:
         return out, edge
 
 
-#: one per worker process and path: its words stay known from task to task
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_of(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    """One per worker process and path: its words stay known from task to task.
+
+    Functions reach the workers by value, with a fresh module each, so it is kept at ``sys``."""
+    kept = sys.__dict__.setdefault("_word_tokenizers", {})
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
 
 
 class Bm25:
