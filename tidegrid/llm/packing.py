@@ -111,8 +111,9 @@ class Bm25:
         n = np.diff(edge)
         self.docs = len(n)
         doc = np.repeat(np.arange(self.docs), n)
-        pair, tf = np.unique(doc << 16 | ids, return_counts=True)
-        doc, term = pair >> 16, pair & 0xFFFF
+        kind = np.uint32 if self.docs <= 1 << 16 else np.int64  # narrow keys sort faster
+        pair, tf = np.unique(doc.astype(kind) << kind(16) | ids.astype(kind), return_counts=True)
+        doc, term = (pair >> kind(16)).astype(np.int64), (pair & kind(0xFFFF)).astype(np.int64)
         self.asked = [term[a:z] for a, z in zip(*(np.searchsorted(doc, np.arange(self.docs) + k) for k in (0, 1)), strict=True)]
         df = np.bincount(term, minlength=1 << 16)
         idf = np.log1p((self.docs - df + 0.5) / (df + 0.5))
@@ -218,6 +219,15 @@ def _packer(window: int):
     return pack
 
 
+def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once per document, ascending."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[fresh], doc[fresh]
+
+
 def _sampler(sample: int):
     def terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The distinct words of each text with the smallest hashes: documents that share words with small hashes sample the same ones."""
@@ -225,11 +235,13 @@ def _sampler(sample: int):
             w = words.split(frame.text, lower=True)
             doc = np.repeat(np.arange(len(frame)), np.diff(w.first))
             h = w.hashes() >> np.uint64(1)
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, doc = h[fresh].view(np.int64), doc[fresh]
+            # most of a long text's words are too large to be offered; texts that repeat themselves are sorted whole
+            share = np.minimum(1.0, 4 * sample / np.maximum(np.diff(w.first), 1))
+            keep = h < (share * 2.0**63).astype(np.uint64)[doc]
+            some = _distinct(h[keep], doc[keep])
+            few = (np.bincount(some[1], minlength=len(frame)) < sample) & (share < 1)
+            h, doc = _distinct(h[keep | few[doc]], doc[keep | few[doc]]) if few.any() else some
+            h = h.view(np.int64)
             first = np.searchsorted(doc, np.arange(len(frame) + 1))
             held = [h[a : min(a + sample, b)] for a, b in zip(first[:-1], first[1:], strict=True)]
             # the largest hash that the text would still have offered
