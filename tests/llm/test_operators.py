@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.support import make_session
@@ -234,6 +235,16 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(session, tmp_path):
+    pages = session.createDataFrame([(i, f"http://a.b/{i}", text(200)) for i in range(300)], "page_id long, url string, html string")
+    files = warc.write_archives(warc.page_records(pages.coalesce(1)), str(tmp_path / "one"))
+    assert files.count() == 1
+    found = warc.read_archives(files, range_bytes=5_000)
+    tasks = found.select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+    assert sum(t["count"] for t in tasks) == 300
+    assert len(tasks) >= 8 and max(t["count"] for t in tasks) <= 60
+
+
 def test_mixing(session, docs, empty):
     rows = [(i, text(int(rng.integers(1, 40))), f"s{i % 4}" if i % 5 else None) for i in range(400)]
     frame = session.createDataFrame(rows, "doc_id long, text string, source string")
@@ -249,6 +260,45 @@ def test_mixing(session, docs, empty):
     assert mixing.mix(docs).count() == len(DOCS) and mixing.mix(empty).count() == 0
 
 
+def reshared(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0):
+    """Targets by cutting at the caps and sharing the excess again, until none is above."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    full, left = {}, share * sum(sizes.values())
+    while True:
+        open_ = [s for s in names if s not in full]
+        want = {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        over = [s for s in open_ if want[s] > most * sizes[s]]
+        if not over:
+            return {**full, **want}
+        full.update({s: most * sizes[s] for s in over})
+        left -= sum(most * sizes[s] for s in over)
+
+
+def test_mixing_with_repeated_rows_and_null_ids(session):
+    same, other = text(20), text(20)
+    rows = [(None, text(20), "null ids") for _ in range(900)] + [(7, same, "repeated") for _ in range(700)]
+    rows += [(8, other, "two groups") for _ in range(300)] + [(None, other, "two groups") for _ in range(300)]
+    rows += [(i, text(int(rng.integers(1, 40))), None) for i in range(300)] + [(1, None, "empty")]
+    frame = session.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    once, again = (sorted((str(r["row"]), r.taken) for r in mixing.mix(frame).collect()) for _ in range(2))
+    assert once == again
+    by, sizes = {}, {}
+    got = mixing.mix(frame).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        by.setdefault(r["row"].source, [0, r.target])[0] += r.taken
+        sizes[r["row"].source] = sizes.get(r["row"].source, 0) + r.size
+    want = reshared(sizes)
+    for s, (taken, target) in by.items():
+        assert abs(target - want[s]) < 1e-6
+        assert abs(taken - target) <= (39 if s is None else 10)
+    # the border lies between equal rows: copies of a row differ by one at most, and do differ
+    copies = {r.taken // r.size for r in got if r["row"].source == "repeated"}
+    assert copies in ({0, 1}, {1, 2})
+
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

@@ -147,7 +147,49 @@ def _part_sql(name: str) -> str:
 _LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LEAF_SQL = "sha256(" + " || ".join(_part_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 
+# five hex digits are four letters of base32
+_BASE32_SQL = """list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr({hex}, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31))::bigint, 1)), 'string_agg', '')"""
+_WORDS_SQL = "coalesce(len(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')), 0)"
+
 ORACLES: dict[str, str] = {
+    "op2_warc": f"""
+with page as (select page_id, coalesce(html, '') as payload from pages),
+first as (select payload, min(page_id) as first from page group by payload)
+select page_id, strlen(payload) as payload_bytes, {_BASE32_SQL.format(hex="sha1(payload)")} as payload_digest,
+       case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when first is null or page_id is not distinct from first then null else first end as refers_to
+from page join first using (payload)""",
+    "op6_mixing": f"""
+with doc as materialized (
+  select row_number() over () as row, doc_id, source, md5(text) as digest, {_WORDS_SQL.format(text="text")}::bigint as size from documents),
+src as materialized (
+  select *, [5.0::double, 2.0, 1.0][1 + turn % 3] as weight, 2.0::double * source_size as cap
+  from (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as turn from doc group by source)),
+-- the level of all that is left after filling the sources before; the first source that it does not fill ends the filling
+level as (
+  select a.source, 1.5::double * (select sum(source_size) from src)
+         - coalesce(sum(b.cap) filter (where b.cap / b.weight < a.cap / a.weight or b.cap / b.weight = a.cap / a.weight and b.turn < a.turn), 0)
+         as rest,
+         sum(b.weight) filter (where b.cap / b.weight > a.cap / a.weight or b.cap / b.weight = a.cap / a.weight and b.turn >= a.turn) as weights
+  from src a, src b group by a.source, a.cap, a.weight, a.turn),
+target as materialized (
+  select source, source_size, least(cap, coalesce(weight * (
+           select arg_max(rest / weights, weights) from level l join src s on l.source is not distinct from s.source where cap > rest / weights * weight), cap)) as target
+  from src),
+part as materialized (
+  select row, doc_id, digest, size, source_size, target, coalesce(target / nullif(source_size, 0), 0) as ratio,
+         ratio - floor(ratio) as f, f * source_size as want, d.source
+  from doc d join target t on d.source is not distinct from t.source),
+draw as (
+  select *, u / (1 - u) * (1 - f) / f as odds, odds / (1 + odds) as rank
+  from (select *, (('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::varchar, '-'), size::varchar, digest)), 1, 12))::bigint + 0.5::double)
+                  / 281474976710656.0::double as u from part where f > 0 and size > 0)),
+filled as (
+  select row, size, want, sum(size) over (partition by source order by rank, doc_id::varchar, size, digest, row) - size as before from draw)
+select doc_id, p.size, source_size, target,
+       p.size * (floor(ratio)::bigint + (f.before is not null and f.before < f.want and f.before + f.size - f.want <= f.want - f.before)::bigint) as taken
+from part p left join filled f using (row)""",
     "op11_merkle_manifest": f"""
 with recursive doc as materialized (
   select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidegrid.staging import shared_dir, stage
 
 MAGIC = b"\x1f\x8b\x08"
+RANGES_A_TASK = 16
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
     "record_type string, record_id string, target_uri string, payload_bytes long, "
@@ -211,7 +212,11 @@ def read_archives(files: DataFrame, range_bytes: int = 2_000_000, payloads: bool
     starts = F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {range_bytes}L)")).alias("start")
     ranges = files.select("path", "bytes", starts)
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end"))
-    return ranges.repartition("path", "start").mapInPandas(_reader(payloads), RECORD)
+    # listed ranges are small in bytes and long in work: a number of tasks that follows them
+    # keeps adaptive execution from merging all of them
+    count = int(ranges.count())
+    tasks = max(min(count, 2 * files.sparkSession.sparkContext.defaultParallelism), -(-count // RANGES_A_TASK))
+    return ranges.repartition(max(tasks, 1)).mapInPandas(_reader(payloads), RECORD)
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
