@@ -395,6 +395,10 @@ CTES["fx_stretched"] = """
 for _name in ("rec_pick", "fx_peaks"):
     CTES[f"{_name}_s"] = CTES[_name].replace("rec_pick", "rec_pick_s").replace("fx_smooth", "fx_stretched")
     CTES[f"{_name}6"] = CTES[_name].replace("rec_pick", "rec_pick6").replace("fx_smooth", "fx_smooth6")
+    CTES[f"{_name}5"] = CTES[_name].replace("rec_pick", "rec_pick5").replace("fx_smooth", "fx_smooth5")
+# the settings of validation while training: frames of five rows, a lower quantile
+CTES["fx_smooth5"] = CTES["fx_smooth"].replace("= 7", "= 5").replace("3 preceding and 3 following", "2 preceding and 2 following")
+CTES["fx_picked5"] = CTES["fx_picked"].replace("0.87", "0.85").replace("fx_peaks", "fx_peaks5")
 
 
 def runs_sql(source: str, col: str, eps: str) -> str:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.fixtures import DENSE_TOLERANCES, FLAT, GRID, N_MODELS, PEAKS, TOLERANCES, Fixtures, W, ap_ctes
 from catalogue.registry import cut, query
-from tidegrid.config import PeakConfig
+from tidegrid.config import TRAIN_PEAKS, PeakConfig
 from tidegrid.functions import rolling, scalar
 from tidegrid.operators import (
     blocks,
@@ -26,6 +28,7 @@ from tidegrid.operators import (
 )
 from tidegrid.plans import feature_table
 from tidegrid.sources import tables
+from tidegrid.staging import stage
 
 KEYS = ["series_id"]
 LENGTH = GRID.night_rows
@@ -636,6 +639,15 @@ def peak_picking(fx: Fixtures) -> DataFrame:
     return predictions.pick_peaks(_raw_long(fx), GRID, PEAKS)
 
 
+# the settings of validation while training, in small blocks
+VALID_PEAKS = replace(TRAIN_PEAKS, block_rows=PEAKS.block_rows)
+
+
+@query("peak_picking_train", "series_id:s event:s step:f time:f score:f", "select * from fx_picked5")
+def peak_picking_train(fx: Fixtures) -> DataFrame:
+    return predictions.pick_peaks(_raw_long(fx), GRID, VALID_PEAKS)
+
+
 @query(
     "submission",
     "row_id:i series_id:s step:f event:s score:f",
@@ -779,30 +791,85 @@ def score_linear(fx: Fixtures) -> DataFrame:
     return rows.withColumns({"onset": F.col("scores")[0], "wakeup": F.col("scores")[1]})
 
 
-MODEL_FEATURES = ["anglez", "enmo", "anglez_std_norm"]
+MODEL_FEATURES = features.FEATURE_SETS["gru_abs"]
+ROUNDS, RIDGE = 6, 1.0
 
 
-def _model_rows(fx: Fixtures, soft: bool) -> DataFrame:
-    rows = labels.label_targets(fx.buckets, fx.labels, GRID).fillna(0, ["anglez_std_norm"])
-    long = chunks.night_chunks(rows, GRID)
-    long = chunks.soft_targets(long) if soft else long
-    return long.select("series_id", "step", "pos", "step_first", "mask", *MODEL_FEATURES, "onset", "wakeup")
+def _model_rows(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """Training rows (trimmed, also reversed, soft targets) and validation rows of the feature set."""
+    table = feature_table.training_features(fx.series, fx.labels, fx.folds, _encoding(fx), GRID, FLAT, trim=False)
+    keep = ["series_id", "step", "pos", "step_first", "onset", "wakeup"]
+    table = stage(table.select(*keep, *MODEL_FEATURES), "model-features")
+    train, valid = (
+        feature_table.build_dataset(table, fx.labels, feature_table.VARIANTS[v], GRID)[0] for v in ("basic_train", "basic_test")
+    )
+    return chunks.soft_targets(train), valid
+
+
+# model rows: x holds the features and 1; fold is null for series in no fold
+_X = ", ".join(f"coalesce({c}, 0)::double" for c in MODEL_FEATURES)
+_PLACE = "step + case when step_first > 0 and step_first <= 48 then 48 - step_first else 0 end"
+FIT_SQL = f"""
+  feat as materialized (
+    select series_id, step, {_PLACE} as place, onset, wakeup, [{_X}, 1.0::double] as x from ({FEATURE_SQL.replace("where t.step <= max_night * 48", "")})),
+  part as materialized (
+    select feat.series_id, place // 48 as chunk, place % 48 as slot, onset, wakeup, x
+    from feat join (select series_id, max(night) as max_night from fx_labels group by series_id) using (series_id) where step <= max_night * 48),
+  soft as materialized ({_soft_sql("""
+    select series_id, chunk, 0 as invert, slot, onset, wakeup from part
+    union all select series_id, chunk, 1, 47 - slot, wakeup, onset from part""")}),
+  fit as materialized (
+    select fold, x, unnest([{{'event': 'onset', 't': least(s.onset, 1)}}, {{'event': 'wakeup', 't': least(s.wakeup, 1)}}], recursive := true)
+    from soft s join part p on p.series_id = s.series_id and p.chunk = s.chunk and s.slot = case when invert = 1 then 47 - p.slot else p.slot end
+    left join fx_folds f on f.series_id = s.series_id)"""
+
+
+def _newton_sql(held: str) -> str:
+    """Newton steps of all models: sums per matrix element, then elimination column by column."""
+    n = len(MODEL_FEATURES) + 1
+    solved = f"""
+      select round, held, event, w, list(line order by i) as m
+      from (select round, held, event, w, i,
+                   list(s + case when i = j and i < {n} then {RIDGE} when j = {n + 1} and i < {n} then -{RIDGE} * w[i] else 0 end order by j) as line
+            from (select round, held, event, w, i, j, sum(case when j = {n + 1} then x[i] * (t - p) else x[i] * x[j] * p * (1 - p) end) as s
+                  from (select it.*, x, t, 1 / (1 + exp(-list_inner_product(x, w))) as p
+                        from it join fit on fit.event = it.event and (fold is null or fold <> held) where round < {ROUNDS}),
+                       range(1, {n + 1}) as a(i), range(1, {n + 2}) as b(j) group by all) group by all) group by all"""
+    for k in range(1, n + 1):
+        solved = f"""select round, held, event, w, list_transform(m, lambda r, i:
+          list_transform(r, lambda v, j: case when i = {k} then v / m[{k}][{k}] else v - r[{k}] / m[{k}][{k}] * m[{k}][j] end)) as m from ({solved})"""
+    return f"""{FIT_SQL},
+  it(round, held, event, w) as (
+    select 1, h, e, list_transform(range(0, {n}), lambda i: 0.0::double) from (values {held}) as t(h), (values ('onset'), ('wakeup')) as u(e)
+    union all
+    select round + 1, held, event, list_transform(w, lambda v, i: v + m[i][{n + 1}]) from ({solved})),
+  fitted as materialized (select * from it where round = {ROUNDS})"""
 
 
-@query("fit_detector", "event:s feature:s weight:f")
+@query(
+    "fit_detector",
+    "fold:i event:s feature:s weight:f",
+    f"""with recursive {_newton_sql("(-1), (0), (1), (2), (3), (4)")}
+    select held as fold, event, unnest({[*MODEL_FEATURES, "intercept"]}) as feature, unnest(w) as weight from fitted""",
+)
 def fit_detector(fx: Fixtures) -> DataFrame:
-    rows = _model_rows(fx, soft=True)
-    fitted = model.fit_detector(rows, MODEL_FEATURES, "onset", maxIter=10, regParam=0.01)
-    return model.detector_weights(fitted, MODEL_FEATURES, "onset")
+    train, _ = _model_rows(fx)
+    train = train.join(fx.folds, "series_id", "left")
+    fitted = model.fit_detectors(train, MODEL_FEATURES, range(-1, 5), rounds=ROUNDS, ridge=RIDGE)
+    return model.detector_weights(fx.spark, fitted, MODEL_FEATURES)
 
 
 def _oof(fx: Fixtures) -> DataFrame:
-    return model.out_of_fold_predictions(
-        _model_rows(fx, soft=True), _model_rows(fx, soft=False), fx.folds, MODEL_FEATURES, maxIter=5, regParam=0.01
-    )
+    return model.out_of_fold_predictions(*_model_rows(fx), fx.folds, MODEL_FEATURES, rounds=ROUNDS, ridge=RIDGE)
 
 
-@query("oof_predictions", "series_id:s step:i fold:i onset:f wakeup:f")
+@query(
+    "oof_predictions",
+    "series_id:s step:i fold:i onset:f wakeup:f",
+    f"""with recursive {_newton_sql("(0), (1), (2), (3), (4)")}
+    select series_id, step, fold, 1 / (1 + exp(-list_inner_product(x, o.w))) as onset, 1 / (1 + exp(-list_inner_product(x, k.w))) as wakeup
+    from feat join fx_folds using (series_id) join fitted o on o.held = fold and o.event = 'onset' join fitted k on k.held = fold and k.event = 'wakeup'""",
+)
 def oof_predictions(fx: Fixtures) -> DataFrame:
     return _oof(fx)
 
@@ -812,7 +879,7 @@ def oof_score(fx: Fixtures) -> DataFrame:
     raw = predictions.raw_predictions(
         _oof(fx).select("series_id", "step", "step_first", "onset", "wakeup"), GRID
     )
-    found = predictions.pick_peaks(raw, GRID, PEAKS)
+    found = predictions.pick_peaks(raw, GRID, VALID_PEAKS)
     truths = labels.in_known_folds(_truths(fx), fx.folds)
     score, _ = evaluation.event_detection_ap(truths, found, TOLERANCES, block_steps=384)
     return score

@@ -62,6 +62,9 @@ class PeakConfig:
     block_rows: int = 46080
 
 
+# fixed values: peak settings for validation while training
+TRAIN_PEAKS = PeakConfig(smooth_rows=(5, 5), quantile=0.85)
+
 # fixed values: matching tolerances in steps, for each event
 TOLERANCES = {
     "onset": [12, 36, 60, 90, 120, 150, 180, 240, 300, 360],

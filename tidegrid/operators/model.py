@@ -6,17 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.operators.labels import in_fold, out_of_fold
 from tidegrid.staging import stage
 
+EVENTS = ("onset", "wakeup")
 ChunkFn = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -48,39 +44,98 @@ def logistic_scorer(weights: Sequence[Sequence[float]], bias: Sequence[float]) -
     return fn
 
 
-def fit_detector(rows: DataFrame, features: Sequence[str], event: str, **params) -> PipelineModel:
-    """Logistic detector of one event from slot rows with soft targets.
+def _fold_sums(rows: DataFrame, features: Sequence[str], weights: dict[tuple[int, str], np.ndarray]) -> list:
+    """Loss, gradient and curvature of every model at its weights, from one pass over ``rows``.
 
-    A row with target t counts as a positive of weight t and a negative of weight
-    1 - t; masked rows are left out.
+    A model ``(fold, event)`` learns from all rows but those of its fold.  Sums are formed where
+    the rows are; what comes back is one row per model.
     """
-    t = F.least(F.col(event).cast("double"), F.lit(1.0))
-    both = F.array(
-        F.struct(F.lit(1.0).alias("label"), t.alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (1 - t).alias("weight")),
+    n = len(features) + 1
+    models = F.array(
+        *[
+            F.struct(F.lit(fold).alias("held"), F.lit(event).alias("event"), F.array(*[F.lit(float(v)) for v in w]).alias("w"))
+            for (fold, event), w in weights.items()
+        ]
     )
-    weighted = rows.where("mask = 1").select(*features, F.inline(both)).where("weight > 0")
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="vector"),
-        LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", **params),
+    teaches = F.filter(models, lambda m: F.col("fold").isNull() | (m["held"] != F.col("fold")))
+    each = rows.withColumn("m", F.explode(teaches))
+    target = F.coalesce(*[F.when(F.col("m.event") == e, F.col(e)) for e in dict.fromkeys(e for _, e in weights)])
+    x = [*[F.col(f"`{f}`") for f in features], F.lit(1.0)]
+    z = sum((x[i] * F.col("m.w")[i] for i in range(1, n)), x[0] * F.col("m.w")[0])
+    each = each.withColumns({"t": target, "z": z}).withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
+    each = each.withColumns({"slope": F.col("t") - F.col("p"), "bend": F.col("p") * (1 - F.col("p"))})
+    # log(1 + e^z) - t z, without overflow
+    loss = F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("t") * F.col("z")
+    sums = [F.sum(loss).alias("loss"), *[F.sum(F.col("slope") * x[i]).alias(f"g{i}") for i in range(n)]]
+    sums += [F.sum(F.col("bend") * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(n) for j in range(i, n)]
+    return each.groupBy(F.col("m.held").alias("held"), F.col("m.event").alias("event")).agg(*sums).collect()
+
+
+def fit_detectors(
+    rows: DataFrame,
+    features: Sequence[str],
+    held_out: Sequence[int] = (-1,),
+    events: Sequence[str] = EVENTS,
+    rounds: int = 8,
+    ridge: float = 1.0,
+) -> dict[tuple[int, str], np.ndarray]:
+    """Logistic detectors ``(held-out fold, event) -> weights`` (intercept last) by Newton steps.
+
+    ``rows`` have ``fold`` (null: in no fold, so every model learns from them), ``mask``, the
+    features and soft targets.  A row with target t counts as a positive of weight t
+    and a negative of weight 1 - t; masked rows are left out; nulls are 0.  Minimised is the
+    sum of the log losses plus ``ridge`` / 2 times the squared weights, intercept left out.
+
+    All models take a step in each pass over the rows.  ``rounds`` passes evaluate the start
+    and the steps; a step that does not lower the loss is halved in the next.  Held out
+    fold -1 learns from all rows.  A model without rows keeps weights of 0.
+    """
+    n = len(features) + 1
+    zero = F.lit(0.0)
+    columns = [F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), zero), zero).alias(c) for c in features]
+    targets = [F.least(F.coalesce(F.col(e).cast("double"), zero), F.lit(1.0)).alias(e) for e in events]
+    rows = stage(rows.where("mask = 1").select(F.col("fold").cast("int").alias("fold"), *columns, *targets), "fit-rows")
+    penalty = ridge * np.diag([1.0] * (n - 1) + [0.0])
+    tried = {(h, e): np.zeros(n) for h in held_out for e in events}
+    best = {key: (np.inf, w, np.zeros(n)) for key, w in tried.items()}
+    for _ in range(rounds):
+        for r in _fold_sums(rows, features, tried):
+            key = r["held"], r["event"]
+            w = tried[key]
+            loss = r["loss"] + 0.5 * w @ penalty @ w
+            if loss <= best[key][0] + 1e-9 * abs(loss):
+                curve = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) + penalty
+                slope = np.array([r[f"g{i}"] for i in range(n)]) - penalty @ w
+                best[key] = loss, w, np.linalg.lstsq(curve, slope, rcond=None)[0]
+            else:
+                best[key] = *best[key][:2], best[key][2] / 2
+            tried[key] = best[key][1] + best[key][2]
+    return {key: w for key, (_, w, _) in best.items()}
+
+
+def detector_weights(spark: SparkSession, models: dict[tuple[int, str], np.ndarray], features: Sequence[str]) -> DataFrame:
+    """Fitted weights as rows ``fold, event, feature, weight``; the intercept is a feature of that name."""
+    rows = [
+        (fold, event, f, float(v))
+        for (fold, event), w in models.items()
+        for f, v in zip([*features, "intercept"], w, strict=True)
     ]
-    return Pipeline(stages=stages).fit(weighted)
-
+    return spark.createDataFrame(rows, "fold int, event string, feature string, weight double")
 
-def detector_weights(model: PipelineModel, features: Sequence[str], event: str) -> DataFrame:
-    """Fitted weights as rows ``event, feature, weight``."""
-    fitted = model.stages[-1]
-    rows = [(event, f, float(w)) for f, w in zip([*features, "intercept"], [*fitted.coefficients, fitted.intercept])]
-    return SparkSession.active().createDataFrame(rows, "event string, feature string, weight double")
 
+def predict(rows: DataFrame, models: dict[tuple[int, str], np.ndarray], features: Sequence[str]) -> DataFrame:
+    """Replace the target columns by the probabilities of the model of the row's ``fold``.
 
-def predict(rows: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
-    """Replace the target columns by predicted probabilities."""
-    out = rows
-    for event, model in models.items():
-        out = model.transform(out.drop(event)).withColumn(event, vector_to_array("probability")[1])
-        out = out.drop("vector", "rawPrediction", "probability", "prediction")
-    return out
+    A row whose fold has no model gets nulls.
+    """
+    zero = F.lit(0.0)
+    x = [F.coalesce(F.nanvl(F.col(f"`{f}`").cast("double"), zero), zero) for f in features]
+    out: dict[str, Column] = {}
+    for event in dict.fromkeys(e for _, e in models):
+        known = [(fold, w) for (fold, e), w in models.items() if e == event]
+        z = F.coalesce(*[F.when(F.col("fold") == fold, sum((c * float(v) for c, v in zip(x, w)), F.lit(float(w[-1])))) for fold, w in known])
+        out[event] = 1 / (1 + F.exp(-z))
+    return rows.withColumns(out)
 
 
 def out_of_fold_predictions(
@@ -89,18 +144,15 @@ def out_of_fold_predictions(
     folds: DataFrame,
     features: Sequence[str],
     n_folds: int = 5,
-    events: Sequence[str] = ("onset", "wakeup"),
+    events: Sequence[str] = EVENTS,
     **params,
 ) -> DataFrame:
-    """Fit on all but one fold, predict that fold, for each fold; union of the parts."""
-    train_rows, valid_rows = stage(train_rows, "train-rows"), stage(valid_rows, "valid-rows")
-    parts = []
-    for fold in range(n_folds):
-        known = out_of_fold(train_rows, folds, fold)
-        models = {e: fit_detector(known, features, e, **params) for e in events}
-        held_out = in_fold(valid_rows, folds, fold).where("mask = 1")
-        parts.append(predict(held_out, models).withColumn("fold", F.lit(fold)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Each row of a fold scored by models that have not seen the fold; all fits share their passes.
+
+    Rows of series in no fold teach every model and are not scored.
+    """
+    fold = folds.select("series_id", F.col("fold").cast("int").alias("fold"))
+    known = train_rows.drop("fold").join(fold, "series_id", "left")
+    models = fit_detectors(known, features, range(n_folds), events, **params)
+    held_out = valid_rows.drop("fold").where("mask = 1").join(fold.where(F.col("fold").between(0, n_folds - 1)), "series_id")
+    return predict(held_out, models, features)
