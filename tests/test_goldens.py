@@ -187,6 +187,30 @@ def test_ensemble_adds_confident_scores(spark):
     assert (r.onset, r.wakeup) == (pytest.approx(0.225 + 0.4), pytest.approx(0.15 + 0.2))
 
 
+def test_submission_comes_in_order_of_its_ids(spark):
+    # parts of very different size, which a scan would take largest first
+    series = F.when(F.col("id") < 20_000, F.col("id") % 7).otherwise(F.col("id") % 400)
+    df = spark.range(40_000).select(
+        F.format_string("s%03d", series).alias("series_id"),
+        (F.col("id") * 7919 % 40_000).cast("double").alias("step"),
+        F.when(F.col("id") % 2 == 0, "onset").otherwise("wakeup").alias("event"),
+        F.rand(1).alias("score"),
+    )
+    # small parts would be merged into one
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        out = predictions.submission(df)
+        parts = out.select(F.spark_partition_id().alias("p")).distinct().count()
+        got = out.collect()
+    finally:
+        spark.conf.unset(merging)
+    assert parts > 1
+    assert [r.row_id for r in got] == list(range(40_000))
+    keys = [(r.series_id, r.step, r.event) for r in got]
+    assert keys == sorted(keys)
+
+
 def test_submission_ids_are_global(spark):
     data = [(f"s{i % 7}", float(i * 37 % 101), "onset", 0.5) for i in range(300)]
     df = spark.createDataFrame(data, "series_id string, step double, event string, score double").repartition(8)

@@ -269,7 +269,9 @@ def submission(detections: DataFrame) -> DataFrame:
     """All detections in order of series, step and event with a running ``row_id``.
 
     The rows are range-sorted and written; the id is the row's place in its sorted part
-    plus the sizes of the parts before it, a table with one row per part.
+    plus the sizes of the parts before it, a table with one row per part.  Written parts
+    are read back in any order, so the result is put in order of the id: collected or
+    written, the rows come as ``row_id`` counts.
     """
     ordered = detections.select("series_id", F.col("step").cast("double").alias("step"), "event", "score").orderBy(
         "series_id", "step", "event"
@@ -283,5 +285,6 @@ def submission(detections: DataFrame) -> DataFrame:
     return (
         ordered.join(F.broadcast(shift), "_part")
         .withColumn("row_id", (F.col("_shift") + F.col("_local")).cast("long"))
-        .drop("_part", "_local", "_shift")
+        .select("row_id", "series_id", "step", "event", "score")
+        .orderBy("row_id")
     )
