@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.config import GridConfig
-from tidegrid.functions.rolling import rolling_max, rolling_median, rolling_sum
+from tidegrid.functions.rolling import pairwise_frames, rolling_median
+from tidegrid.functions.scalar import floor_div
 from tidegrid.operators.blocks import over_blocks
 from tidegrid.operators.order_stats import quantiles
 from tidegrid.staging import stage
@@ -56,7 +57,8 @@ def day_equality(df: DataFrame, grid: GridConfig, col: str = "anglez", median_ro
     """Add ``anglez_equal1/2`` (same value one day earlier / later, by rows) and the
     trailing and leading rolling medians of ``anglez_std_norm``.
 
-    ``df`` has ``pos``.  All four share one exchange and one sort.
+    ``df`` has ``pos``.  All four share one exchange and one sort.  The leading median is the
+    trailing one of a later row, so each frame is sorted once.
     """
     day = grid.night_rows
 
@@ -64,47 +66,60 @@ def day_equality(df: DataFrame, grid: GridConfig, col: str = "anglez", median_ro
         def same(other):
             return F.when(F.col(col) == other, 1).otherwise(0)
 
-        return d.withColumns(
+        d = d.withColumns(
             {
                 "anglez_equal1": same(F.lag(col, day).over(w)),
                 "anglez_equal2": same(F.lead(col, day).over(w)),
                 "std_q50_left": rolling_median("anglez_std_norm", w, 1 - median_rows, 0),
-                "std_q50_right": rolling_median("anglez_std_norm", w, 0, median_rows - 1),
             }
         )
+        return d.withColumn("std_q50_right", F.lead("std_q50_left", median_rows - 1).over(w))
 
     halo = max(day, median_rows)
     return over_blocks(df, KEYS, grid.bucket_block_rows, halo, halo, build)
 
 
-def time_of_day_profile(df: DataFrame, col: str = "anglez_std_norm") -> DataFrame:
+def time_of_day_profile(df: DataFrame, col: str = "anglez_std_norm", part_steps: int = 65536) -> DataFrame:
     """Hook: mean of ``col`` at the same time of day of the series.
 
     A mean per key joined back: the keys repeat once a day, so the partial sums are
-    what gets shuffled.  Rows without an anchor share the null key of their series.
+    what gets shuffled.  Rows without an anchor have no time of day and share one mean of their series, which
+    may be all of its rows: that mean is laid out once per ``part_steps`` steps, and the rows meet it
+    there, so no join key grows with the length of a series.  Without a column ``step`` there is one part.
     """
     keys = ["series_id", "st_hour", "st_step"]
-    means = df.groupBy(*keys).agg(F.avg(col).alias(f"mean_{col}"))
-    right = means.select(*[F.col(k).alias(f"_{k}") for k in keys], f"mean_{col}")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return df.join(right, same, "left").drop(*[f"_{k}" for k in keys])
+    anchored = F.col("st_hour").isNotNull() & F.col("st_step").isNotNull()
+    part = floor_div("step", part_steps) if "step" in df.columns else F.lit(0).cast("long")
+    means = df.groupBy(*keys).agg(F.avg(col).alias(f"mean_{col}"), F.min(part).alias("_lo"), F.max(part).alias("_hi"))
+    parts = F.when(anchored, F.array(F.lit(0).cast("long"))).otherwise(F.sequence("_lo", "_hi"))
+
+    # -1 is no time of day, so it can stand for a missing one
+    def joined(place: Column) -> list[Column]:
+        known = [F.coalesce(F.col(k).cast("long"), F.lit(-1)).alias(f"_{k}") for k in keys[1:]]
+        return [F.col("series_id").alias("_series_id"), *known, place.alias("_part")]
+
+    right = means.select(*joined(F.explode(parts)), f"mean_{col}")
+    place = F.when(anchored, F.lit(0).cast("long")).otherwise(part)
+    left = df.select("*", *joined(place)[1:])
+    same = F.col("l.series_id").eqNullSafe(F.col("r._series_id"))
+    for c in ("_st_hour", "_st_step", "_part"):
+        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    out = left.alias("l").join(right.alias("r"), same, "left")
+    return out.select(*[F.col(f"l.`{c}`") for c in df.columns], F.col(f"r.mean_{col}").alias(f"mean_{col}"))
 
 
 def activity_burst(df: DataFrame, grid: GridConfig, sizes: Sequence[int] = (60, 30, 15, 6)) -> DataFrame:
     """Hook: largest recent sum of absolute angle changes, for several window sizes.
 
-    ``df`` has ``pos``.
+    ``df`` has ``pos``.  Sums and their maxima are built by doubling, in one exchange and one sort.
     """
 
     def build(d: DataFrame, w) -> DataFrame:
         d = d.withColumn("_move", F.abs(F.col("anglez") - F.lag("anglez").over(w)))
-        d = d.withColumns({f"_sum{n}": rolling_sum("_move", w, 1 - n, 0) for n in sizes})
-        d = d.withColumns(
-            {f"anglez_diff_last_halfhour{n}": rolling_max(f"_sum{n}", w, 1 - n, 0) for n in sizes}
-        )
-        return d.drop("_move", *[f"_sum{n}" for n in sizes])
+        d = pairwise_frames(d, w, lambda a, b: a + b, {f"_sum{n}": ("_move", n) for n in sizes})
+        tops = {f"anglez_diff_last_halfhour{n}": (f"_sum{n}", n) for n in sizes}
+        d = pairwise_frames(d.drop("_move"), w, F.greatest, tops)
+        return d.drop(*[f"_sum{n}" for n in sizes])
 
     return over_blocks(df, KEYS, grid.bucket_block_rows, 2 * max(sizes), 0, build)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,22 +17,48 @@ EVENTS = ("onset", "wakeup")
 ChunkFn = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def score_chunks(chunks: DataFrame, fn: ChunkFn) -> DataFrame:
-    """Add ``scores [length][2]`` from ``fn(features [length, n], mask [length])``.
+def _stacked(column: pa.Array) -> np.ndarray:
+    """A (nested) list column whose lists are equally long, as one array; its values are not copied."""
+    shape = [len(column)]
+    while pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        values = column.flatten()
+        size = len(values) // max(len(column), 1)
+        if not pc.all(pc.equal(pc.fill_null(pc.list_value_length(column), -1), size)).as_py():
+            raise ValueError("chunks must have arrays of one length, without nulls")
+        column = values
+        shape.append(size)
+    return column.to_numpy(zero_copy_only=False).reshape(shape)
 
-    ``fn`` travels to the tasks once; chunks are independent, so nothing is shuffled.
-    """
-    schema = T.StructType([*chunks.schema.fields, T.StructField("scores", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores = [
-                np.asarray(fn(np.stack(x), np.asarray(m)), dtype=float).tolist()
-                for x, m in zip(pdf["features"], pdf["mask"], strict=True)
-            ]
-            yield pdf.assign(scores=scores)
+def _listed(values: np.ndarray) -> pa.Array:
+    """The inverse of :func:`_stacked`."""
+    out = pa.array(values.ravel(), pa.float64())
+    for axis in range(values.ndim - 1, 0, -1):
+        rows = int(np.prod(values.shape[:axis]))
+        out = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * values.shape[axis]), out)
+    return out
+
 
-    return chunks.mapInPandas(score, schema)
+def score_chunks(chunks: DataFrame, fn: ChunkFn, keep: Sequence[str] | None = None) -> DataFrame:
+    """``keep`` and ``scores [length][events]`` from ``fn(features [chunks, length, n], mask [chunks, length])``.
+
+    ``fn`` travels to the tasks once and is called once for each Arrow batch.  Chunks are independent, so
+    nothing is shuffled; they must be equally long.  ``keep`` is by default all but the
+    features and targets; the features go to the workers and don't come back.
+    """
+    keep = list(keep) if keep is not None else [c for c in chunks.columns if c not in ("features", "target")]
+    inputs = chunks.select(*dict.fromkeys([*keep, "mask", "features"]))
+    scores = T.StructField("scores", T.ArrayType(T.ArrayType(T.DoubleType())))
+    schema = T.StructType([*[chunks.schema[c] for c in keep], scores])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = np.asarray(fn(_stacked(batch.column("features")), _stacked(batch.column("mask"))), dtype=float)
+                columns = [*[batch.column(c) for c in keep], _listed(found)]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "scores"])
+
+    return inputs.mapInArrow(score, schema)
 
 
 def logistic_scorer(weights: Sequence[Sequence[float]], bias: Sequence[float]) -> ChunkFn:

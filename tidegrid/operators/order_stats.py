@@ -15,15 +15,37 @@ from tidegrid.operators.blocks import Carry, carry, explode_blocks, spread
 from tidegrid.staging import stage
 
 
-def sliding_rank_value(x: np.ndarray, rows: int, index: int, slab: int = 8192) -> np.ndarray:
+def sliding_rank_value(x: np.ndarray, rows: int, index: int) -> np.ndarray:
     """For each full frame ``x[i:i+rows]`` its value at sorted position ``index``
-    (NaN if the frame holds a NaN); one result per frame start."""
-    if len(x) < rows:
+    (NaN if the frame holds a NaN); one result per frame start.
+
+    All frames descend together through the bits of the ranks, highest first.  At each bit, running counts
+    say how many ranks of a frame have a 0 there; that decides the bit of the rank sought, and
+    a stable split by the bit keeps every frame contiguous.  The work per row
+    is a few operations for each bit of the block's length, whatever the frame's.
+    """
+    n = len(x)
+    if n < rows:
         return np.empty(0)
-    frames = np.lib.stride_tricks.sliding_window_view(x, rows)
-    out = np.empty(len(frames))
-    for a in range(0, len(frames), slab):
-        out[a : a + slab] = np.partition(frames[a : a + slab], index, axis=1)[:, index]
+    order = np.argsort(x, kind="stable")
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    first = np.arange(n - rows + 1, dtype=np.int32)
+    last = first + np.int32(rows)
+    left = np.full(len(first), index, np.int32)  # how many smaller ones of the frame are still to be passed
+    found = np.zeros(len(first), np.int32)
+    for bit in range(max(n - 1, 1).bit_length() - 1, -1, -1):
+        high = (rank >> bit & 1).astype(bool)
+        low_before = np.zeros(n + 1, np.int32)
+        np.cumsum(~high, out=low_before[1:])
+        a, b = low_before[first], low_before[last]
+        up = left >= b - a
+        left -= np.where(up, b - a, 0)
+        found |= up.astype(np.int32) << bit
+        lows = low_before[-1]
+        first, last = np.where(up, lows + first - a, a), np.where(up, lows + last - b, b)
+        rank = np.concatenate([rank[~high], rank[high]])
+    out = np.asarray(x, float)[order[found]]
     bad = np.concatenate([[0], np.cumsum(np.isnan(x))])
     out[bad[rows:] - bad[:-rows] > 0] = np.nan
     return out
@@ -67,8 +89,7 @@ def rolling_rank(
     """``keys, pos, out``: value at sorted ``index`` of rows ``lo..hi`` around each row.
 
     Spark would sort every frame from scratch; here a block (bounded by
-    ``block_rows`` plus the halo) is one Arrow batch and frames are partially sorted
-    in bulk.
+    ``block_rows`` plus the halo) is one Arrow batch, ranked once for all its frames.
     """
     keys = list(keys)
     rows = hi - lo + 1
