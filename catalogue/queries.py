@@ -27,7 +27,7 @@ from tidegrid.operators import (
     series_index,
 )
 from tidegrid.plans import feature_table
-from tidegrid.sources import tables
+from tidegrid.sources import stage_store, tables
 from tidegrid.staging import stage
 
 KEYS = ["series_id"]
@@ -266,16 +266,34 @@ BUCKET_COLUMNS = (
 )
 
 
-@query("downsample", BUCKET_COLUMNS, BUCKET_SQL)
-def downsample_query(fx: Fixtures) -> DataFrame:
+def _full_rows(fx: Fixtures) -> DataFrame:
     rows = scalar.with_night_grid(repeats.with_repeat_flag(fx.anchored, GRID), GRID)
     noisy = repeats.long_noise(repeats.repeated_rows(fx.anchored, GRID), FLAT.noise_run, GRID.block_rows)
     flat = flat_signal.flat_signal_features(fx.indexed, fx.constants, GRID, FLAT)
     rows = rows.join(noisy.select("series_id", "pos", "noise_removal"), ["series_id", "pos"], "left").join(
         flat, ["series_id", "pos"]
     )
-    scaled = series_index.zscore(rows.fillna(0, ["noise_removal"]), fx.constants, GRID)
-    return downsample.downsample(scaled, GRID)
+    return series_index.zscore(rows.fillna(0, ["noise_removal"]), fx.constants, GRID)
+
+
+@query("downsample", BUCKET_COLUMNS, BUCKET_SQL)
+def downsample_query(fx: Fixtures) -> DataFrame:
+    return downsample.downsample(_full_rows(fx), GRID)
+
+
+@query("stage_reuse", BUCKET_COLUMNS, BUCKET_SQL)
+def stage_reuse(fx: Fixtures) -> DataFrame:
+    """Buckets from a clustered stage that the second call finds written."""
+
+    def stored(build) -> DataFrame:
+        recipe = {"series": fx.series_path, "flat": repr(FLAT)}
+        return stage_store.reuse_or_build(fx.spark, f"{fx.series_path}-stage", recipe, build, GRID, buckets=8)
+
+    def absent() -> DataFrame:
+        raise AssertionError("the stage was not reused")
+
+    stored(lambda: _full_rows(fx))
+    return downsample.downsample(stored(absent), GRID)
 
 
 @query(
@@ -431,6 +449,13 @@ def target_encoding(fx: Fixtures) -> DataFrame:
     return _encoding(fx)
 
 
+@query("read_encoding", "hminute:i fold:i hmin_onset:f hmin_wakeup:f", "select * from fx_enc")
+def read_encoding(fx: Fixtures) -> DataFrame:
+    path = f"{fx.series_path}-encoding-csv"
+    tables.write_csv(_encoding(fx), path)
+    return tables.read_encoding(fx.spark, path)
+
+
 def _slots(fx: Fixtures) -> DataFrame:
     rows = scalar.with_time_parts(fx.buckets)
     return rows.withColumn("hminute", scalar.half_minute(F.col("hour"), F.col("minute"), F.col("second")))
@@ -506,8 +531,8 @@ def reverse_augment(fx: Fixtures) -> DataFrame:
     return chunks.with_reversed(_chunks(fx), LENGTH)
 
 
-def _soft_sql(rows: str) -> str:
-    kernel = ", ".join(f"({o}, {w}::double)" for o, w in chunks.SOFT_KERNELS[1].items())
+def _soft_sql(rows: str, sharpness: int = 1) -> str:
+    kernel = ", ".join(f"({o}, {w}::double)" for o, w in chunks.SOFT_KERNELS[sharpness].items())
     return f"""
       with c as materialized ({rows}),
            k as (select * from (values {kernel}) as t(shift, weight)),
@@ -525,6 +550,19 @@ def soft_targets(fx: Fixtures) -> DataFrame:
     return chunks.soft_targets(chunks.with_reversed(_chunks(fx), LENGTH))
 
 
+SOFT_COLUMNS = "series_id:s chunk:i invert:i slot:i onset:f wakeup:f"
+
+
+@query("soft_targets_wide", SOFT_COLUMNS, _soft_sql(REVERSED_SQL, 0))
+def soft_targets_wide(fx: Fixtures) -> DataFrame:
+    return chunks.soft_targets(chunks.with_reversed(_chunks(fx), LENGTH), sharpness=0)
+
+
+@query("soft_targets_sharp", SOFT_COLUMNS, _soft_sql(REVERSED_SQL, 2))
+def soft_targets_sharp(fx: Fixtures) -> DataFrame:
+    return chunks.soft_targets(chunks.with_reversed(_chunks(fx), LENGTH), sharpness=2)
+
+
 def _exploded(arrays: DataFrame) -> DataFrame:
     zipped = F.arrays_zip("features", "target", "mask", "time")
     rows = arrays.select(*[c for c in ("series_id", "chunk", "invert") if c in arrays.columns], F.posexplode(zipped).alias("slot", "r"))
@@ -535,10 +573,8 @@ def _exploded(arrays: DataFrame) -> DataFrame:
     )
 
 
-@query(
-    "chunk_arrays",
-    "series_id:s chunk:i invert:i slot:i mask:i time:i anglez:f enmo:f onset:f wakeup:f",
-    """
+ARRAY_COLUMNS = "series_id:s chunk:i invert:i slot:i mask:i time:i anglez:f enmo:f onset:f wakeup:f"
+ARRAY_SQL = """
     with c as materialized (select * from fx_chunk),
          d as (select distinct series_id, chunk, i as slot from c, range(0, 48) as r(i))
     select d.series_id, d.chunk, v.invert, d.slot, coalesce(c.mask, 0) as mask, coalesce(t.step, 0) as time,
@@ -548,13 +584,26 @@ def _exploded(arrays: DataFrame) -> DataFrame:
     from d cross join (values (0), (1)) as v(invert)
     left join c on c.series_id = d.series_id and c.chunk = d.chunk
                and c.slot = case when v.invert = 1 then 47 - d.slot else d.slot end
-    left join c as t on t.series_id = d.series_id and t.chunk = d.chunk and t.slot = d.slot""",
-)
+    left join c as t on t.series_id = d.series_id and t.chunk = d.chunk and t.slot = d.slot"""
+
+
+@query("chunk_arrays", ARRAY_COLUMNS, ARRAY_SQL)
 def chunk_arrays(fx: Fixtures) -> DataFrame:
     both = chunks.with_reversed(_chunks(fx), LENGTH)
     return _exploded(chunks.chunk_arrays(both, ["anglez", "enmo"], LENGTH))
 
 
+@query("chunk_store", ARRAY_COLUMNS, ARRAY_SQL)
+def chunk_store(fx: Fixtures) -> DataFrame:
+    """Arrays written with the features in another order, read back and put in this one by the stored names."""
+    path = f"{fx.series_path}-chunks"
+    names = ["enmo", "anglez"]
+    tables.write_chunks(chunks.chunk_arrays(chunks.with_reversed(_chunks(fx), LENGTH), names, LENGTH), path, names)
+    back, stored = tables.read_chunks(fx.spark, path)
+    ordered = F.transform("features", lambda x: F.array(*[x[stored.index(n)] for n in ("anglez", "enmo")]))
+    return _exploded(back.withColumn("features", ordered))
+
+
 @query(
     "flatten_chunks",
     "series_id:s chunk:i slot:i step:i anglez:f enmo:f",
@@ -566,21 +615,47 @@ def flatten_chunks(fx: Fixtures) -> DataFrame:
     return rows.withColumns({"anglez": F.col("features")[0], "enmo": F.col("features")[1]})
 
 
-@query(
-    "dataset_variant_clean",
-    "series_id:s chunk:i invert:i slot:i step:i anglez:f onset:i wakeup:i",
-    """
+VARIANT_COLUMNS = "series_id:s chunk:i invert:i slot:i step:i anglez:f onset:i wakeup:i"
+
+
+def _variant_sql(name: str) -> str:
+    variant = feature_table.VARIANTS[name]
+    kept = "select series_id, chunk, {invert} as invert, {slot} as slot, step, anglez, {labels} from c"
+    if variant.clean:
+        kept += " semi join k using (series_id, chunk)"
+    parts = [kept.format(invert=0, slot="slot", labels="onset, wakeup")]
+    if variant.invert:
+        parts.append(kept.format(invert=1, slot="47 - slot", labels="wakeup as onset, onset as wakeup"))
+    trimmed = "join n using (series_id) where fx_chunk.step <= max_night * 48" if variant.train else ""
+    return f"""
     with n as (select series_id, max(night) as max_night from fx_labels group by series_id),
-         c as materialized (
-           select fx_chunk.* from fx_chunk join n using (series_id) where fx_chunk.step <= max_night * 48),
+         c as materialized (select fx_chunk.* from fx_chunk {trimmed}),
          k as (select distinct series_id, chunk from c where onset + wakeup > 0)
-    select series_id, chunk, 0 as invert, slot, step, anglez, onset, wakeup from c semi join k using (series_id, chunk)
-    union all
-    select series_id, chunk, 1, 47 - slot, step, anglez, wakeup, onset from c semi join k using (series_id, chunk)""",
-)
+    {" union all ".join(parts)}"""
+
+
+def _variant(fx: Fixtures, name: str) -> DataFrame:
+    return feature_table.build_dataset(_targets(fx), fx.labels, feature_table.VARIANTS[name], GRID)[0]
+
+
+@query("dataset_variant_clean", VARIANT_COLUMNS, _variant_sql("clean_train"))
 def dataset_variant_clean(fx: Fixtures) -> DataFrame:
-    rows, _ = feature_table.build_dataset(_targets(fx), fx.labels, feature_table.VARIANTS["clean_train"], GRID)
-    return rows
+    return _variant(fx, "clean_train")
+
+
+@query("dataset_variant_basic", VARIANT_COLUMNS, _variant_sql("basic_train"))
+def dataset_variant_basic(fx: Fixtures) -> DataFrame:
+    return _variant(fx, "basic_train")
+
+
+@query("dataset_variant_forward", VARIANT_COLUMNS, _variant_sql("no_inv_train"))
+def dataset_variant_forward(fx: Fixtures) -> DataFrame:
+    return _variant(fx, "no_inv_train")
+
+
+@query("dataset_variant_test", VARIANT_COLUMNS, _variant_sql("basic_test"))
+def dataset_variant_test(fx: Fixtures) -> DataFrame:
+    return _variant(fx, "basic_test")
 
 
 # --- predictions ---------------------------------------------------------------------------
@@ -758,6 +833,28 @@ def training_table(fx: Fixtures) -> DataFrame:
     return feature_table.training_features(fx.series, fx.labels, fx.folds, _encoding(fx), GRID, FLAT)
 
 
+@query("feature_table_counted", FEATURE_COLUMNS, FEATURE_SQL)
+def training_table_counted(fx: Fixtures) -> DataFrame:
+    """The same build without the promise of one row per step: rows are counted."""
+    grid = replace(GRID, dense_steps=False)
+    return feature_table.training_features(fx.series, fx.labels, fx.folds, _encoding(fx), grid, FLAT)
+
+
+SCORING_COLUMNS = FEATURE_COLUMNS.replace(" fold:i", "") + " anglez:f enmo:f"
+
+
+@query(
+    "scoring_table",
+    SCORING_COLUMNS,
+    "select t.* exclude (hmin_onset, hmin_wakeup, onset, wakeup), 0 as onset, 0 as wakeup, m.hmin_onset, m.hmin_wakeup from ("
+    + FEATURE_SQL.replace("join n using (series_id) where t.step <= max_night * 48", "")
+    + ") t left join (select hminute, avg(cast(hmin_onset as double)) as hmin_onset, avg(cast(hmin_wakeup as double)) as hmin_wakeup "
+    "from fx_enc group by hminute) m using (hminute)",
+)
+def scoring_table(fx: Fixtures) -> DataFrame:
+    return feature_table.scoring_features(fx.series, _encoding(fx), GRID, FLAT)
+
+
 SUBSET = features.FEATURE_SETS["gru_abs_new"]
 
 

@@ -15,12 +15,17 @@ def bucket(grid: GridConfig, step: str = "step") -> Column:
 
 
 def downsample(df: DataFrame, grid: GridConfig) -> DataFrame:
-    """One row per ``(series_id, bucket)`` from full-resolution rows with all features."""
+    """One row per ``(series_id, bucket)`` from full-resolution rows with all features.
+
+    Rows of a clustered stage (``sources.stage_store``) have a ``block``; they are grouped inside
+    it, so they are not moved.
+    """
     k = float(grid.downsample)
+    keys = ["series_id", *[c for c in ("block",) if c in df.columns], "step"]
     return (
         df.withColumn("_step", F.col("step"))
         .withColumn("step", bucket(grid))
-        .groupBy("series_id", "step")
+        .groupBy(*keys)
         .agg(
             F.min_by("timestamp", "_step").alias("timestamp"),
             F.min_by("night", "_step").alias("night"),
@@ -37,6 +42,7 @@ def downsample(df: DataFrame, grid: GridConfig) -> DataFrame:
             (F.sum("noise") / k).alias("noise"),
             (F.sum("noise_removal") / k).alias("noise_removal"),
         )
+        .drop("block")
     )
 
 
