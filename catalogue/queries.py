@@ -846,7 +846,8 @@ SCORING_COLUMNS = FEATURE_COLUMNS.replace(" fold:i", "") + " anglez:f enmo:f"
 @query(
     "scoring_table",
     SCORING_COLUMNS,
-    "select t.* exclude (hmin_onset, hmin_wakeup, onset, wakeup), 0 as onset, 0 as wakeup, m.hmin_onset, m.hmin_wakeup from ("
+    "select t.* exclude (hmin_onset, hmin_wakeup, onset, wakeup, step_first), 0 as onset, 0 as wakeup, m.hmin_onset, m.hmin_wakeup, "
+    "case when count(*) over (partition by series_id) <= 40 then 0 else t.step_first end as step_first from ("
     + FEATURE_SQL.replace("join n using (series_id) where t.step <= max_night * 48", "")
     + ") t left join (select hminute, avg(cast(hmin_onset as double)) as hmin_onset, avg(cast(hmin_wakeup as double)) as hmin_wakeup "
     "from fx_enc group by hminute) m using (hminute)",
