@@ -47,7 +47,8 @@ START = "timestamp_ntz'2024-01-01 09:00:00'"
 
 
 def stamp(step: str) -> F.Column:
-    t = f"timestampadd(SECOND, cast({step} * 900 as int), {START})"
+    # minutes, since seconds leave the range of an integer after 68 years of steps
+    t = f"timestampadd(MINUTE, cast({step} * 15 as int), {START})"
     return F.expr(f"concat(date_format({t}, \"yyyy-MM-dd'T'HH:mm:ss\"), '-0400')")
 
 

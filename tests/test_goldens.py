@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import fixtures
 from tidegrid.config import GridConfig, centred_frame
 from tidegrid.functions import rolling, scalar
 from tidegrid.operators import chunks, encoding, features, labels, predictions, series_index
@@ -235,3 +236,17 @@ def test_text_before_1970_keeps_its_clock(spark):
     df = spark.createDataFrame([("1969-12-31T23:59:58+0100",), ("1960-02-29T00:00:01Z",)], "timestamp string")
     got = [r[0] for r in df.select(scalar.iso_local(scalar.local_seconds())).collect()]
     assert got == ["1969-12-31T23:59:58", "1960-02-29T00:00:01"]
+
+
+def test_text_after_2038_keeps_its_clock(spark):
+    """More seconds since 1970 than an integer holds."""
+    df = spark.createDataFrame([("2038-01-20T23:59:58-0400",), ("2126-02-28T00:00:01Z",)], "timestamp string")
+    got = [r[0] for r in df.select(scalar.iso_local(scalar.local_seconds())).collect()]
+    assert got == ["2038-01-20T23:59:58", "2126-02-28T00:00:01"]
+
+
+def test_stamp_of_a_series_of_millions_of_rows(spark):
+    """Step times 900 seconds is more than an integer holds."""
+    df = spark.createDataFrame([(0,), (31,), (3_600_000,)], "step long")
+    got = sorted(r[0] for r in df.select(fixtures.stamp("step")).collect())
+    assert got == ["2024-01-01T09:00:00-0400", "2024-01-01T16:45:00-0400", "2126-09-03T09:00:00-0400"]

@@ -34,10 +34,10 @@ def local_seconds(ts: Column | str = "timestamp") -> Column:
 
 def iso_local(seconds: Column) -> Column:
     """Back from :func:`local_seconds` to ``yyyy-MM-ddTHH:mm:ss``."""
-    day = F.floor(seconds / 86400).cast("int")
+    day = F.floor(seconds / 86400)
     rest = seconds - day * 86400
     clock = F.format_string("T%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)
-    return F.concat(F.date_from_unix_date(day).cast("string"), clock)
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), clock)
 
 
 def with_time_parts(df: DataFrame, ts: str = "timestamp") -> DataFrame:
