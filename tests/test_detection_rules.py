@@ -113,6 +113,25 @@ def test_stretches_over_many_blocks(spark, block_rows):
     assert sum(name == "open-rows" for name, _ in plans) > 2
 
 
+def test_slopes_over_small_blocks_in_few_rounds(spark):
+    """Many slopes and saws longer than a block: parcels hold several stretches, and rounds don't follow their blocks."""
+    i = np.arange(9000)
+    shapes = {"slopes": np.where(i % 400 < 300, i, i * 7 % 40) / 1e5, "falls": -(i % 450) / 1e5, "steps": i // 150 * 5 % 3 / 4}
+    rows = [(s, "onset", int(n), float(p)) for s, prob in shapes.items() for n, p in enumerate(prob)]
+    df = spark.createDataFrame(rows, "series_id string, event string, pos long, p double")
+    with recorded_plans() as plans:
+        got = predictions.nms_peaks(df, PeakConfig(block_rows=48), "p").select("series_id", "pos").collect()
+    assert sorted(map(tuple, got)) == sorted((s, n) for s, prob in shapes.items() for n in plain_peaks(prob, 11))
+    assert sum(name == "open-rows" for name, _ in plans) <= 4
+
+
+def test_places_without_a_row_suppress_nothing():
+    none, there = np.zeros(9, bool), np.array([1, 1, 0, 0, 1, 1, 0, 1, 1], bool)
+    prob = np.array([np.nan, 1.0, 9.0, 9.0, np.nan, -np.inf, 9.0, -5.0, -5.0])
+    new, still = predictions.settle(prob, 2, none, there, there)
+    assert np.flatnonzero(new).tolist() == [1, 4, 7] and not still.any()
+
+
 def plain_match(truths, dets, tolerance):
     free, hits = sorted(truths), []
     for step, score in sorted(dets, key=lambda d: (-d[1], d[0])):

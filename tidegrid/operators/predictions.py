@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.config import GridConfig, PeakConfig, centred_frame
@@ -77,14 +77,19 @@ def _near(rows: np.ndarray, gap: int) -> np.ndarray:
     return np.cumsum(edge)[gap : gap + len(rows)] > 0
 
 
-def settle(prob: np.ndarray, gap: int, kept: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def settle(
+    prob: np.ndarray, gap: int, kept: np.ndarray, core: np.ndarray, there: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Greedy suppression as far as it is certain: rows kept, and rows still open.
 
     ``kept`` rows are kept already; only ``core`` rows are decided, the others are their
     neighbours.  In rounds, each open row that beats all open rows within ``gap`` (ties: the earlier
-    row) is kept and closes those: whatever could still suppress it is worse.
+    row) is kept and closes those: whatever could still suppress it is worse.  Places not ``there``
+    have no row and suppress nothing.
     """
     value = np.where(kept | _near(kept, gap), -np.inf, np.nan_to_num(prob, nan=-np.finfo(float).max, posinf=np.inf, neginf=-np.inf))
+    if there is not None:
+        value[~there] = -np.inf
     new = np.zeros(len(prob), bool)
     side = np.full(gap, -np.inf)
     while True:
@@ -106,37 +111,57 @@ def greedy_peaks(prob: np.ndarray, gap: int) -> np.ndarray:
     return np.flatnonzero(settle(prob, gap, np.zeros(len(prob), bool), np.ones(len(prob), bool))[0])
 
 
+# rows that Python gets at once: a call costs the same for ten rows as for some thousands
+PARCEL_ROWS = 8192
+
+
+def _apart(places: np.ndarray, group: np.ndarray, gap: int) -> np.ndarray:
+    """Places of sorted groups in one array, more than ``gap`` from group to group, so that groups don't meet."""
+    fresh = np.concatenate([[True], group[1:] != group[:-1]])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(group)), 0))
+    own = places - places[first]
+    length = np.concatenate([[0], np.cumsum(np.where(np.concatenate([fresh[1:], [True]]), own + gap + 1, 0))[:-1]])
+    return own + length
+
+
+def _parcel(place: Column) -> Column:
+    return floor_div(place, PARCEL_ROWS).alias("_parcel")
+
+
 def _settled_in_blocks(rows: DataFrame, keys: list[str], prob: str, gap: int, block_rows: int) -> DataFrame:
     """Kept rows of stretches that are too long for one task.
 
     Blocks decide what they can from their own rows and those within ``gap`` of them.  What depends
     on a neighbour's decision waits for the next round, in which the blocks lie half a block
-    further, and which sees the open rows and the last round's peaks only.
+    further, and which sees the open rows and the last round's peaks only.  Small blocks are taken several
+    at a time, for fewer rounds; those of neighbouring stretches share a call.
     """
     columns = rows.columns
     numbered = with_positions(rows, keys, ["pos"], floor_div("pos", block_rows), "_i")
     state = stage(numbered.withColumn("_kept", F.lit(False)), "open-rows")
     names = state.columns
-    block_rows = max(block_rows, 4 * gap + 4)
+    block_rows = max(block_rows, 4 * gap + 4, min(8 * block_rows, PARCEL_ROWS))
     found, turn = [], 0
     while not state.where("not _kept").isEmpty():
         shift = turn % 2 * (block_rows // 2)
         moved = state.withColumn("_i", F.col("_i") + shift)
         copies = explode_blocks(moved, block_rows, gap, gap, "_i")
+        # stretches don't overlap, so a parcel holds its own places and at most one block more
+        copies = copies.withColumn("_parcel", _parcel(F.col("_from") + F.col("block") * block_rows))
 
         def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_i", ignore_index=True)
-            # a row that is gone is a place that suppresses nothing
-            at = (pdf["_i"] - pdf["_i"].iloc[0]).to_numpy()
-            value, kept, core = np.full(at[-1] + 1, -np.inf), np.zeros(at[-1] + 1, bool), np.zeros(at[-1] + 1, bool)
-            value[at], kept[at] = pdf[prob].to_numpy(float), pdf["_kept"].to_numpy(bool)
+            pdf = pdf.sort_values(["_from", "block", "_i"], ignore_index=True)
+            group = pdf.groupby(["_from", "block"]).ngroup().to_numpy()
+            at = _apart(pdf["_i"].to_numpy(), group, gap)
+            value, (kept, core, there) = np.zeros(at[-1] + 1), np.zeros((3, at[-1] + 1), bool)
+            value[at], kept[at], there[at] = pdf[prob].to_numpy(float), pdf["_kept"].to_numpy(bool), True
             core[at] = (pdf["_i"] // block_rows == pdf["block"]).to_numpy()
-            new, still = settle(value, gap, kept, core & ~kept)
+            new, still = settle(value, gap, kept, core & ~kept, there)
             out = pdf[new[at] | still[at]]
             return out.assign(_kept=new[at][new[at] | still[at]], _i=out["_i"] - shift)[names]
 
-        blocks = spread(copies, *keys, "block").groupBy(*keys, "block")
-        state = stage(blocks.applyInPandas(kernel, state.schema), "open-rows")
+        parcels = spread(copies, *KEYS, "_parcel").groupBy(*KEYS, "_parcel")
+        state = stage(parcels.applyInPandas(kernel, state.schema), "open-rows")
         found.append(state.where("_kept").select(*columns))
         turn += 1
     return reduce(DataFrame.unionByName, found) if found else rows
@@ -153,7 +178,7 @@ def nms_peaks(
     A row that is the best of its own ``gap`` neighbourhood is certainly kept and its
     neighbours are certainly dropped, so nothing passes across it.  The first such row
     of each block is a cut: the stretches between cuts are suppressed independently,
-    each in a task of its own, and the result equals that of the whole series.
+    many of them in a call, and the result equals that of the whole series.
 
     Only a long plateau of equal values has no such row.  Inside it the kept rows repeat
     every ``gap + 1`` rows, so whole periods are taken out before and get the fate of
@@ -200,15 +225,18 @@ def nms_peaks(
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
-        return pdf.loc[greedy_peaks(pdf[prob].to_numpy(float), gap), columns]
+        at = _apart(np.arange(len(pdf)), pdf["_from"].to_numpy(), gap)
+        value, (kept, there) = np.zeros(at[-1] + 1), np.zeros((2, at[-1] + 1), bool)
+        value[at], there[at] = pdf[prob].to_numpy(float), True
+        return pdf.loc[settle(value, gap, kept, there, there)[0][at], columns]
 
     # a stretch is as long as from its cut to the next one, or to the end of the series
     ends = stage(marked.groupBy(*KEYS).agg(F.max("pos").alias("_end")), "series-ends")
     open_rows = join_constants(open_rows, ends, {"_end": F.col("_end")}, KEYS, F.col("pos"), F.lit(0).cast("long"), F.col("_end"), rows)
     length = F.coalesce("_upto", F.col("_end") + 1) - F.greatest(F.col("_from"), F.lit(0))
     open_rows = stage(open_rows.select(*columns, "_from", (length > 2 * rows).alias("_long")), "stretches")
-    stretches = spread(open_rows.where("not _long").select(*columns, "_from"), *KEYS, "_from").groupBy(*KEYS, "_from")
-    kept = stretches.applyInPandas(kernel, marked.select(*columns).schema)
+    short_rows = open_rows.where("not _long").select(*columns, "_from", _parcel(F.col("_from")))
+    kept = spread(short_rows, *KEYS, "_parcel").groupBy(*KEYS, "_parcel").applyInPandas(kernel, marked.select(*columns).schema)
     long_rows = open_rows.where("_long").select(*columns, "_from")
     if not long_rows.isEmpty():
         kept = kept.unionByName(_settled_in_blocks(long_rows, [*KEYS, "_from"], prob, gap, rows).select(*columns))
