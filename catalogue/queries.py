@@ -266,13 +266,18 @@ BUCKET_COLUMNS = (
 )
 
 
+def _n_rows(fx: Fixtures) -> int:
+    return fx.constants.agg(F.sum("n_rows")).first()[0]
+
+
 def _full_rows(fx: Fixtures) -> DataFrame:
+    """All features at full resolution.  The three parts meet in a number of tasks that follows the rows."""
+    tasks, by = blocks.tasks_for(fx.spark, _n_rows(fx)), ["series_id", "pos"]
     rows = scalar.with_night_grid(repeats.with_repeat_flag(fx.anchored, GRID), GRID)
     noisy = repeats.long_noise(repeats.repeated_rows(fx.anchored, GRID), FLAT.noise_run, GRID.block_rows)
     flat = flat_signal.flat_signal_features(fx.indexed, fx.constants, GRID, FLAT)
-    rows = rows.join(noisy.select("series_id", "pos", "noise_removal"), ["series_id", "pos"], "left").join(
-        flat, ["series_id", "pos"]
-    )
+    rows, noisy, flat = (d.repartition(tasks, *by) for d in (rows, noisy.select(*by, "noise_removal"), flat))
+    rows = rows.join(noisy, by, "left").join(flat, by)
     return series_index.zscore(rows.fillna(0, ["noise_removal"]), fx.constants, GRID)
 
 

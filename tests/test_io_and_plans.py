@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from catalogue import queries
 from catalogue.fixtures import FLAT, GRID, fixtures
 from tidegrid.config import GridConfig
-from tidegrid.operators import chunks, model
+from tidegrid.operators import blocks, chunks, model
 from tidegrid.operators.blocks import over_blocks
 from tidegrid.operators.downsample import downsample_signals
 from tidegrid.operators.features import TRAIN_FEATURES, time_of_day_profile
@@ -175,3 +176,17 @@ def test_workers_do_not_need_the_package(tmp_path):
         [sys.executable, "-c", script, repo, SF], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
     )
     assert "[True, True, True, True]" in out.stdout, out.stderr[-2000:]
+
+
+def test_tasks_follow_the_rows(spark):
+    few, many = (blocks.tasks_for(spark, n) for n in (1000, 36_000_000))
+    assert few <= spark.sparkContext.defaultParallelism and many * blocks.TASK_ROWS >= 36_000_000
+
+
+def test_wide_rows_meet_in_tasks_that_follow_them(spark, monkeypatch):
+    """Both joins of the full-resolution rows keep the number of tasks that the rows ask for."""
+    monkeypatch.setattr(blocks, "TASK_ROWS", 1)
+    fx = fixtures(spark, SF)
+    text = plan(queries._full_rows(fx))
+    n = fx.series.count()
+    assert text.count(f", {n}), REPARTITION_BY_NUM") == 3

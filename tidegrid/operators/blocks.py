@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import floor_div
@@ -109,6 +109,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+# wide rows that a task may get where it sorts them; some hundred MB
+TASK_ROWS = 100_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Number of tasks for ``rows`` wide rows, so that a task's memory does not grow with the input."""
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, -(-rows // TASK_ROWS))
+
+
 def fits_broadcast(table: DataFrame) -> bool:
     """Whether Catalyst's estimate of ``table`` is within the broadcast threshold."""
     limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
