@@ -290,9 +290,11 @@ def downsample_query(fx: Fixtures) -> DataFrame:
 def stage_reuse(fx: Fixtures) -> DataFrame:
     """Buckets from a clustered stage that the second call finds written."""
 
+    buckets = max(8, -(-_n_rows(fx) // blocks.TASK_ROWS))  # a file fits a task at any size
+
     def stored(build) -> DataFrame:
         recipe = {"series": fx.series_path, "flat": repr(FLAT)}
-        return stage_store.reuse_or_build(fx.spark, f"{fx.series_path}-stage", recipe, build, GRID, buckets=8)
+        return stage_store.reuse_or_build(fx.spark, f"{fx.series_path}-stage", recipe, build, GRID, buckets=buckets)
 
     def absent() -> DataFrame:
         raise AssertionError("the stage was not reused")
