@@ -2,9 +2,11 @@
 
 import hashlib
 import io
+import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +327,22 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
 
 
+def test_packing_encodes_new_parts_of_words_only():
+    """Words that differ by case and signs share their parts; any text has the ids of the tokenizer itself."""
+    own = packing.WordTokenizer(tokenizer_path(), most_parts=40)
+    own.encode(pd.Series(["Größe größe, größe### GRÖSSE 'größe'"]))
+    assert sorted(own.parts) == sorted(["größe", "grösse", ",", "###", "'"])
+    signs = list("aZbß'sStTdDlvre019.!<|>_\"éÿ×÷µªİıſKẞ…’ǅ½²\x1c\x7f ") + ["e\u0301", "\u00a0"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(signs, 40)) for _ in range(400)]
+    texts += ["don't I'LL 'Tis o'd", "a<|ENDOFTEXT|>", "x<|endoftext|>y", "", " ", "12 a1b2"]
+    for some in (texts, ["plain Words, 'twas", "it's"]):
+        ids, edge = own.encode(pd.Series(some))
+        held = [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        word = [[w for w in re.split(r"[\x20\x09-\x0D]+", t) if w] for t in some]
+        assert held == [[i for w in ws for i in own.model.encode(w, add_special_tokens=False).ids] + [1] for ws in word]
+
+
 def test_packing_brings_related_documents_together(session):
     topics = [[f"topic{t}x{k}" for k in range(12)] for t in range(60)]
     rows = [(4 * t + k, text(60) + " " + " ".join(topics[t])) for t in range(60) for k in range(4)]

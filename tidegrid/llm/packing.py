@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -18,26 +20,74 @@ from tidegrid.staging import stage
 
 END = 1
 JOINED = 500  # words encoded as one text
+#: Words of these characters alone are NFC and change by lower case only, a character each; ``LETTERS`` are theirs.
+PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]*")
+LETTERS = "a-zß-öø-ÿ"
+PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ {LETTERS}0-9]+| ")
+#: The tokenizer whose splitting ``PART`` repeats on plain words; any other one reads whole words.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "id long, row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _without_normalizer(model):
+    """The same merges for parts that are normalized and split already, or None if the tokenizer splits otherwise."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    told = json.loads(model.to_str())
+    splitter = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    if (
+        (told["normalizer"] or {}).get("normalizers") != NORMALIZERS
+        or len(splitter) != 2
+        or splitter[0] != {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+        or {k: splitter[1].get(k) for k in byte_level} != byte_level
+        or any(t["normalized"] or not t["content"].startswith("<|") for t in told["added_tokens"])
+    ):
+        return None
+    inner = Tokenizer.from_str(model.to_str())
+    inner.normalizer = None
+    space = pre_tokenizers.WhitespaceSplit()
+    inner.pre_tokenizer = pre_tokenizers.Sequence([space, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return inner
+
+
+def _is_plain(text: str) -> bool:
+    # special tokens are found before a word is split
+    return PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places ``first[i] .. first[i] + n[i] - 1`` of all i in turn."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class WordTokenizer:
     """Token ids of whole texts, each distinct word encoded once and kept.
 
     White space never joins or changes tokens of the word BPE, so a text's ids are those of
     its words in turn.  Known words live in sorted arrays; ``most`` bounds them, beyond it the
-    table starts afresh.
+    table starts afresh.  The tokenizer merges inside the parts of a word (letters, a digit, signs), and
+    new words mostly consist of known parts: plain words are split here and only new parts are encoded,
+    without normalizing them again.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_200_000, most_parts: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path} has more than 65536 ids, they are kept in 16 bits")
-        self.most = most
+        self.inner = _without_normalizer(self.model)
+        self.most, self.most_parts = most, most_parts
         self._clear()
+        self._clear_parts()
+
+    def _clear_parts(self) -> None:
+        self.parts: dict[str, int] = {}
+        self.part_edge = np.zeros(1, np.int64)
+        self.part_ids = np.zeros(0, np.uint16)
 
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)
@@ -46,10 +96,29 @@ class WordTokenizer:
         self.ids = np.zeros(0, np.uint16)
 
     def _encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words in one array, and how many each has; many words make one text, which is cheaper than one call each."""
+        """Ids of the words in one array, and how many each has."""
+        if self.inner is not None:
+            n = ends - starts + 1  # with the blank after each
+            some = np.frombuffer(data, np.uint8)[_ranges(starts, n)]
+            some[np.cumsum(n) - 1] = 32
+            joined = some.tobytes().decode("utf-8", "replace")[:-1]
+            if _is_plain(joined):
+                return self._encode_parts(joined, len(starts))
         texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        if self.inner is None:
+            return self._encode_whole(texts)
+        plain = np.fromiter(map(_is_plain, texts), bool, len(texts))
+        sides = [[t for t, p in zip(texts, plain.tolist(), strict=True) if p == side] for side in (True, False)]
+        (ids, n), (more, m) = self._encode_parts(" ".join(sides[0]), len(sides[0])), self._encode_whole(sides[1])
+        count, at = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        count[plain], count[~plain] = n, m
+        at[plain], at[~plain] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
+        return np.concatenate([ids, more])[_ranges(at, count)], count
+
+    def _encode_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words make one text, which is cheaper than one call each."""
         joined = [" ".join(texts[at : at + JOINED]) for at in range(0, len(texts), JOINED)]
-        ids, counts = [np.zeros(0, np.uint16)], []
+        ids, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         for k, e in enumerate(self.model.encode_batch(joined, add_special_tokens=False)):
             part = texts[k * JOINED : (k + 1) * JOINED]
             first = np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
@@ -58,6 +127,30 @@ class WordTokenizer:
             counts.append(np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(part)))
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _encode_parts(self, joined: str, words_in: int) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words, joined by spaces, by their parts; each distinct part is encoded once and kept."""
+        if not words_in:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        code, value = pd.factorize(np.array(PART.findall(joined.lower()), object))
+        new = [v for v in value if v != " " and v not in self.parts]
+        if new and self.parts and len(self.parts) + len(new) > self.most_parts:
+            self._clear_parts()
+            new = [v for v in value if v != " "]
+        ids, counts = [self.part_ids], []
+        lines = [" ".join(new[at : at + JOINED]) for at in range(0, len(new), JOINED)]
+        for k, e in enumerate(self.inner.encode_batch(lines, add_special_tokens=False)):
+            ids.append(np.array(e.ids, np.uint16))
+            counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(new[k * JOINED : (k + 1) * JOINED])))
+        if new:
+            self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
+            self.part_ids = np.concatenate(ids)
+            self.part_edge = np.concatenate([self.part_edge, self.part_edge[-1] + np.cumsum(np.concatenate(counts))])
+        place = np.array([-1 if v == " " else self.parts[v] for v in value])[code]
+        word = np.cumsum(place < 0)[place >= 0]
+        place = place[place >= 0]
+        n = self.part_edge[place + 1] - self.part_edge[place]
+        return self.part_ids[_ranges(self.part_edge[place], n)], np.bincount(word, n, words_in).astype(np.int64)
+
     def encode(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the borders of the texts, each text closed by ``END``."""
         w = words.split(texts, lower=False)
