@@ -72,7 +72,7 @@ class WordTokenizer:
     without normalizing them again.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000, most_parts: int = 300_000):
+    def __init__(self, path: str, most: int = 1_200_000, most_parts: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
