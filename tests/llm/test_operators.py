@@ -403,6 +403,39 @@ def test_language_model(docs, empty):
     assert context_mixing.score_texts(empty).count() == 0
 
 
+def test_grams_by_brute_force():
+    texts = ["Abc abd abc", "", None, "é abc\tabd  abc", "abc"]
+    rows = []
+    for t in texts:
+        data = (t or "").encode().lower() + b"\xff"
+        for i in range(len(data)):
+            start = max([0, *[k + 1 for k in range(i) if data[k] in b"\t \xff"]])
+            rows.append((data[max(0, i - 3) : i].rjust(3, b"\0"), data[max(0, i - 4) : i].rjust(4, b"\0"), data[start:i], data[i]))
+    g = context_mixing.grams(pd.Series(texts))
+    assert g.symbol[g.code].tolist() == [r[3] for r in rows] and len(g.symbol) == len(set(rows))
+    for k, o in enumerate(g.orders):
+        pairs = [(r[k], r[3]) for r in rows]
+        # each pair of a context and a symbol is held once, and longer codes come first
+        assert len(o.symbol) == len(set(pairs)) == len(set(zip(pairs, o.code[g.code].tolist())))
+        assert len(set(zip([p[0] for p in pairs], o.context[o.code[g.code]].tolist()))) == len({p[0] for p in pairs})
+        assert (np.diff(context_mixing.LENGTH[o.symbol]) <= 0).all()
+        for depth in range(context_mixing.LENGTH.max()):
+            assert context_mixing.deep(o.symbol, depth) == np.count_nonzero(context_mixing.LENGTH[o.symbol] > depth)
+
+
+def test_counts_and_scores_do_not_depend_on_batches(monkeypatch):
+    frame = pd.DataFrame({"text": [" ".join(f"w{i * k % 17}" for i in range(30)) for k in range(40)]})
+    table = np.random.default_rng(5).normal(size=context_mixing.CELLS).astype(np.float16)
+    found = []
+    for most in (50, 1000, 100_000):
+        monkeypatch.setattr(context_mixing, "WIDE_BATCH", most)
+        counted = list(context_mixing._counter(0)(iter([frame])))
+        parts = words.batches(iter([frame]), most=most)
+        scores = [context_mixing.log_probability(context_mixing.grams(p.text), table, context_mixing.Mixer.fresh()) for p in parts]
+        found.append(([(c.block[0], c.data[0]) for c in counted], np.concatenate(scores).tolist()))
+    assert found[0] == found[1] == found[2]
+
+
 def test_toxicity_on_held_out_rows(session, docs, empty):
     bad = ["grumblewitz", "snarfgoblin", "blorkhead"]
 

@@ -5,18 +5,20 @@ in a fixed prefix code; contexts of the last three and four bytes and of the wor
 each predict every choice from counts in one hashed table.  A gate (depth in the code, how
 many long contexts are known) picks the weights that mix the predictions, and a refinement
 table maps the mixed value to what was seen.  Choices depend only on context and symbol, so
-equal (context, symbol) pairs of a batch are computed once.
+equal (contexts, symbol) of a batch are mixed once, and equal pairs of one context and symbol are
+counted and looked up once.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ STEPS = 1025  # the mixed value is rounded to this many steps for scoring
 END = 255
 NO_ID = -(1 << 63)
 END_TOKEN = np.uint64(0x5EED0FE0D0FDA7A1)
-BATCH = 400_000
+BATCH = 400_000  # characters from which the mixer learns at once
+WIDE_BATCH = 1_200_000  # counts and scores don't depend on it; a larger one holds fewer distinct grams for its length
 #: Bytes by assumed frequency; the code only has to be a prefix code, this makes it short.
 FREQUENT = b" etaoinshrdlcumwfgypbvk\n,.jxqz-'\"0123456789"
 
@@ -62,90 +65,121 @@ def prefix_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 LENGTH, NODES, BITS = prefix_code()
+LEAST = (LENGTH.max() - LENGTH).astype(np.uint8)  # ascending where codes get shorter
+NODE_KEYS = np.ascontiguousarray(NODES.T).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: Per byte: does a word end after it, and its part in the hashes of words and of grams.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32, END])
+HEAD = np.arange(1, 257, dtype=np.uint64)
+TAIL = HEAD * np.uint64(0xA24BAED4963EE407)
+
+
+@dataclass
+class Order:
+    """Distinct (context, symbol) of one kind of context: ``code`` per gram, hashed context and symbol per pair."""
+
+    code: np.ndarray
+    context: np.ndarray
+    symbol: np.ndarray
 
 
 @dataclass
 class Grams:
-    """Distinct (contexts, symbol) of a batch: ``code`` per place, contexts and symbol per gram."""
+    """Distinct (contexts, symbol) of a batch: ``code`` per place, symbol per gram, and the pairs of each context."""
 
     code: np.ndarray
-    contexts: np.ndarray
     symbol: np.ndarray
     edge: np.ndarray
+    orders: list[Order]
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each key, in order of appearance, and where each number appears first."""
+    code, _ = pd.factorize(key, size_hint=len(key) // 4)
+    top = np.maximum.accumulate(code)
+    return code, np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])[: len(code)])
 
 
 def grams(texts: pd.Series) -> Grams:
     raw = [(b"" if t is None else t.encode("utf-8", "surrogatepass")).lower() for t in texts]
     edge = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     data = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
+    del raw
     n = len(data)
-    index = np.arange(n)
-    before = data
     packed = np.zeros(n, np.uint32)  # the last four bytes of the same text, the nearest lowest
+    before = data
     for j in range(4):
         before = np.concatenate([np.zeros(1, np.uint8), before[:-1]])
         before[edge[:-1]] = 0
         packed |= before.astype(np.uint32) << np.uint32(8 * j)
-    blank = (data == 32) | ((data >= 9) & (data <= 13)) | (data == END)
-    word = np.maximum.accumulate(np.where(np.concatenate([[True], blank[:-1]]), index, 0))
-    powers = words.powers(np.uint64(0x9E3779B97F4A7C15), n + 1)
-    back = words.powers(np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), n + 1)
-    symbol = data.astype(np.uint64) + np.uint64(1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbol * powers[:n], dtype=np.uint64)])
-    prefix = (total[:-1] - total[word]) * back[word]
-    del total, powers, back, word, blank, before
-    key = (prefix ^ (packed * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x94D049BB133111EB)
-    key = (key ^ (key >> np.uint64(31))) + symbol * np.uint64(0xA24BAED4963EE407)
-    code, value = pd.factorize(key)
-    first = np.empty(len(value), np.int64)
-    first[code[::-1]] = index[::-1]
-    del key, value, symbol, index
-    four = packed[first].astype(np.uint64)
-    kinds = (four & np.uint64(0xFFFFFF), four, prefix[first])
-    contexts = np.stack([words.mix(c * np.uint64(8) + np.uint64(i)) for i, c in enumerate(kinds)])
+    start = np.flatnonzero(np.concatenate([[True], BLANK[data[:-1]]]))
+    size = np.diff(start, append=n)
+    prefix = words.powers(np.uint64(0x9E3779B97F4A7C15), n + 1)[:n] * HEAD[data]
+    total = np.zeros(n, np.uint64)
+    np.cumsum(prefix[:-1], out=total[1:])
+    back = words.powers(np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), n + 1)[start]
+    prefix = np.subtract(total, np.repeat(total[start], size), out=total)
+    prefix *= np.repeat(back, size)
+    del before, start, size, back, total
+    key = packed * np.uint64(0xD6E8FEB86659FD93)
+    key ^= prefix
+    key *= np.uint64(0x94D049BB133111EB)
+    key ^= key >> np.uint64(31)
+    key += TAIL[data]
+    code, first = _numbered(key)
+    del key
     # longer codes first, so that the grams with a choice at some depth are a slice
-    order = np.argsort(-LENGTH[data[first]], kind="stable")
+    order = np.argsort(LEAST[data[first]], kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return Grams(place[code], contexts[:, order], data[first][order], edge)
+    first = first[order]
+    symbol, four, word = data[first], packed[first].astype(np.uint64), prefix[first]
+    del packed, prefix
+    kinds = (four & np.uint64(0xFFFFFF), four, word)
+    orders = []
+    for i, kind in enumerate(kinds):
+        # in order of appearance, so the pairs have longer codes first, too
+        own, at = _numbered(kind + (symbol.astype(np.uint64) << np.uint64(32)) if i < 2 else kind + TAIL[symbol])
+        orders.append(Order(own, words.mix(kind[at] * np.uint64(8) + np.uint64(i)), symbol[at]))
+    return Grams(place[code], symbol, edge, orders)
 
 
-def deep(g: Grams, depth: int) -> int:
-    """How many grams, from the first, have a choice at this depth."""
-    return int(np.searchsorted(-LENGTH[g.symbol], -depth, side="left"))
+def deep(symbol: np.ndarray, depth: int) -> int:
+    """How many of the symbols, from the first, have a choice at this depth."""
+    return bisect.bisect_left(symbol, LENGTH.max() - depth, key=LEAST.__getitem__)
 
 
-def cells(g: Grams, depth: int, rows: np.ndarray | slice) -> np.ndarray:
-    node = NODES[g.symbol[rows], depth].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (g.contexts[:, rows] ^ node) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(40)).astype(np.int64)  # 24 bits: CELLS
+def cells(o: Order, depth: int, n: int) -> np.ndarray:
+    """Cell of the choice at this depth for each of the first ``n`` pairs."""
+    x = (o.context[:n] ^ NODE_KEYS[depth][o.symbol[:n]]) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(40)).view(np.int64)  # 24 bits: CELLS
 
 
 def _counter(fold: int):
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Counts of both choices per cell over the texts of a partition."""
         counts = np.zeros((2, CELLS), np.uint32)
-        flat = counts.reshape(-1)
-        for frame in words.batches(frames, most=BATCH):
+        flat, codec = counts.reshape(-1), pa.Codec("zstd", 1)
+        for frame in words.batches(frames, most=WIDE_BATCH):
             g = grams(frame.text)
-            weight = np.bincount(g.code, minlength=len(g.symbol)).astype(np.uint32)
-            for depth in range(LENGTH.max()):
-                n = deep(g, depth)
-                side = BITS[g.symbol[:n], depth].astype(np.int64) * CELLS
-                for row in cells(g, depth, slice(0, n)):
-                    np.add.at(flat, row + side, weight[:n])
+            weight = np.bincount(g.code, minlength=len(g.symbol))
+            for o in g.orders:
+                own = np.bincount(o.code, weight, len(o.symbol)).astype(np.uint32)
+                for depth in range(LENGTH.max()):
+                    n = deep(o.symbol, depth)
+                    side = BITS[o.symbol[:n], depth].astype(np.int64) * CELLS
+                    np.add.at(flat, cells(o, depth, n) + side, own[:n])
         for k, part in enumerate(np.split(counts, BLOCKS, axis=1)):
             if part.any():
-                yield pd.DataFrame({"block": [k], "fold": [fold], "data": [zlib.compress(part.tobytes(), 1)]})
+                yield pd.DataFrame({"block": [k], "fold": [fold], "data": [codec.compress(part.tobytes(), asbytes=True)]})
 
     return count
 
 
 def _totals(block: pd.DataFrame) -> pd.DataFrame:
     """Log odds per cell from the summed counts: of the first share alone, and of all rows."""
-    total = np.zeros((2, 2, CELLS // BLOCKS), np.int64)
+    total, codec = np.zeros((2, 2, CELLS // BLOCKS), np.int64), pa.Codec("zstd")
     for fold, data in zip(block.fold, block.data, strict=True):
-        total[fold] += np.frombuffer(zlib.decompress(data), np.uint32).reshape(2, -1)
+        total[fold] += np.frombuffer(codec.decompress(data, total[0].size * 4), np.uint32).reshape(2, -1)
 
     def odds(n: np.ndarray) -> bytes:
         value = np.log((n[1] + 0.15) / (n[0] + 0.15))
@@ -166,11 +200,22 @@ class Mixer:
         return Mixer(np.full((GATES, ORDERS), 0.35), np.tile(1 / (1 + np.exp(-middle)), (GATES, 1)))
 
 
-def inputs(g: Grams, table: np.ndarray, depth: int, rows: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
-    x = table[cells(g, depth, rows)].astype(np.float32)
-    sure = np.abs(x[-2:])
-    known = (sure > 0).astype(np.int64) + (sure > 2)  # per long context: unknown, weak, strong
-    return x, min(depth, DEPTHS - 1) * KNOWN + known[0] * 3 + known[1]
+def pair_inputs(g: Grams, table: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Log odds of the pairs with a choice at this depth, and of long contexts: 0 if unknown, 1 if weak, 2 if strong."""
+    x = [table[cells(o, depth, deep(o.symbol, depth))].astype(np.float32) for o in g.orders]
+    sure = [np.abs(v) for v in x[-2:]]
+    return x, [(v > 0).astype(np.int64) + (v > 2) for v in sure]
+
+
+def inputs(g: Grams, pairs: tuple[list[np.ndarray], list[np.ndarray]], depth: int, rows: np.ndarray | slice) -> tuple[list[np.ndarray], np.ndarray]:
+    """Log odds and gate of the grams ``rows``, from those of their pairs."""
+    code = [o.code[rows] for o in g.orders]
+    x = [v[c] for v, c in zip(pairs[0], code, strict=True)]
+    high, low = (k[c] for k, c in zip(pairs[1], code[-2:], strict=True))
+    high *= 3
+    high += low
+    high += min(depth, DEPTHS - 1) * KNOWN
+    return x, high
 
 
 def squash(s: np.ndarray) -> np.ndarray:
@@ -186,15 +231,22 @@ def log_probability(g: Grams, table: np.ndarray, mixer: Mixer) -> np.ndarray:
     one = np.clip((squash(grid) + mixer.refine[:, coarse]) / 2, 1e-6, 1 - 1e-6)
     value = np.log10(np.stack([1 - one, one])).astype(np.float32).reshape(-1)
     for depth in range(LENGTH.max()):
-        n = deep(g, depth)
+        n = deep(g.symbol, depth)
         if not n:
             break
-        x, gate = inputs(g, table, depth, slice(0, n))
-        s = x[0] * weights[0][gate]
+        x, at = inputs(g, pair_inputs(g, table, depth), depth, slice(0, n))
+        s = weights[0][at]
+        s *= x[0]
         for j in range(1, ORDERS):
-            s += x[j] * weights[j][gate]
-        step = np.rint((np.clip(s, -8, 8) + 8) * ((STEPS - 1) / 16)).astype(np.int64)
-        out[:n] += value[(BITS[g.symbol[:n], depth].astype(np.int64) * GATES + gate) * STEPS + step]
+            x[j] *= weights[j][at]
+            s += x[j]
+        np.clip(s, -8, 8, out=s)
+        s += 8
+        s *= (STEPS - 1) / 16
+        at += (BITS[:, depth].astype(np.int64) * GATES)[g.symbol[:n]]
+        at *= STEPS
+        at += np.rint(s, out=s).astype(np.int64)
+        out[:n] += value[at]
     return np.add.reduceat(out[g.code].astype(np.float64), g.edge[:-1])
 
 
@@ -209,13 +261,15 @@ def _learner(table, rate: float = 1.0, share: int = 10_000):
             g = grams(frame.text)
             weight = np.bincount(g.code, minlength=len(g.symbol)).astype(np.float64)
             order = np.random.default_rng(3).permutation(len(g.symbol))
+            pairs = [pair_inputs(g, odds, depth) for depth in range(LENGTH.max())]
             for at in range(0, len(order), share):
                 some = order[at : at + share]
                 for depth in range(LENGTH.max()):
                     rows = some[LENGTH[g.symbol[some]] > depth]
                     if not len(rows):
                         break
-                    x, gate = inputs(g, odds, depth, rows)
+                    x, gate = inputs(g, pairs[depth], depth, rows)
+                    x = np.stack(x)
                     s = np.einsum("jn,nj->n", x, mixer.weights[gate])
                     bit, w = BITS[g.symbol[rows], depth], weight[rows]
                     bucket = np.rint((np.clip(s, -8, 8) + 8) * (BUCKETS - 1) / 16).astype(np.int64)
@@ -263,7 +317,7 @@ def _tokens(block_chars: int):
             code, value = pd.factorize(h)
             count = np.bincount(code, n, len(value)).astype(np.int64)
             own = pd.DataFrame({"block": (task << 24) + number, "kind": 0, "h": value.view(np.int64), "n": count})
-            return own.assign(id=0, text=None, held=None)
+            return own.assign(id=0, text=None, held=False)
 
         for frame in words.batches(frames):
             w = words.split(frame.text, lower=True)
@@ -302,23 +356,25 @@ def _scorer(table, mixer: Mixer, n: int, v: int):
                     h = all_.h.to_numpy(np.int64).view(np.uint64)
                     order = np.argsort(h)
                     known = h[order], all_.n.to_numpy(np.int64)[order]
-                for texts in words.batches(iter([part]), most=BATCH):
+                for texts in words.batches(iter([part]), most=WIDE_BATCH):
                     w = words.split(texts.text, lower=True)
                     words_of = np.diff(w.first)
                     doc = np.concatenate([np.repeat(np.arange(len(texts)), words_of), np.arange(len(texts))])
                     h = np.concatenate([w.hashes(), np.full(len(texts), END_TOKEN)])
+                    code, h = pd.factorize(h)
                     at = np.searchsorted(known[0], h)
                     if (known[0][np.minimum(at, len(known[0]) - 1)] != h).any():
                         raise ValueError("a token of the block is not in its dictionary")
                     c = known[1][at]
+                    log = np.log10((c + 1) / (n + (v + 1)))[code]
                     g = grams(texts.text)
                     yield pd.DataFrame(
                         {
                             "id": texts.id.to_numpy(),
                             "held_out": texts.held.to_numpy(),
                             "n_tokens": words_of + 1,
-                            "n_known": np.bincount(doc, c > 0, len(texts)).astype(np.int64),
-                            "base_score": np.bincount(doc, np.log10((c + 1) / (n + (v + 1))), len(texts)),
+                            "n_known": np.bincount(doc, (c > 0)[code], len(texts)).astype(np.int64),
+                            "base_score": np.bincount(doc, log, len(texts)),
                             "score": log_probability(g, odds, mixer),
                             "n_bytes": np.diff(g.edge) - 1,
                         }
@@ -372,11 +428,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", blo
     listed = stage(listed, "token-blocks")
     per_token = Window.partitionBy("h")  # at most one row per block
     tokens = listed.where("kind = 0").select("block", "h", "n")
-    tokens = tokens.withColumn("c", F.sum("n").over(per_token)).withColumn("first", F.row_number().over(per_token.orderBy("block")) == 1)
+    tokens = tokens.withColumn("c", F.sum("n").over(per_token)).withColumn("first", F.col("block") == F.min("block").over(per_token))
     tokens = stage(tokens.select("block", "h", "c", "first"), "token-counts")
     size = tokens.where("first").agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1))).first()
     n, v = size[0] or 0, size[1] or 0
-    lists = tokens.select("block", F.lit(0).alias("kind"), "h", F.col("c").alias("n"), F.lit(0).cast("long").alias("id"))
+    lists = tokens.select("block", F.lit(0).alias("kind"), "h", F.col("c").alias("n"), F.lit(0).cast("long").alias("id"), F.lit(False).alias("held"))
     texts = listed.where("kind = 1").select("block", "kind", "h", "n", "id", "text", "held")
     both = texts.unionByName(lists, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
     kind = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
