@@ -387,6 +387,29 @@ def test_index_ranks_as_plain_bm25():
     assert len(index.doc) < 30 * 60
 
 
+def test_word_table_keeps_its_order_over_batches():
+    own, texts = packing.WordTokenizer(tokenizer_path(), most=25), [f"a{k} b{k * k} the C{k % 5}" for k in range(30)]
+    for at in range(0, 30, 3):
+        ids, edge = own.encode(pd.Series(texts[at : at + 3]))
+        want = [[*own.model.encode(t, add_special_tokens=False).ids, packing.END] for t in texts[at : at + 3]]
+        assert [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:])] == want
+        assert (own.known[1:] > own.known[:-1]).all() and len(own.known) == len(own.span) <= 25
+        n = own.span & 0xFFFFFFFF
+        order = np.argsort(own.span)
+        assert ((own.span >> 32)[order] == np.cumsum(n[order]) - n[order]).all() and n.sum() == len(own.ids)
+
+
+def test_bm25_knows_the_entries_of_unused_documents():
+    index = packing.Bm25(np.array([5, 5, 7, 1, 9, 7, 1, 5, 1]), np.array([0, 4, 7, 9]))
+    assert index.entries.tolist() == [3, 3, 2]
+    unused = np.array([False, True, True])
+    index.ranked(0, unused)
+    assert len(index.doc) == 8  # 5 of 8 entries are in use
+    unused[1] = False
+    index.ranked(1, unused)
+    assert index.doc.tolist() == [2, 2]
+
+
 def test_language_model(docs, empty):
     got = {r.doc_id: r for r in context_mixing.score_texts(docs).collect()}
     held = {d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _, _ in DOCS}

@@ -91,8 +91,7 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
+        self.span = np.zeros(0, np.int64)  # place in ``ids`` and number of ids, in 32 bits each
         self.ids = np.zeros(0, np.uint16)
 
     def _encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,30 +126,47 @@ class WordTokenizer:
             counts.append(np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(part)))
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _known_parts(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each part, -1 for the blank, and which parts are not known."""
+        place = np.fromiter([self.parts.get(v, -2) for v in value], np.int64, len(value))
+        place[value == " "] = -1
+        return place, np.flatnonzero(place == -2)
+
     def _encode_parts(self, joined: str, words_in: int) -> tuple[np.ndarray, np.ndarray]:
         """Plain words, joined by spaces, by their parts; each distinct part is encoded once and kept."""
         if not words_in:
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         code, value = pd.factorize(np.array(PART.findall(joined.lower()), object))
-        new = [v for v in value if v != " " and v not in self.parts]
-        if new and self.parts and len(self.parts) + len(new) > self.most_parts:
+        place, fresh = self._known_parts(value)
+        if len(fresh) and self.parts and len(self.parts) + len(fresh) > self.most_parts:
             self._clear_parts()
-            new = [v for v in value if v != " "]
+            place, fresh = self._known_parts(value)
+        new = value[fresh].tolist()
         ids, counts = [self.part_ids], []
         lines = [" ".join(new[at : at + JOINED]) for at in range(0, len(new), JOINED)]
         for k, e in enumerate(self.inner.encode_batch(lines, add_special_tokens=False)):
             ids.append(np.array(e.ids, np.uint16))
             counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(new[k * JOINED : (k + 1) * JOINED])))
         if new:
-            self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
+            place[fresh] = np.arange(len(self.parts), len(self.parts) + len(new))
+            self.parts.update(zip(new, place[fresh].tolist(), strict=True))
             self.part_ids = np.concatenate(ids)
             self.part_edge = np.concatenate([self.part_edge, self.part_edge[-1] + np.cumsum(np.concatenate(counts))])
-        place = np.array([-1 if v == " " else self.parts[v] for v in value])[code]
+        place = place[code]
         word = np.cumsum(place < 0)[place >= 0]
         place = place[place >= 0]
         n = self.part_edge[place + 1] - self.part_edge[place]
         return self.part_ids[_ranges(self.part_edge[place], n)], np.bincount(word, n, words_in).astype(np.int64)
 
+    def _insert(self, place: np.ndarray, known: np.ndarray, span: np.ndarray) -> None:
+        """New words and where their ids are, at their places in the longer table."""
+        old = np.ones(len(self.known) + len(place), bool)
+        old[place] = False
+        for name, values in (("known", known), ("span", span)):
+            longer = np.empty(len(old), values.dtype)
+            longer[place], longer[old] = values, getattr(self, name)
+            setattr(self, name, longer)
+
     def encode(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the borders of the texts, each text closed by ``END``."""
         w = words.split(texts, lower=False)
@@ -162,18 +178,16 @@ class WordTokenizer:
         if len(new):
             if len(self.known) + len(new) > self.most and len(self.known):
                 self._clear()
-                new = np.arange(len(value))
+                new, have, place = np.arange(len(value)), np.zeros(len(value), bool), np.zeros(len(value), np.int64)
             first = np.full(len(value), -1)
             first[code[::-1]] = np.arange(len(code))[::-1]
             ids, n = self._encode(w.data.tobytes(), w.starts[first[new]], w.ends[first[new]])
             at = len(self.ids) + np.cumsum(n) - n
             self.ids = np.concatenate([self.ids, ids])
-            where = np.searchsorted(self.known, value[new])
-            self.known, self.at, self.n = (
-                np.insert(have, where, x) for have, x in ((self.known, value[new]), (self.at, at), (self.n, n))
-            )
-            place = np.searchsorted(self.known, value)
-        at, n = self.at[place][code], self.n[place][code]
+            place = place + np.cumsum(~have) - ~have  # among the old and new words
+            self._insert(place[new], value[new], at << 32 | n)
+        span = self.span[place][code]
+        at, n = span >> 32, span & 0xFFFFFFFF
         doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
         total = np.concatenate([[0], np.cumsum(n)])
         edge = total[w.first] + np.arange(len(w.first))
@@ -213,6 +227,7 @@ class Bm25:
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / max(1.0, n.mean())))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight, term = doc[order], weight[order], term[order]
+        self.entries = np.bincount(doc, minlength=self.docs)
         self._border(term)
 
     def _border(self, term: np.ndarray) -> None:
@@ -221,8 +236,8 @@ class Bm25:
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first, ties by place; all terms of the seed are its query."""
-        alive = unused[self.doc]
-        if 2 * np.count_nonzero(alive) < len(alive):
+        if 2 * self.entries[unused].sum() < len(self.doc):
+            alive = unused[self.doc]
             self.doc, self.weight = self.doc[alive], self.weight[alive]
             self._border(self.term[alive])
         terms = self.asked[seed]
@@ -314,7 +329,11 @@ def _packer(window: int):
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each hash once per document, ascending."""
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    if len(doc) and doc[-1] < 1 << 16:
+        order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]  # narrow keys sort faster
+    else:
+        order = order[np.argsort(doc[order], kind="stable")]
     h, doc = h[order], doc[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
