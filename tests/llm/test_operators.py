@@ -343,6 +343,44 @@ def test_packing_encodes_new_parts_of_words_only():
         assert held == [[i for w in ws for i in own.model.encode(w, add_special_tokens=False).ids] + [1] for ws in word]
 
 
+def test_packing_keeps_all_parts_that_fit():
+    """200 000 parts are encoded once, also if they come back in other words."""
+    own, letters, asked = packing.WordTokenizer(tokenizer_path()), "abcdefghijklmnopqrst", []
+    new = ["".join(letters[k // 20**i % 20] for i in range(5)) for k in range(200_000)]
+    inner = own.inner
+
+    class Counted:
+        def encode_batch(self, lines, **kw):
+            asked.extend(part for line in lines for part in line.split(" ") if part)
+            return inner.encode_batch(lines, **kw)
+
+    own.inner = Counted()
+    before, _ = own.encode(pd.Series([" ".join(new[:100_000]), " ".join(new[100_000:])]))
+    after, _ = own.encode(pd.Series([", ".join(new[:100_000]) + ",", "; ".join(new[100_000:]) + ";"]))
+    assert len(asked) == len(set(asked)) == 200_002
+    signs = [own.model.token_to_id(f"{c}</w>") for c in ",;"]
+    assert after[~np.isin(after, signs)].tolist() == before.tolist() and np.isin(after, signs).sum() == 200_000
+
+
+def test_packing_ranks_once_for_a_seed_that_fills_windows(monkeypatch):
+    ranked, asked = packing.Bm25.ranked, []
+    monkeypatch.setattr(packing.Bm25, "ranked", lambda self, seed, unused: asked.append(seed) or ranked(self, seed, unused))
+    docs = [[5, 6, 7] * 33, [8, 9], [6, 9, 9], [7, 5]]
+    ids = np.array([i for d in docs for i in [*d, 1]], np.uint16)
+    got = packing.pack_shard(ids, np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])]), 16)
+    assert [p[:3] for p in got[:7]] == [(0, 16 * k, min(16, 100 - 16 * k)) for k in range(7)]
+    assert [p[0] for p in got[7:]] == [3, 2, 1] and [p[3] for p in got] == [0, 1, 2, 3, 4, 5, 6, 6, 6, 6]
+    assert asked == [0]
+
+
+def test_packing_reads_texts_twice_only(session):
+    frame = session.range(40).selectExpr("id as doc_id", "repeat(concat('w', id, ' same '), 30) as text")
+    calls = session.sparkContext.accumulator(0)
+    counted = frame.mapInPandas(lambda it: (calls.add(len(f)) or f for f in it), frame.schema)
+    packing.pack_documents(counted, tokenizer_path(), window=64).collect()
+    assert calls.value == 80  # for the terms and for the ids
+
+
 def test_packing_brings_related_documents_together(session):
     topics = [[f"topic{t}x{k}" for k in range(12)] for t in range(60)]
     rows = [(4 * t + k, text(60) + " " + " ".join(topics[t])) for t in range(60) for k in range(4)]

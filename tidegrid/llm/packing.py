@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -20,11 +19,17 @@ from tidegrid.staging import stage
 
 END = 1
 JOINED = 500  # words encoded as one text
-#: Words of these characters alone are NFC and change by lower case only, a character each; ``LETTERS`` are theirs.
-PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]*")
-LETTERS = "a-zß-öø-ÿ"
-PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ {LETTERS}0-9]+| ")
-#: The tokenizer whose splitting ``PART`` repeats on plain words; any other one reads whole words.
+#: Kinds of bytes; plain words are of signs, letters and digits alone: ASCII and À to ÿ without × and ÷.  They are NFC
+#: and change by lower case only, a character each.
+SIGN, LETTER, DIGIT, OTHER = 1, 2, 3, 4
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127] = SIGN
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[48:58] = DIGIT
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[0x80:0xC0] = KIND[0xC3] = LETTER  # À to ÿ are 0xC3 and a byte; after any other first byte it makes the word not plain
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: The tokenizer whose splitting ``_parts`` repeats on plain words; any other one reads whole words.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "id long, row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -52,27 +57,54 @@ def _without_normalizer(model):
     return inner
 
 
-def _is_plain(text: str) -> bool:
-    # special tokens are found before a word is split
-    return PLAIN.fullmatch(text) is not None and "<|" not in text
-
-
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Places ``first[i] .. first[i] + n[i] - 1`` of all i in turn."""
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def _parts(w: words.Words) -> tuple[words.Words, np.ndarray]:
+    """What is encoded at once, in place of the words: the parts (letters, a digit, signs) of plain words, in lower
+    case, and all other words whole and unchanged; and which of them are whole words."""
+    kind, low, end = KIND[w.data], LOWER[w.data], len(w.data)
+    wide = np.flatnonzero(w.data == 0xC3)
+    after = w.data[wide + 1]
+    kind[wide[(after == 0x97) | (after == 0xB7)]] = OTHER
+    low[wide + 1] += (after < 0x9F).view(np.uint8) << 5
+    special = np.flatnonzero(w.data == ord("<"))  # special tokens are found before a word is split
+    kind[special[w.data[special + 1] == ord("|")]] = OTHER
+    other = np.unique(np.searchsorted(w.starts, np.flatnonzero(kind == OTHER), side="right") - 1)
+    at = _ranges(w.starts[other], w.ends[other] - w.starts[other])
+    kind[at], low[at] = OTHER, w.data[at]
+    border = np.empty(end, bool)
+    border[0] = kind[0] != 0
+    np.not_equal(kind[1:], kind[:-1], out=border[1:])
+    border |= kind == DIGIT
+    # 's 't 're 've 'm 'll 'd where a run of signs would begin
+    quote = np.flatnonzero((low == ord("'")) & border & (kind == SIGN))
+    quote = quote[kind[quote + 1] == LETTER]
+    one, two = low[quote + 1], low[np.minimum(quote + 2, end - 1)]
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    border[quote[short | long] + 1] = False
+    border[np.concatenate([quote[short] + 2, quote[long] + 3])] = True
+    edge = np.append(np.flatnonzero(border), end)
+    some = np.flatnonzero(kind[edge[:-1]])
+    starts = edge[some]
+    first = np.searchsorted(starts, np.append(w.starts, end)[w.first])
+    return words.Words(low, starts, edge[some + 1], first), kind[starts] == OTHER
+
+
 class WordTokenizer:
-    """Token ids of whole texts, each distinct word encoded once and kept.
+    """Token ids of whole texts, each distinct part of a word encoded once and kept.
 
     White space never joins or changes tokens of the word BPE, so a text's ids are those of
-    its words in turn.  Known words live in sorted arrays; ``most`` bounds them, beyond it the
-    table starts afresh.  The tokenizer merges inside the parts of a word (letters, a digit, signs), and
-    new words mostly consist of known parts: plain words are split here and only new parts are encoded,
-    without normalizing them again.
+    its words in turn.  The tokenizer merges inside the parts of a word (letters, a digit, signs): plain words are
+    split here and their parts encoded without normalizing them again, other words are encoded whole.
+    Known parts and words live in arrays sorted by hash; ``most`` or ``most_parts``, the smaller one, bounds
+    them, beyond it the table starts afresh.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000, most_parts: int = 150_000):
+    def __init__(self, path: str, most: int = 1_200_000, most_parts: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,86 +112,39 @@ class WordTokenizer:
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path} has more than 65536 ids, they are kept in 16 bits")
         self.inner = _without_normalizer(self.model)
-        self.most, self.most_parts = most, most_parts
+        self.most = min(most, most_parts)
         self._clear()
-        self._clear_parts()
-
-    def _clear_parts(self) -> None:
-        self.parts: dict[str, int] = {}
-        self.part_edge = np.zeros(1, np.int64)
-        self.part_ids = np.zeros(0, np.uint16)
 
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.span = np.zeros(0, np.int64)  # place in ``ids`` and number of ids, in 32 bits each
         self.ids = np.zeros(0, np.uint16)
 
-    def _encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words in one array, and how many each has."""
-        if self.inner is not None:
-            n = ends - starts + 1  # with the blank after each
-            some = np.frombuffer(data, np.uint8)[_ranges(starts, n)]
-            some[np.cumsum(n) - 1] = 32
-            joined = some.tobytes().decode("utf-8", "replace")[:-1]
-            if _is_plain(joined):
-                return self._encode_parts(joined, len(starts))
-        texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        if self.inner is None:
-            return self._encode_whole(texts)
-        plain = np.fromiter(map(_is_plain, texts), bool, len(texts))
-        sides = [[t for t, p in zip(texts, plain.tolist(), strict=True) if p == side] for side in (True, False)]
-        (ids, n), (more, m) = self._encode_parts(" ".join(sides[0]), len(sides[0])), self._encode_whole(sides[1])
-        count, at = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
-        count[plain], count[~plain] = n, m
-        at[plain], at[~plain] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
-        return np.concatenate([ids, more])[_ranges(at, count)], count
-
-    def _encode_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Many words make one text, which is cheaper than one call each."""
-        joined = [" ".join(texts[at : at + JOINED]) for at in range(0, len(texts), JOINED)]
+    @property
+    def parts(self) -> list[str]:
+        """Texts of what is known, read back from its ids."""
+        from tokenizers.decoders import ByteLevel
+
+        held = [self.ids[at : at + n].tolist() for at, n in zip((self.span >> 32).tolist(), (self.span & 0xFFFFFFFF).tolist(), strict=True)]
+        return [ByteLevel().decode([self.model.id_to_token(i) for i in ids]).replace("</w>", "") for ids in held]
+
+    def _encode(self, texts: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in one array, and how many each has; many make one text, which is cheaper than one call each."""
         ids, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
-        for k, e in enumerate(self.model.encode_batch(joined, add_special_tokens=False)):
+        joined = [" ".join(texts[at : at + JOINED]) for at in range(0, len(texts), JOINED)]
+        for k, e in enumerate((self.model if whole else self.inner).encode_batch(joined, add_special_tokens=False)):
             part = texts[k * JOINED : (k + 1) * JOINED]
-            first = np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
-            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+            if whole:
+                first = np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
+                owner = np.searchsorted(first, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right") - 1
+            else:
+                owner = np.array(e.word_ids, np.int64)
             ids.append(np.array(e.ids, np.uint16))
-            counts.append(np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(part)))
+            counts.append(np.bincount(owner, minlength=len(part)))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _known_parts(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each part, -1 for the blank, and which parts are not known."""
-        place = np.fromiter([self.parts.get(v, -2) for v in value], np.int64, len(value))
-        place[value == " "] = -1
-        return place, np.flatnonzero(place == -2)
-
-    def _encode_parts(self, joined: str, words_in: int) -> tuple[np.ndarray, np.ndarray]:
-        """Plain words, joined by spaces, by their parts; each distinct part is encoded once and kept."""
-        if not words_in:
-            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        code, value = pd.factorize(np.array(PART.findall(joined.lower()), object))
-        place, fresh = self._known_parts(value)
-        if len(fresh) and self.parts and len(self.parts) + len(fresh) > self.most_parts:
-            self._clear_parts()
-            place, fresh = self._known_parts(value)
-        new = value[fresh].tolist()
-        ids, counts = [self.part_ids], []
-        lines = [" ".join(new[at : at + JOINED]) for at in range(0, len(new), JOINED)]
-        for k, e in enumerate(self.inner.encode_batch(lines, add_special_tokens=False)):
-            ids.append(np.array(e.ids, np.uint16))
-            counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(new[k * JOINED : (k + 1) * JOINED])))
-        if new:
-            place[fresh] = np.arange(len(self.parts), len(self.parts) + len(new))
-            self.parts.update(zip(new, place[fresh].tolist(), strict=True))
-            self.part_ids = np.concatenate(ids)
-            self.part_edge = np.concatenate([self.part_edge, self.part_edge[-1] + np.cumsum(np.concatenate(counts))])
-        place = place[code]
-        word = np.cumsum(place < 0)[place >= 0]
-        place = place[place >= 0]
-        n = self.part_edge[place + 1] - self.part_edge[place]
-        return self.part_ids[_ranges(self.part_edge[place], n)], np.bincount(word, n, words_in).astype(np.int64)
-
     def _insert(self, place: np.ndarray, known: np.ndarray, span: np.ndarray) -> None:
-        """New words and where their ids are, at their places in the longer table."""
+        """New parts and where their ids are, at their places in the longer table."""
         old = np.ones(len(self.known) + len(place), bool)
         old[place] = False
         for name, values in (("known", known), ("span", span)):
@@ -170,6 +155,7 @@ class WordTokenizer:
     def encode(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the borders of the texts, each text closed by ``END``."""
         w = words.split(texts, lower=False)
+        w, whole = _parts(w) if self.inner is not None else (w, np.ones(len(w.starts), bool))
         code, value = pd.factorize(w.hashes(), sort=True)  # looked up in order, which is kinder to the cache
         place = np.searchsorted(self.known, value)
         have = place < len(self.known)
@@ -179,12 +165,17 @@ class WordTokenizer:
             if len(self.known) + len(new) > self.most and len(self.known):
                 self._clear()
                 new, have, place = np.arange(len(value)), np.zeros(len(value), bool), np.zeros(len(value), np.int64)
-            first = np.full(len(value), -1)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            ids, n = self._encode(w.data.tobytes(), w.starts[first[new]], w.ends[first[new]])
+            first = np.empty(len(value), np.int64)
+            first[code] = np.arange(len(code))  # any of the equal ones
+            new = new[np.argsort(whole[first[new]], kind="stable")]  # the parts, then the whole words
+            data, at = w.data.tobytes(), first[new]
+            held = [data[s:e].decode("utf-8", "replace") for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
+            parts = len(at) - np.count_nonzero(whole[at])
+            (ids, n), (more, m) = self._encode(held[:parts], False), self._encode(held[parts:], True)
+            n = np.concatenate([n, m])
             at = len(self.ids) + np.cumsum(n) - n
-            self.ids = np.concatenate([self.ids, ids])
-            place = place + np.cumsum(~have) - ~have  # among the old and new words
+            self.ids = np.concatenate([self.ids, ids, more])
+            place = place + np.cumsum(~have) - ~have  # among the old and new ones
             self._insert(place[new], value[new], at << 32 | n)
         span = self.span[place][code]
         at, n = span >> 32, span & 0xFFFFFFFF
@@ -255,15 +246,18 @@ def pack_shard(ids: np.ndarray, edge: np.ndarray, window: int) -> list[tuple[int
     The first unused document seeds a window; its best unused neighbours follow until the
     window is full, and the next unused ones if it has too few.  What does not fit goes on in
     the next window, whose seed it is, so only the last sequence of a shard is not full.
+    Neighbours are looked for once a window has room for them: a long seed fills many by itself.
     """
     n = np.diff(edge)
     index = Bm25(ids, edge)
     unused = np.ones(len(n), bool)
     pieces, sequence, offset, next_seed = [], 0, 0, 0
-    queue: list[int] = []
-    current, start = -1, 0
+    queue: list[int] | None = []  # neighbours of the seed, None before they are asked for
+    seed, current, start = -1, -1, 0
     while True:
         if current < 0:
+            if queue is None:
+                queue = index.ranked(seed, unused).tolist()
             current = next((d for d in queue if unused[d]), -1)
             if current >= 0:
                 queue = queue[queue.index(current) + 1 :]
@@ -276,7 +270,7 @@ def pack_shard(ids: np.ndarray, edge: np.ndarray, window: int) -> list[tuple[int
             start = 0
             unused[current] = False
             if offset == 0:
-                queue = index.ranked(current, unused).tolist()
+                seed, queue = current, None
         take = min(window - offset, int(n[current]) - start)
         pieces.append((current, start, take, sequence, offset))
         offset, start = offset + take, start + take
@@ -285,7 +279,7 @@ def pack_shard(ids: np.ndarray, edge: np.ndarray, window: int) -> list[tuple[int
         if start == n[current]:
             current = -1
         elif offset == 0:
-            queue = index.ranked(current, unused).tolist()
+            seed, queue = current, None
 
 
 def _tokenised(path: str):
@@ -363,8 +357,8 @@ def _sampler(sample: int):
     return terms
 
 
-def deal(part: DataFrame, shard_chars: int, sample: int, shards: int) -> DataFrame:
-    """``key, shard``: documents whose rarest shared term is the same go together, hot terms in several parts.
+def deal(part: DataFrame, shard_chars: int, sample: int) -> tuple[DataFrame, int]:
+    """``key, shard`` and how many shards: documents whose rarest shared term is the same go together, hot terms in several parts.
 
     Each document offers a sample of its words.  How many documents hold a term is estimated by
     those that offer it and the share of documents that would offer a term of its hash; a
@@ -372,6 +366,8 @@ def deal(part: DataFrame, shard_chars: int, sample: int, shards: int) -> DataFra
     than one shard.  Documents that share no term of theirs are not in the table.
     """
     told = stage(part.mapInPandas(_sampler(sample), "key long, chars long, top long, terms array<long>"), "packing-terms")
+    total = told.agg(F.sum("chars")).first()[0] or 0  # told with the terms, so texts are not read for it alone
+    shards = max(1, math.ceil(total / shard_chars))
     each = told.select("key", F.explode("terms").alias("term"))
     # at most 1024 rows: documents by the leading ten bits of the largest hash they offer
     tops = told.groupBy(F.shiftright("top", 53).cast("int").alias("bin")).count().toPandas()
@@ -388,7 +384,7 @@ def deal(part: DataFrame, shard_chars: int, sample: int, shards: int) -> DataFra
     hot = sizes.groupBy("term").agg(F.ceil(F.sum("chars") / shard_chars).alias("parts")).where("parts > 1")
     parts = rarest.join(stage(hot, "packing-hot-terms"), "term", "left")
     at = F.xxhash64("term", F.pmod(F.col("key"), F.coalesce("parts", F.lit(1))))
-    return stage(parts.select("key", F.pmod(at, F.lit(shards)).cast("int").alias("shard")), "packing-shards")
+    return stage(parts.select("key", F.pmod(at, F.lit(shards)).cast("int").alias("shard")), "packing-shards"), shards
 
 
 def pack_documents(
@@ -408,11 +404,9 @@ def pack_documents(
     are the end id alone.  Repeated rows are packed once each.  No rows give no pieces.
     """
     part = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = part.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_chars))
     part = part.withColumn("row", F.xxhash64("text")).withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))
     part = part.withColumn("key", F.xxhash64("id", "row"))
-    dealt = deal(part.select("key", "text"), shard_chars, sample, shards)
+    dealt, shards = deal(part.select("key", "text"), shard_chars, sample)
     # texts are read again and move as ids, two bytes each; only keys and terms have moved so far
     tokens = part.mapInPandas(_tokenised(tokenizer), "id long, row long, key long, ids binary").join(dealt, "key", "left")
     tokens = tokens.select("id", "row", "ids", F.coalesce("shard", F.pmod("key", F.lit(shards)).cast("int")).cast("long").alias("shard"))

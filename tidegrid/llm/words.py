@@ -53,7 +53,8 @@ class Words:
     def hashes(self) -> np.ndarray:
         n = len(self.data)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
+        np.multiply(self.data + np.uint8(1), powers(_BASE, n), out=total[1:])  # no byte of UTF-8 is 255
+        np.cumsum(total[1:], out=total[1:])
         body = (total[self.ends] - total[self.starts]) * powers(_INVERSE, n + 1)[self.starts]
         return mix(body + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
