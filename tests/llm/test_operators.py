@@ -354,6 +354,8 @@ def test_packing_keeps_all_parts_that_fit():
             asked.extend(part for line in lines for part in line.split(" ") if part)
             return inner.encode_batch(lines, **kw)
 
+        encode_batch_fast = encode_batch
+
     own.inner = Counted()
     before, _ = own.encode(pd.Series([" ".join(new[:100_000]), " ".join(new[100_000:])]))
     after, _ = own.encode(pd.Series([", ".join(new[:100_000]) + ",", "; ".join(new[100_000:]) + ";"]))
@@ -362,6 +364,20 @@ def test_packing_keeps_all_parts_that_fit():
     assert after[~np.isin(after, signs)].tolist() == before.tolist() and np.isin(after, signs).sum() == 200_000
 
 
+def test_packing_reads_whole_words_of_other_tokenizers(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(tokenizer_path())
+    byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+    other.save(str(tmp_path / "other.json"))
+    own, some = packing.WordTokenizer(str(tmp_path / "other.json")), ["It's 12 words, a1 \u00e9t\u00e9", "", "it's"]
+    assert own.inner is None
+    ids, edge = own.encode(pd.Series(some))
+    want = [[i for w in t.split() for i in other.encode(w, add_special_tokens=False).ids] + [1] for t in some]
+    assert [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)] == want
+
+
 def test_packing_ranks_once_for_a_seed_that_fills_windows(monkeypatch):
     ranked, asked = packing.Bm25.ranked, []
     monkeypatch.setattr(packing.Bm25, "ranked", lambda self, seed, unused: asked.append(seed) or ranked(self, seed, unused))

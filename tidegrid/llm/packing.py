@@ -28,7 +28,16 @@ KIND[[9, 10, 11, 12, 13, 32]] = 0
 KIND[48:58] = DIGIT
 KIND[65:91] = KIND[97:123] = LETTER
 KIND[0x80:0xC0] = KIND[0xC3] = LETTER  # À to ÿ are 0xC3 and a byte; after any other first byte it makes the word not plain
-LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+KIND = KIND.tobytes()
+LOWER = bytes(range(256)).lower()
+#: The character that byte-level tokenizers read for each byte; the blank keeps parts apart.
+PRINTED = np.array([*range(33, 127), *range(161, 173), *range(174, 256)])
+READ_AS = np.zeros(256, "<u4")
+READ_AS[PRINTED] = PRINTED
+READ_AS[READ_AS == 0] = 256 + np.arange(256 - len(PRINTED))
+READ_AS[32] = 32
+FIRST = np.array([256**k - 1 for k in range(9)], np.uint64)  # masks of the first k of eight bytes
+ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The tokenizer whose splitting ``_parts`` repeats on plain words; any other one reads whole words.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -36,7 +45,8 @@ PIECES = "id long, row long, start long, length long, ids_crc32 long, doc_tokens
 
 
 def _without_normalizer(model):
-    """The same merges for parts that are normalized and split already, or None if the tokenizer splits otherwise."""
+    """The same merges for parts that are normalized, split and read as characters already, or None if the tokenizer does
+    that otherwise."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     told = json.loads(model.to_str())
@@ -50,22 +60,44 @@ def _without_normalizer(model):
         or any(t["normalized"] or not t["content"].startswith("<|") for t in told["added_tokens"])
     ):
         return None
+    signs = [chr(c) for c in READ_AS if c != 32]
+    if told["model"].get("end_of_word_suffix") != "</w>" or not {*signs, *(c + "</w>" for c in signs)} <= model.get_vocab().keys():
+        return None  # a part may have no id, or end without its mark
     inner = Tokenizer.from_str(model.to_str())
     inner.normalizer = None
-    space = pre_tokenizers.WhitespaceSplit()
-    inner.pre_tokenizer = pre_tokenizers.Sequence([space, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    inner.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     return inner
 
 
+def _looked_up(data: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(bytearray(data).translate(table), np.uint8)
+
+
+def _hashes(w: words.Words) -> np.ndarray:
+    """64-bit hashes of the words, eight bytes at a time, which is quicker than ``Words.hashes`` for short ones."""
+    eight = np.ndarray(len(w.data), "<u8", np.append(w.data, np.zeros(8, np.uint8)), strides=(1,))
+    size = w.ends - w.starts
+    out = words.mix((eight[w.starts] & FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * ODD)
+    at, long = 8, np.flatnonzero(size > 8)
+    while len(long):
+        out[long] = words.mix(out[long] * ODD + (eight[w.starts[long] + at] & FIRST[np.minimum(size[long] - at, 8)]))
+        at += 8
+        long = long[size[long] > at]
+    return out
+
+
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Places ``first[i] .. first[i] + n[i] - 1`` of all i in turn."""
-    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    end = np.cumsum(n)
+    out = np.repeat(first - end + n, n)
+    out += np.arange(len(out))
+    return out
 
 
 def _parts(w: words.Words) -> tuple[words.Words, np.ndarray]:
     """What is encoded at once, in place of the words: the parts (letters, a digit, signs) of plain words, in lower
     case, and all other words whole and unchanged; and which of them are whole words."""
-    kind, low, end = KIND[w.data], LOWER[w.data], len(w.data)
+    kind, low, end = _looked_up(w.data, KIND), _looked_up(w.data, LOWER), len(w.data)
     wide = np.flatnonzero(w.data == 0xC3)
     after = w.data[wide + 1]
     kind[wide[(after == 0x97) | (after == 0xB7)]] = OTHER
@@ -112,6 +144,8 @@ class WordTokenizer:
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path} has more than 65536 ids, they are kept in 16 bits")
         self.inner = _without_normalizer(self.model)
+        self.last = np.zeros(1 << 16, bool)  # ids that end a part
+        self.last[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.most = min(most, most_parts)
         self._clear()
 
@@ -128,19 +162,30 @@ class WordTokenizer:
         held = [self.ids[at : at + n].tolist() for at, n in zip((self.span >> 32).tolist(), (self.span & 0xFFFFFFFF).tolist(), strict=True)]
         return [ByteLevel().decode([self.model.id_to_token(i) for i in ids]).replace("</w>", "") for ids in held]
 
-    def _encode(self, texts: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts in one array, and how many each has; many make one text, which is cheaper than one call each."""
+    def _encode_parts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts in one array, and how many each has; many make one text, which is cheaper than one call each."""
+        if not len(starts):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        n = ends - starts + 1  # with the blank after each
+        border = np.concatenate([[0], np.cumsum(n)])
+        some = data[_ranges(starts, n)]
+        some[border[1:] - 1] = 32
+        text = READ_AS[some].tobytes().decode("utf-32-le")
+        cut = [*border[:-1:JOINED].tolist(), len(text)]
+        joined = [text[a : z - 1] for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        ids = np.array([i for e in self.inner.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint16)
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
+    def _encode_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for whole words, which the tokenizer splits itself."""
         ids, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         joined = [" ".join(texts[at : at + JOINED]) for at in range(0, len(texts), JOINED)]
-        for k, e in enumerate((self.model if whole else self.inner).encode_batch(joined, add_special_tokens=False)):
+        for k, e in enumerate(self.model.encode_batch(joined, add_special_tokens=False)):
             part = texts[k * JOINED : (k + 1) * JOINED]
-            if whole:
-                first = np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
-                owner = np.searchsorted(first, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right") - 1
-            else:
-                owner = np.array(e.word_ids, np.int64)
+            first = np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
+            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
             ids.append(np.array(e.ids, np.uint16))
-            counts.append(np.bincount(owner, minlength=len(part)))
+            counts.append(np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(part)))
         return np.concatenate(ids), np.concatenate(counts)
 
     def _insert(self, place: np.ndarray, known: np.ndarray, span: np.ndarray) -> None:
@@ -156,7 +201,7 @@ class WordTokenizer:
         """All ids in one array and the borders of the texts, each text closed by ``END``."""
         w = words.split(texts, lower=False)
         w, whole = _parts(w) if self.inner is not None else (w, np.ones(len(w.starts), bool))
-        code, value = pd.factorize(w.hashes(), sort=True)  # looked up in order, which is kinder to the cache
+        code, value = pd.factorize(_hashes(w), sort=True)  # looked up in order, which is kinder to the cache
         place = np.searchsorted(self.known, value)
         have = place < len(self.known)
         have[have] = self.known[place[have]] == value[have]
@@ -168,24 +213,22 @@ class WordTokenizer:
             first = np.empty(len(value), np.int64)
             first[code] = np.arange(len(code))  # any of the equal ones
             new = new[np.argsort(whole[first[new]], kind="stable")]  # the parts, then the whole words
-            data, at = w.data.tobytes(), first[new]
-            held = [data[s:e].decode("utf-8", "replace") for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-            parts = len(at) - np.count_nonzero(whole[at])
-            (ids, n), (more, m) = self._encode(held[:parts], False), self._encode(held[parts:], True)
+            at, parts = first[new], len(new) - np.count_nonzero(whole[first[new]])
+            starts, ends = w.starts[at], w.ends[at]
+            ids, n = self._encode_parts(w.data, starts[:parts], ends[:parts])
+            some = zip(starts[parts:].tolist(), ends[parts:].tolist(), strict=True)
+            more, m = self._encode_whole([w.data[s:e].tobytes().decode("utf-8", "replace") for s, e in some])
             n = np.concatenate([n, m])
             at = len(self.ids) + np.cumsum(n) - n
             self.ids = np.concatenate([self.ids, ids, more])
             place = place + np.cumsum(~have) - ~have  # among the old and new ones
             self._insert(place[new], value[new], at << 32 | n)
-        span = self.span[place][code]
-        at, n = span >> 32, span & 0xFFFFFFFF
-        doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+        span = self.span[place].take(code)
+        n = span & 0xFFFFFFFF
         total = np.concatenate([[0], np.cumsum(n)])
-        edge = total[w.first] + np.arange(len(w.first))
-        out = np.full(int(edge[-1]), END, np.uint16)
-        source = np.repeat(at - total[:-1], n) + np.arange(total[-1])
-        out[np.arange(total[-1]) + np.repeat(doc, n)] = self.ids[source]
-        return out, edge
+        border = total[w.first]
+        out = self.ids.take(_ranges(span >> 32, n))
+        return np.insert(out, border[1:], END), border + np.arange(len(border))
 
 
 def tokenizer_of(path: str) -> WordTokenizer:
@@ -216,14 +259,14 @@ class Bm25:
         df = np.bincount(term, minlength=1 << 16)
         idf = np.log1p((self.docs - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / max(1.0, n.mean())))
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16), kind="stable")  # narrow keys sort faster
         self.doc, self.weight, term = doc[order], weight[order], term[order]
         self.entries = np.bincount(doc, minlength=self.docs)
         self._border(term)
 
     def _border(self, term: np.ndarray) -> None:
         self.term = term
-        self.first = np.searchsorted(term, np.arange((1 << 16) + 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=1 << 16))])
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first, ties by place; all terms of the seed are its query."""
@@ -234,8 +277,8 @@ class Bm25:
         terms = self.asked[seed]
         terms = terms[terms != END]
         first, n = self.first[terms], self.first[terms + 1] - self.first[terms]
-        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.doc[at], self.weight[at], minlength=self.docs) * unused
+        at = _ranges(first, n)
+        score = np.bincount(self.doc.take(at), self.weight.take(at), minlength=self.docs) * unused
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
 

@@ -19,8 +19,7 @@ from pyspark.sql import SparkSession
 PATTERN = r"[^\x20\x09-\x0D]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SPACE = bytes(b in (32, 9, 10, 11, 12, 13) for b in range(256))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -66,8 +65,8 @@ def split(texts: Iterable[str | None], lower: bool) -> Words:
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     joined = b"\n".join(raw) + b"\n"
     data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
-    blank = _SPACE[data]
-    edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))
+    blank = np.frombuffer(joined.translate(_SPACE), np.int8)
+    edge = np.flatnonzero(np.diff(blank, prepend=np.int8(1)))
     starts, ends = edge[0::2], edge[1::2]
     ends = np.append(ends, len(data)) if len(ends) < len(starts) else ends
     ends_of_text = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
